@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -42,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rows_of_literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a constant of the plan."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    said = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(said), f"array<struct<{', '.join(x.replace(' ', ': ') for x in schema.split(', '))}>>")))
+
+
 def share_code(spark: SparkSession) -> None:
     """Python workers find this package where the driver has it."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._shared import rows_of_literals
+
 
 @dataclass(frozen=True)
 class Ring:
@@ -29,7 +31,7 @@ class Ring:
     vnodes: int = 64
     cells: int = 4096
     epsilon: float = 0.002
-    unit_rows: int = 20_000
+    unit_rows: int = 2_000
 
 
 def _mix(x: int) -> int:
@@ -94,10 +96,10 @@ def shard_documents(docs: DataFrame, ring: Ring = Ring()) -> DataFrame:
     owner, by_node = owner_of(ring, nodes), {}
     for r in totals:
         by_node[owner[r["cell"]]] = by_node.get(owner[r["cell"]], 0) + r["bytes"]
-    cells = spark.createDataFrame(
-        [(r["cell"], owner[r["cell"]], nodes[owner[r["cell"]]][1], -(-r["rows"] // ring.unit_rows)) for r in totals] or [(0, 0, 0, 1)], "cell int, node int, home_shard int, salts int"
+    cells = rows_of_literals(
+        spark, [(r["cell"], owner[r["cell"]], nodes[owner[r["cell"]]][1], -(-r["rows"] // ring.unit_rows)) for r in totals] or [(0, 0, 0, 1)], "cell int, node int, home_shard int, salts int"
     )
-    ranges = spark.createDataFrame(walk(by_node, nodes, ring) or [(0, 0, 1, 0)], "at_node int, low long, high long, shard int")
+    ranges = rows_of_literals(spark, walk(by_node, nodes, ring) or [(0, 0, 1, 0)], "at_node int, low long, high long, shard int")
 
     unit = ["node", "cell", "salt"]
     rows = keys.join(F.broadcast(cells), "cell").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))  # ring.cells rows at most
