@@ -40,9 +40,11 @@ PREFIXES = (4, 5, 6)
 class Training:
     max_rows: int = 20_000
     max_features: int = 4096
-    min_rows: int = 5
+    min_rows: int = 3
+    #: How many rows a toxic one counts as, at most: they are the rarer.
+    toxic_weight: float = 6.0
     fairness: float = 4.0
-    ridge: float = 2e-4
+    ridge: float = 1e-4
     steps: int = 400
 
 
@@ -158,14 +160,16 @@ def fit(own: list, swapped: list, labels: np.ndarray, n: int, training: Training
     c_at = np.concatenate([size(gone), size(came)]).astype(np.int64)
     c_key = np.concatenate([*map(np.asarray, gone), *map(np.asarray, came), np.zeros(0)]).astype(np.int64)
     c_sign = np.repeat([1.0, -1.0], [sum(map(len, gone)), sum(map(len, came))])
-    m, w, b = len(labels), np.zeros(n), 0.0
+    toxic = labels.sum()
+    cost = np.where(labels > 0, min(training.toxic_weight, (len(labels) - toxic) / max(1.0, toxic)), 1.0)
+    m, w, b = cost.sum(), np.zeros(n), 0.0
     vw, vb = np.zeros(n), 0.0
     rate = 1.0
     s_w, s_b = np.full(n, 1e-8), 1e-8
     for step in range(training.steps):
-        z = np.bincount(at, w[key], m) + b
+        z = np.bincount(at, w[key], len(labels)) + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        error = (p - labels) / m
+        error = cost * (p - labels) / m
         g = np.bincount(key, error[at], n) + training.ridge * w
         if len(pairs):
             change = np.bincount(c_at, c_sign * w[c_key], len(pairs))
