@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import tempfile
 import uuid
@@ -40,7 +41,11 @@ def cut(df: DataFrame) -> DataFrame:
     at = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint()
+    out = df.checkpoint()
+    # the driver's collector frees the shuffle files of what no frame refers to any more
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def rows_of_literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

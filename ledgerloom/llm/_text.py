@@ -117,6 +117,20 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out ^ ((ends - starts).astype(U) * U(0xD6E8FEB86659FD93)))
 
 
+def window_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive bytes; shorter by n - 1."""
+    power, inverse = _tables()
+    out = np.empty(max(0, len(data) - n + 1), U)
+    step = PIECE - n
+    for low in range(0, len(out), step):
+        part = _BYTE[data[low : low + step + n - 1]]
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum(part * power[: len(part)], out=sums[1:])
+        k = len(part) - n + 1
+        out[low : low + k] = mix((sums[n:] - sums[:k]) * inverse[:k])
+    return out
+
+
 def join_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive elements, by doubling; shorter by n - 1."""
     if len(h) < n:
@@ -138,3 +152,29 @@ def join_hashes(h: np.ndarray, n: int) -> np.ndarray:
 def rows_of(first: np.ndarray) -> np.ndarray:
     """The row of each run."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def pack(x: np.ndarray) -> bytes:
+    """The array's bytes, first bytes first: zeros of small numbers lie together and compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+
+
+def unpack(data: bytes, kind: np.dtype) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """xxhash64 of 64-bit integers with seed 42, as Spark computes it."""
+    p1, p2, p3, p4, p5 = (U(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, n: v << U(n) | v >> U(64 - n)
+    with np.errstate(over="ignore"):
+        h = turn((U(42) + p5 + U(8)) ^ turn(x.astype(np.int64).view(U) * p2, 31) * p1, 27) * p1 + p4
+    h = (h ^ (h >> U(33))) * p2
+    h = (h ^ (h >> U(29))) * p3
+    return (h ^ (h >> U(32))).view(np.int64)
+
+
+def part_of(x: np.ndarray, parts: int) -> np.ndarray:
+    """pmod(xxhash64(x), parts)."""
+    return np.mod(spark_hash(x), parts).astype(np.int32)

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._groups import whole_groups
 from ledgerloom.llm._shared import cut
 from ledgerloom.llm._text import U, blocks, join_hashes, mix, raw, rows_of, run_hashes, spans
 from ledgerloom.llm.components import components
@@ -160,30 +161,6 @@ def _led(members: np.ndarray, likely: float) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Whole groups of rows that follow one another with equal keys, several of them in each table."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        same = np.ones(batch.num_rows - 1, bool)
-        for k in keys:
-            x = np.asarray(batch.column(k))
-            same &= x[1:] == x[:-1]
-        edges = np.flatnonzero(~same) + 1
-        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
-            yield pa.Table.from_batches(held)
-            held = []
-        if len(edges):
-            cut_at = int(edges[-1])
-            yield pa.Table.from_batches([*held, batch.slice(0, cut_at)])
-            held = [batch.slice(cut_at)]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _edges(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
     new = np.zeros(table.num_rows, bool)
     new[:1] = True
@@ -202,7 +179,7 @@ def _lead(near: Near):
     """Candidates of each bucket part, and a row (member null) for each leader with the members it led."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ("bucket", "part")):
+        for table in whole_groups(batches, ("bucket", "part")):
             edges, ids, briefs = _edges(table, ("bucket", "part")), table.column("doc_id").to_numpy(), _briefs(table.column("brief"), near.size)
             buckets = table.column("bucket").to_numpy()
             lead, member, bucket, led = [], [], [], []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, dart_minhash, quality_rules, ring_sharding, string_tiling, toxicity
+from ledgerloom.llm import chat_format, dart_minhash, quality_rules, ring_sharding, string_tiling, suffix_dedup, toxicity
 from ledgerloom.llm._shared import rows_of_literals, share_code, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"
