@@ -1,4 +1,4 @@
-"""Whole groups of sorted Arrow rows."""
+"""Rows of packed arrays, and whole groups of sorted Arrow rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from ledgerloom.llm._text import pack, unpack
+
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """Tables of whole groups of rows that follow one another with equal keys, one or more groups in each."""
@@ -30,3 +32,32 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> It
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def by_key(table: pa.Table) -> Iterator[pa.Table]:
+    key = table.column("key").to_numpy()
+    edges = np.append(np.flatnonzero(np.diff(key, prepend=key[:1] - 1)), len(key))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield table.slice(a, b - a)
+
+
+def packed_rows(key: np.ndarray, arrays: list[np.ndarray], kinds: tuple, **same) -> Iterator[pa.RecordBatch]:
+    """A row for each key with its elements packed."""
+    order = np.argsort(key, kind="stable")
+    key, arrays = key[order], [x[order].astype(kind) for x, (_, kind) in zip(arrays, kinds, strict=True)]
+    edges = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
+    if len(edges):
+        pieces = [[pack(p) for p in np.split(x, edges[1:])] for x in arrays]
+        yield pa.record_batch({"key": pa.array(key[edges], pa.int32())} | {k: pa.array([v] * len(edges)) for k, v in same.items()} | {name: pa.array(p, pa.binary()) for p, (name, _) in zip(pieces, kinds, strict=True)})
+
+
+def unpacked(table: pa.Table, kinds: tuple) -> list[np.ndarray]:
+    return [np.concatenate([unpack(x, kind) for x in table.column(name).to_pylist() if x] or [np.zeros(0, kind)]) for name, kind in kinds]
+
+
+def covered(n: int, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of n bytes lie in a span."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, np.minimum(low, n), 1)
+    np.add.at(change, np.minimum(low + size, n), -1)
+    return np.cumsum(change[:n]) > 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, dart_minhash, quality_rules, ring_sharding, string_tiling, suffix_dedup, toxicity
+from ledgerloom.llm import chat_format, dart_minhash, quality_rules, recompression, ring_sharding, string_tiling, suffix_dedup, toxicity
 from ledgerloom.llm._shared import rows_of_literals, share_code, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows))
 
 
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._anchors import anchors
-from ledgerloom.llm._groups import whole_groups
+from ledgerloom.llm._groups import by_key, covered, packed_rows, unpacked, whole_groups
 from ledgerloom.llm._shared import cut
 from ledgerloom.llm._text import U, blocks, mix, pack, part_of, raw, run_hashes, unpack, window_hashes
 from ledgerloom.llm.suffix_arrays import common_prefixes, suffix_array
@@ -63,20 +63,6 @@ def _packed(kinds: tuple) -> dict[str, pa.DataType]:
     return {name: pa.binary() for name, _ in kinds}
 
 
-def _rows(key: np.ndarray, arrays: list[np.ndarray], kinds: tuple, **same) -> Iterator[pa.RecordBatch]:
-    """A row for each key with its elements packed."""
-    order = np.argsort(key, kind="stable")
-    key, arrays = key[order], [x[order].astype(kind) for x, (_, kind) in zip(arrays, kinds, strict=True)]
-    edges = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
-    if len(edges):
-        pieces = [[pack(p) for p in np.split(x, edges[1:])] for x in arrays]
-        yield pa.record_batch({"key": pa.array(key[edges], pa.int32())} | {k: pa.array([v] * len(edges)) for k, v in same.items()} | {name: pa.array(p, pa.binary()) for p, (name, _) in zip(pieces, kinds, strict=True)})
-
-
-def _unpacked(table: pa.Table, kinds: tuple) -> list[np.ndarray]:
-    return [np.concatenate([unpack(x, kind) for x in table.column(name).to_pylist() if x] or [np.zeros(0, kind)]) for name, kind in kinds]
-
-
 def occurrences(block: pa.RecordBatch, repeats: Repeats) -> list[np.ndarray]:
     """fp, context, doc, low, size of each anchor occurrence of the block's texts."""
     data, offsets = raw(block.column("text"))
@@ -109,10 +95,10 @@ def _scan(repeats: Repeats, buckets: int, parts: int):
                 first = doc[k][new][np.cumsum(new) - 1] if len(k) else doc[k]
                 gone = k[doc[k] > first]
                 # decided here: kept apart from the buckets, and spread like them
-                yield from _rows(-1 - part_of(doc[gone], parts), [fp[gone], context[gone], doc[gone], low[gone], size[gone]], _OCCURRENCE)
+                yield from packed_rows(-1 - part_of(doc[gone], parts), [fp[gone], context[gone], doc[gone], low[gone], size[gone]], _OCCURRENCE)
                 stay = np.ones(len(fp), bool)
                 stay[gone] = False
-                yield from _rows((fp[stay] >> U(40)).astype(np.int64) % buckets, [fp[stay], context[stay], doc[stay], low[stay], size[stay]], _OCCURRENCE)
+                yield from packed_rows((fp[stay] >> U(40)).astype(np.int64) % buckets, [fp[stay], context[stay], doc[stay], low[stay], size[stay]], _OCCURRENCE)
 
     return run
 
@@ -122,8 +108,8 @@ def _decide(repeats: Repeats, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ("key",)):
-            for table in _by_key(table):
-                yield from bucket(int(table.column("key")[0].as_py()), *_unpacked(table, _OCCURRENCE))
+            for table in by_key(table):
+                yield from bucket(int(table.column("key")[0].as_py()), *unpacked(table, _OCCURRENCE))
 
     def bucket(key: int, fp, context, doc, low, size) -> Iterator[pa.RecordBatch]:
         gone = np.arange(len(fp)) if key < 0 else None
@@ -150,7 +136,7 @@ def _decide(repeats: Repeats, parts: int):
             np.maximum.at(most, group[new], first[new])
             k = k[~decided & ((contexts > 1) & (least < most))[group]]
         part = part_of(doc[gone], parts)
-        for b in _rows(part, [doc[gone], low[gone], size[gone]], _SPAN):
+        for b in packed_rows(part, [doc[gone], low[gone], size[gone]], _SPAN):
             yield _as(b, kind=0, shard=None, split=None)
         # open contexts go to shards in the order of their anchors
         upto = np.cumsum(size[k].astype(np.int64))
@@ -166,7 +152,7 @@ def _decide(repeats: Repeats, parts: int):
             for split in (False, True):
                 own = (where == shard) & (large[group] == split)
                 j = k[own]
-                for b in _rows(part_of(doc[j], parts), [doc[j], low[j], size[j], fp[j]], _ASK):
+                for b in packed_rows(part_of(doc[j], parts), [doc[j], low[j], size[j], fp[j]], _ASK):
                     yield _as(b, kind=1, shard=(key << 24) + shard, split=split)
 
     return run
@@ -181,13 +167,6 @@ def _as(batch: pa.RecordBatch, **same) -> pa.RecordBatch:
     return pa.record_batch([batch.column(k) if k in batch.schema.names else pa.array([same.get(k)] * n, kind) for k, kind in _DECIDED.items()], names=list(_DECIDED))
 
 
-def _by_key(table: pa.Table) -> Iterator[pa.Table]:
-    key = table.column("key").to_numpy()
-    edges = np.append(np.flatnonzero(np.diff(key, prepend=key[:1] - 1)), len(key))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield table.slice(a, b - a)
-
-
 def _fetch(parts: int):
     """The bytes of open contexts, as rows for their shards."""
 
@@ -261,7 +240,7 @@ def _sort_shards(repeats: Repeats, parts: int, merges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ("key",)):
-            for table in _by_key(table):
+            for table in by_key(table):
                 doc, low, size = (np.concatenate([unpack(x, k) for x in table.column(n).to_pylist()]) for n, k in _SPAN)
                 data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
                 counts = [len(x) // 8 for x in table.column("doc").to_pylist()]
@@ -285,7 +264,7 @@ def _sort_shards(repeats: Repeats, parts: int, merges: int):
 
 
 def _rows_of_spans(spans: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
-    yield from _rows(part_of(spans[0], parts), spans, _SPAN)
+    yield from packed_rows(part_of(spans[0], parts), spans, _SPAN)
 
 
 def _merge(repeats: Repeats, parts: int):
@@ -293,7 +272,7 @@ def _merge(repeats: Repeats, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ("key",)):
-            for table in _by_key(table):
+            for table in by_key(table):
                 lists = [np.frombuffer(x, f"S{repeats.width}") for x in table.column("strings").to_pylist()]
                 doc = [unpack(x, np.int64) for x in table.column("doc").to_pylist()]
                 low = [unpack(x, np.int32) for x in table.column("low").to_pylist()]
@@ -310,19 +289,11 @@ def _merge(repeats: Repeats, parts: int):
     return run
 
 
-def covered(n: int, low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which of n bytes lie in a span."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, np.minimum(low, n), 1)
-    np.add.at(change, np.minimum(low + size, n), -1)
-    return np.cumsum(change[:n]) > 0
-
-
 def _apply(schema: pa.Schema, texts: bool):
     """The documents of a part with their spans taken out."""
 
     def run(spans: pa.Table, docs: pa.Table) -> pa.Table:
-        doc, low, size = _unpacked(spans, _SPAN)
+        doc, low, size = unpacked(spans, _SPAN)
         order = np.argsort(doc, kind="stable")
         doc, low, size = doc[order], low[order], size[order]
         data, offsets = raw(docs.column("text"))
