@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, dart_minhash, quality_rules, recompression, ring_sharding, string_tiling, suffix_dedup, toxicity
+from ledgerloom.llm import chat_format, dart_minhash, merge_dropout, quality_rules, recompression, ring_sharding, string_tiling, suffix_dedup, toxicity, warc
 from ledgerloom.llm._shared import rows_of_literals, share_code, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -103,5 +111,17 @@ FROM e GROUP BY conv_id
 """
 
 
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS n, html, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+v AS (SELECT *, list_transform(string_split(hex, ''), lambda c: instr('0123456789abcdef', c) - 1) AS d FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((((16 * d[i * 5 // 4 + 1] + coalesce(d[i * 5 // 4 + 2], 0)) >> CAST(3 - i * 5 % 4 AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": OP7_SQL, "op8_chat_format": OP8_SQL}
+    return {"op5_warc": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_chat_format": OP8_SQL}
