@@ -296,7 +296,8 @@ def near_duplicates(documents: DataFrame, near: Near = Near()) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, near: Near = Near()) -> DataFrame:
-    """The document of the smallest doc_id of each class, in its own columns; repeated rows of it are dropped too."""
+    """The document of the smallest doc_id of each class, in its own columns; repeated rows of it go, rows without a doc_id stay."""
     classes = near_duplicates(documents, near)
     kept = cut(classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct())
-    return documents.join(kept, documents["doc_id"] == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
+    one = documents.join(kept, documents["doc_id"] == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
+    return one.union(documents.where("doc_id is null"))

@@ -337,3 +337,16 @@ def remove_repeats(documents: DataFrame, repeats: Repeats = Repeats(), texts: bo
     schema = pa.schema(fields if texts else fields[:-1])
     sql = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
     return spans.groupBy("key").cogroup(placed.groupBy("key")).applyInArrow(_apply(schema, texts), sql)
+
+
+def deduplicate(documents: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
+    """The documents in their own columns, without their repeats; those of which white space at most is left go.
+
+    Rows are matched by doc_id and text, so other columns stay with their row; n_chars follows where it is a column.
+    """
+    removed = remove_repeats(documents, repeats, texts=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("n_bytes").alias("__n"), F.col("kept_text").alias("__kept")).dropDuplicates(["__id", "__n"])
+    joined = documents.join(removed, (documents["doc_id"] == F.col("__id")) & (F.octet_length(documents["text"]) == F.col("__n")), "left")
+    out = joined.where(F.col("__id").isNull() | F.col("__kept").rlike(r"\S")).withColumn("text", F.coalesce("__kept", "text"))
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return out.select(*documents.columns)
