@@ -143,8 +143,8 @@ class Seeds:
         pair = row[at] * len(self.ids) + self.seed_item[seed]
         order = np.argsort(pair, kind="stable")
         at, seed, pair = at[order], seed[order], pair[order]
-        edges = np.flatnonzero(np.diff(pair, prepend=-1))
-        for low, high in zip(edges.tolist(), [*edges[1:].tolist(), len(pair)], strict=True):
+        edges = [*np.flatnonzero(np.diff(pair, prepend=-1)).tolist(), len(pair)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
             r, item = divmod(int(pair[low]), len(self.ids))
             base, size = self.first[item], int(self.count[item])
             reach = np.zeros(size + 1, np.int64)
