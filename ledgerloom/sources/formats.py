@@ -112,3 +112,12 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, most: int = 10_0
 def kafka_sink(df: DataFrame, servers: str, topic: str, checkpoint: str):
     """Writes key and value, acknowledged by all replicas."""
     return df.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("topic", topic).option("checkpointLocation", checkpoint)
+
+
+def append(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Appends metric rows, in folders by the columns named."""
+    df.write.mode("append").partitionBy(*by).parquet(path)
+
+
+def append_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:
+    df.write.mode("append").format("jdbc").options(url=url, dbtable=table, **options).save()
