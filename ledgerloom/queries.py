@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import date
 
@@ -29,6 +30,7 @@ PARTS = "subtotal + tax_amount - discount_amount"
 def add(name: str, run: Query, sql: str | None = None, views: bool = True) -> None:
     QUERIES[name] = run
     if sql:
+        sql = re.sub(r"count_if\(", "count(*) FILTER (WHERE ", sql)
         ORACLES[name] = oracle(sql) if views else sql
 
 
@@ -252,10 +254,10 @@ add("entity_same_as", lambda s, d: graph.same_as(_graph(s, d)["vendor"], _graph(
 
 # rollups
 _ERR = "event_type = 'click'"
-add("rollup_hourly", lambda s, d: rounded(rollups.rollup(read(s, d, "events"), "hour", ["event_type"], error=F.expr("value < 10"))), "SELECT date_trunc('hour', ts) AS bucket, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, count_if(value < 10) AS n_errors FROM events GROUP BY ALL", False)
-add("rollup_daily", lambda s, d: rounded(rollups.daily(read(s, d, "events"), ["event_type"], success=F.expr("value >= 10")), 4), "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count_if(value >= 10) AS n_success, round(avg(value), 4) AS mean, round(sum(value), 4) AS total FROM events GROUP BY ALL", False)
-add("error_rate_series", lambda s, d: rounded(rollups.error_rates(read(s, d, "events"), "15 minutes", F.expr(_ERR))), f"SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS bucket, count(*) AS total, count_if({_ERR}) AS errors, round(count_if({_ERR}) / count(*), 6) AS error_rate FROM events GROUP BY ALL", False)
-add("tenant_summary", lambda s, d: rounded(rollups.tenant_summary(read(s, d, "events"), "event_type", F.expr("value < 10")), 4), "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, round(sum(value), 4) AS total, max(ts) AS last_at, round(count_if(value < 10) / count(*), 4) AS error_rate FROM events GROUP BY event_type", False)
+add("rollup_hourly", lambda s, d: rounded(rollups.rollup(read(s, d, "events"), "hour", ["event_type"], error=F.expr("value < 10")), 10), "SELECT date_trunc('hour', ts) AS bucket, event_type, count(*) AS n, round(avg(value), 10) AS mean, round(quantile_cont(value, 0.5), 10) AS p50, round(quantile_cont(value, 0.95), 10) AS p95, round(quantile_cont(value, 0.99), 10) AS p99, count_if(value < 10) AS n_errors FROM events GROUP BY ALL", False)
+add("rollup_daily", lambda s, d: rounded(rollups.daily(read(s, d, "events"), ["event_type"], success=F.expr("value >= 10")), 10), "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count_if(value >= 10) AS n_success, round(avg(value), 10) AS mean, round(sum(value), 10) AS total FROM events GROUP BY ALL", False)
+add("error_rate_series", lambda s, d: rounded(rollups.error_rates(read(s, d, "events"), "15 minutes", F.expr(_ERR)), 10), f"SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS bucket, count(*) AS total, count_if({_ERR}) AS errors, round(count_if({_ERR}) / count(*), 10) AS error_rate FROM events GROUP BY ALL", False)
+add("tenant_summary", lambda s, d: rounded(rollups.tenant_summary(read(s, d, "events"), "event_type", F.expr("value < 10")), 10), "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, round(sum(value), 10) AS total, max(ts) AS last_at, round(count_if(value < 10) / count(*), 10) AS error_rate FROM events GROUP BY event_type", False)
 
 
 def anomaly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
