@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import json
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,12 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir; where it is unset and all runs in one process, a new one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at and (known := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         at = known.get()
     if not at:
-        at = Path(tempfile.mkdtemp(prefix="ledgerloom-")).as_uri()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = Path(folder).as_uri()
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -42,7 +49,8 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     out = df.checkpoint()
-    # the driver's collector frees the shuffle files of what no frame refers to any more
+    # the driver's collector frees the shuffle files of plans that nothing refers to any more, this one's too
+    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out

@@ -48,7 +48,7 @@ from ledgerloom.llm.suffix_arrays import common_prefixes, suffix_array
 class Repeats:
     width: int = 50
     gram: int = 20
-    shard_bytes: int = 4 << 20
+    shard_bytes: int = 2 << 20
     #: Bytes of text for each bucket of anchors and for each part of the documents.
     bucket_bytes: int = 12 << 20
     part_bytes: int = 16 << 20
@@ -82,7 +82,7 @@ def occurrences(block: pa.RecordBatch, repeats: Repeats) -> list[np.ndarray]:
 def _scan(repeats: Repeats, buckets: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, most=1 << 23):
+            for block in blocks(batch, most=1 << 22):
                 fp, context, doc, low, size = occurrences(block, repeats)
                 order = np.argsort(fp, kind="stable")
                 again = fp[order][1:] == fp[order][:-1]
