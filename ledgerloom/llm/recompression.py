@@ -8,8 +8,9 @@ bounded (`caps` words), so what becomes of a place depends on the words near it
 but for `margin` words at either end (see `margins`).
 
 1. Documents are read once. Each window picks the symbol of the least hash in its interior, so equal windows pick equal
-   symbols at equal places. For each pick, the symbol's name, a hash of its context (the words of all windows that
-   picked it), doc_id and place go to the bucket of the name, packed; equal contexts of a block send one record.
+   symbols at equal places. For each pick, the symbol's name (with the words about it that each of its windows holds, as
+   a common symbol alone reveals nothing), a hash of its context (the words of all windows that picked it), doc_id and
+   place go to the bucket of the name, packed; equal contexts of a block send one record.
 2. Contexts that occur twice verify all their windows at once. Symbols shared by contexts that differ leave these open.
 3. Open contexts fetch their words, and two hashes of each of their windows meet by bucket: windows that occur twice
    are verified one by one.
@@ -144,7 +145,9 @@ def picks(block: pa.RecordBatch, width: int) -> list[np.ndarray]:
     whole = join_hashes(words, width)
     context = mix(whole[low] ^ mix(whole[high] + U(1))) ^ mix(((high - low) * 64 + (at - low)).astype(U)) if len(low) else np.zeros(0, U)
     inner = _between(words, low, high + width)
-    return [names[at], context ^ inner, np.asarray(ids, np.int64)[row[low]], (low - first[row[low]]).astype(np.int32), (high - low + width).astype(np.uint8)]
+    # the words that every window of a pick holds, so that common symbols in different surroundings don't meet
+    core = join_hashes(words, width - within + 1)
+    return [mix(names[at] ^ core[at - margin]), context ^ inner, np.asarray(ids, np.int64)[row[low]], (low - first[row[low]]).astype(np.int32), (high - low + width).astype(np.uint8)]
 
 
 def _between(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
