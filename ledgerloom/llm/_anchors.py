@@ -20,12 +20,21 @@ def least_in(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+#: Windows that are looked at together: places in them fit the 24 low bits.
+AT_ONCE = 1 << 23
+
+
 def anchors(h: np.ndarray, within: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For windows of `within` consecutive hashes: (anchor, first window, last window) of each run of windows with one anchor.
 
     A window's anchor is its leftmost hash of the least 40 high bits, so equal windows have it at the same place.
-    valid: which windows count; a run never holds one that doesn't.
+    valid: which windows count; a run never holds one that doesn't. A run may also end every AT_ONCE windows.
     """
+    parts = [_anchors(h[k : k + AT_ONCE + within - 1], within, valid[k : k + AT_ONCE]) for k in range(0, max(1, len(valid)), AT_ONCE)]
+    return tuple(np.concatenate([part[i] + k * AT_ONCE for k, part in enumerate(parts)]) for i in range(3))
+
+
+def _anchors(h: np.ndarray, within: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = (h >> U(24) << U(24)) | np.arange(len(h), dtype=U) & U(0xFFFFFF)
     least = least_in(order, within)
     starts = np.flatnonzero(valid)
