@@ -2,7 +2,8 @@
 
 Writing: of the pages with equal payloads of at least `revisit_from` bytes the one of the smallest page_id is a response,
 the others are revisits of it; smaller payloads are all responses. First pages are found on digests alone; only revisits
-are joined to the pages, by page_id, so a payload that a third of the pages share is no hot key. Each task writes
+are joined to the pages, by page_id, so a payload that a third of the pages share is no hot key; that join is the only time
+that payloads are shuffled. Each task writes
 archives of about `archive_bytes` under a name of its own and moves them in place when whole, so a task that runs again
 replaces its own files.
 
@@ -134,24 +135,22 @@ def parse(content: bytes) -> dict:
 
 
 def classify(pages: DataFrame, archive: Archive) -> DataFrame:
-    """page_id, url, html, refers_to, is_revisit of each page."""
+    """page_id, url, html, refers_to of each page: the first page of its payload, where it isn't that one itself.
+
+    Rows that repeat page_id and payload come one after the other.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     keys = pages.select("page_id", F.sha2(payload.cast("binary"), 256).alias("d"), F.octet_length(payload).alias("n")).where(F.col("n") >= archive.revisit_from)
-    shared = keys.groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("pages")).where("pages > 1")
-    # repeated (page_id, payload) rows are counted, so that of them only one is a response
-    own = keys.groupBy("page_id", "d").agg(F.count("*").alias("rows")).join(shared, "d").select(F.col("page_id").alias("id"), "d", "first")
+    shared = keys.groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("pages")).where("pages > 1").select("d", "first")
+    # one row a page and payload, so the pages meet few and narrow rows, by page
+    own = keys.select("page_id", "d").distinct().join(shared, "d").select(F.col("page_id").alias("id"), "d", "first")
     joined = pages.select("page_id", "url", "html", F.sha2(payload.cast("binary"), 256).alias("d0")).join(own, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("d0") == F.col("d")), "left")
-    turn = F.row_number().over(Window.partitionBy("page_id", "d0").orderBy("url"))
-    revisit = F.col("d").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("first")) | (turn > 1))
-    out = joined.withColumn("is_revisit", revisit)
-    return out.select("page_id", "url", "html", F.when(F.col("is_revisit"), F.col("first")).alias("refers_to"), "is_revisit")
+    return joined.select("page_id", "url", "html", F.col("first").alias("refers_to"), F.col("d").isNotNull().alias("shared"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive: Archive = Archive()) -> DataFrame:
     """Writes all pages under folder, as *.warc.gz, and returns (archive, records) of the files, once written."""
     spark = pages.sparkSession
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    parts = max(1, -(-total // (4 * archive.archive_bytes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -159,6 +158,7 @@ def write_archives(pages: DataFrame, folder: str, archive: Archive = Archive())
         task = TaskContext.get()
         store, base = pyarrow.fs.FileSystem.from_uri(folder)
         out, held, size, n = [], [], 0, 0
+        last = None
 
         def close() -> None:
             nonlocal held, size, n
@@ -172,8 +172,10 @@ def write_archives(pages: DataFrame, folder: str, archive: Archive = Archive())
 
         store.create_dir(base)
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "refers_to", "is_revisit")), strict=True):
-                held.append(record(*row))
+            for page_id, url, html, first, is_shared in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "refers_to", "shared")), strict=True):
+                again = is_shared and last == (page_id, html or "")
+                last = (page_id, html or "")
+                held.append(record(page_id, url, html, first, is_shared and (page_id != first or again)))
                 size, n = size + len(held[-1]), n + 1
                 if size >= archive.archive_bytes:
                     close()
@@ -181,9 +183,8 @@ def write_archives(pages: DataFrame, folder: str, archive: Archive = Archive())
             close()
         yield pa.record_batch({"archive": pa.array([x[0] for x in out], pa.string()), "records": pa.array([x[1] for x in out], pa.int64())})
 
-    rows = classify(pages, archive).repartition(parts, F.xxhash64("page_id", "html")).sortWithinPartitions("page_id", "is_revisit", "url")
     manifest = f"{folder}-manifest"
-    rows.mapInArrow(run, "archive string, records long").write.parquet(manifest)
+    classify(pages, archive).sortWithinPartitions("page_id", "html", "url").mapInArrow(run, "archive string, records long").write.parquet(manifest)
     return spark.read.parquet(manifest)
 
 
