@@ -39,7 +39,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def fql(text: str, params: dict | None = None, report: str | None = None, then=None, **options) -> Query:
+def ql(text: str, params: dict | None = None, report: str | None = None, then=None, **options) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         r = Engine(catalog(spark, sf_dir), **options).sql(text, params)
         df = r.reports[report] if report else r.rows
@@ -57,12 +57,12 @@ COLUMNS = "id, invoice_number, vendor_name, total_amount"
 
 
 def _plain(name: str, where: str, sql_where: str | None = None, params: dict | None = None, table: str = "invoices", columns: str = COLUMNS) -> None:
-    add(name, fql(f"SELECT {columns} FROM {table} WHERE {where}", params), f"SELECT {columns} FROM {table} WHERE {sql_where or where}")
+    add(name, ql(f"SELECT {columns} FROM {table} WHERE {where}", params), f"SELECT {columns} FROM {table} WHERE {sql_where or where}")
 
 
-add("select_columns", fql("SELECT id, invoice_number AS number, total_amount total FROM invoices"), "SELECT id, invoice_number AS number, total_amount AS total FROM invoices")
-add("select_star", fql("SELECT * FROM contracts"), "SELECT * FROM contracts")
-add("qualified_star", fql(f"SELECT inv.id AS invoice, con.* FROM {ZIP.format(kind='INNER')}"), f"SELECT inv.id AS invoice, {', '.join(f'con.{c} AS con_{c}' for c in ('id', 'title', 'contract_type', 'party_name', 'total_value', 'currency', 'effective_date', 'expiration_date'))} {DUCK_ZIP.format(kind='')}")
+add("select_columns", ql("SELECT id, invoice_number AS number, total_amount total FROM invoices"), "SELECT id, invoice_number AS number, total_amount AS total FROM invoices")
+add("select_star", ql("SELECT * FROM contracts"), "SELECT * FROM contracts")
+add("qualified_star", ql(f"SELECT inv.id AS invoice, con.* FROM {ZIP.format(kind='INNER')}"), f"SELECT inv.id AS invoice, {', '.join(f'con.{c} AS con_{c}' for c in ('id', 'title', 'contract_type', 'party_name', 'total_value', 'currency', 'effective_date', 'expiration_date'))} {DUCK_ZIP.format(kind='')}")
 _plain("where_eq", "currency = 'USD'")
 _plain("where_neq", "currency <> 'USD' AND currency != 'EUR'")
 _plain("where_cmp_numeric", "total_amount >= 100000 AND total_amount < 250000.5")
@@ -76,7 +76,7 @@ _plain("where_in", "currency IN ('USD', 'JPY') AND contract_id NOT IN (1, 2, 3)"
 _plain("where_between", "total_amount BETWEEN 1000 AND 50000 AND invoice_date NOT BETWEEN '1995-01-01' AND '1996-12-31'", "total_amount BETWEEN 1000 AND 50000 AND invoice_date NOT BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'")
 _plain("where_arithmetic", "subtotal + tax_amount - discount_amount - total_amount > 0.01 OR id % 7 = 3")
 _plain("where_param", "total_amount > :least AND vendor_name LIKE :pattern", "total_amount > 200000 AND vendor_name LIKE 'Customer%'", {"least": 200000, "pattern": "Customer%"})
-add("select_arithmetic", fql("SELECT id, -total_amount AS negative, subtotal * 2 AS twice, tax_amount / subtotal AS rate, id % 10 AS digit, 'x' AS mark FROM invoices"), "SELECT id, -total_amount AS negative, subtotal * 2 AS twice, round(CAST(tax_amount AS DOUBLE) / CAST(nullif(subtotal, 0) AS DOUBLE), 6) AS rate, id % 10 AS digit, 'x' AS mark FROM invoices")
+add("select_arithmetic", ql("SELECT id, -total_amount AS negative, subtotal * 2 AS twice, tax_amount / subtotal AS rate, id % 10 AS digit, 'x' AS mark FROM invoices"), "SELECT id, -total_amount AS negative, subtotal * 2 AS twice, round(CAST(tax_amount AS DOUBLE) / CAST(nullif(subtotal, 0) AS DOUBLE), 6) AS rate, id % 10 AS digit, 'x' AS mark FROM invoices")
 
 # the JSON form
 add("json_nested_conditions", js(J.invoices().select("id", "currency").filter(J.any_of(J.all_of(J.eq("currency", "USD"), J.gt("total_amount", 100000)), J.negate(J.is_null("contract_id")))).build()), "SELECT id, currency FROM invoices WHERE (currency = 'USD' AND total_amount > 100000) OR NOT contract_id IS NULL")
@@ -89,12 +89,12 @@ add("json_not_exists_anti", js({"from": "invoices", "select": ["id"], "where": {
 add("json_pipeline", js({"from": "invoices", "pipeline": [{"op": "filter", "condition": {"column": "total_amount", "op": "gt", "value": 0}}, {"op": "aggregate", "groupBy": ["currency"], "aggregates": [{"function": "sum", "field": "total_amount", "alias": "total"}]}]}), "SELECT currency, sum(total_amount) AS total FROM invoices WHERE total_amount > 0 GROUP BY currency")
 
 # order and limit
-add("order_by_multi", fql("SELECT id, currency, total_amount FROM invoices ORDER BY currency DESC, total_amount ASC, id LIMIT 50"), "SELECT id, currency, total_amount FROM invoices ORDER BY currency DESC, total_amount, id LIMIT 50")
-add("order_by_expr", fql("SELECT id, total_amount - subtotal AS extra FROM invoices ORDER BY extra DESC, id LIMIT 25"), "SELECT id, total_amount - subtotal AS extra FROM invoices ORDER BY extra DESC, id LIMIT 25")
-add("order_by_nulls_first", fql("SELECT id, due_date FROM invoices ORDER BY due_date NULLS FIRST, id LIMIT 2000"), "SELECT id, due_date FROM invoices ORDER BY due_date NULLS FIRST, id LIMIT 2000")
-add("order_by_nulls_last", fql("SELECT id, due_date FROM invoices ORDER BY due_date DESC NULLS LAST, id LIMIT 100"), "SELECT id, due_date FROM invoices ORDER BY due_date DESC NULLS LAST, id LIMIT 100")
-add("limit_offset", fql("SELECT id FROM invoices ORDER BY id LIMIT 20 OFFSET 40"), "SELECT id FROM invoices ORDER BY id LIMIT 20 OFFSET 40")
-add("top_k", fql("SELECT invoice_number, total_amount FROM invoices WHERE total_amount > :least AND vendor_name LIKE 'Customer%' ORDER BY total_amount DESC, invoice_number LIMIT 10", {"least": 1000}), "SELECT invoice_number, total_amount FROM invoices WHERE total_amount > 1000 AND vendor_name LIKE 'Customer%' ORDER BY total_amount DESC, invoice_number LIMIT 10")
+add("order_by_multi", ql("SELECT id, currency, total_amount FROM invoices ORDER BY currency DESC, total_amount ASC, id LIMIT 50"), "SELECT id, currency, total_amount FROM invoices ORDER BY currency DESC, total_amount, id LIMIT 50")
+add("order_by_expr", ql("SELECT id, total_amount - subtotal AS extra FROM invoices ORDER BY extra DESC, id LIMIT 25"), "SELECT id, total_amount - subtotal AS extra FROM invoices ORDER BY extra DESC, id LIMIT 25")
+add("order_by_nulls_first", ql("SELECT id, due_date FROM invoices ORDER BY due_date NULLS FIRST, id LIMIT 2000"), "SELECT id, due_date FROM invoices ORDER BY due_date NULLS FIRST, id LIMIT 2000")
+add("order_by_nulls_last", ql("SELECT id, due_date FROM invoices ORDER BY due_date DESC NULLS LAST, id LIMIT 100"), "SELECT id, due_date FROM invoices ORDER BY due_date DESC NULLS LAST, id LIMIT 100")
+add("limit_offset", ql("SELECT id FROM invoices ORDER BY id LIMIT 20 OFFSET 40"), "SELECT id FROM invoices ORDER BY id LIMIT 20 OFFSET 40")
+add("top_k", ql("SELECT invoice_number, total_amount FROM invoices WHERE total_amount > :least AND vendor_name LIKE 'Customer%' ORDER BY total_amount DESC, invoice_number LIMIT 10", {"least": 1000}), "SELECT invoice_number, total_amount FROM invoices WHERE total_amount > 1000 AND vendor_name LIKE 'Customer%' ORDER BY total_amount DESC, invoice_number LIMIT 10")
 add("scan_page", lambda s, d: stores.scan(view(s, d, "invoices"), 30, 60).select("id", "total_amount"), "SELECT id, total_amount FROM invoices ORDER BY id LIMIT 30 OFFSET 60")
 add("point_lookup", lambda s, d: stores.point(view(s, d, "invoices"), 7).select("id", "invoice_number"), "SELECT id, invoice_number FROM invoices WHERE id = 7")
 add("count_rows", lambda s, d: view(s, d, "invoices").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM invoices")
@@ -104,7 +104,7 @@ PAIR = "inv.id AS invoice, con.id AS contract"
 
 
 def _zip(name: str, kind: str, more: str = "", sql_more: str | None = None, columns: str = PAIR, **options) -> None:
-    add(name, fql(f"SELECT {columns} FROM {ZIP.format(kind=kind)} {more}", **options), f"SELECT {columns} {DUCK_ZIP.format(kind=kind)} {more if sql_more is None else sql_more}")
+    add(name, ql(f"SELECT {columns} FROM {ZIP.format(kind=kind)} {more}", **options), f"SELECT {columns} {DUCK_ZIP.format(kind=kind)} {more if sql_more is None else sql_more}")
 
 
 _zip("zip_inner", "INNER")
@@ -115,10 +115,10 @@ _zip("zip_cross_table_arith", "INNER", "WHERE inv.total_amount * 2 > con.total_v
 _zip("zip_period", "INNER", "WHERE inv.invoice_date >= con.effective_date AND (con.expiration_date IS NULL OR inv.invoice_date <= con.expiration_date)")
 _zip("zip_order_limit", "LEFT", "ORDER BY inv.total_amount DESC, inv.id LIMIT 40 OFFSET 10")
 SMALL = "SELECT inv.id AS invoice, con.id AS contract FROM invoices inv CROSS ZIP contracts con ON inv.contract_id = con.id WHERE con.total_value > 500000"
-add("zip_cross_filtered", fql(SMALL), "SELECT inv.id AS invoice, con.id AS contract FROM invoices inv JOIN contracts con ON inv.contract_id = con.id WHERE con.total_value > 500000")
-add("zip_theta", fql("SELECT inv.id AS invoice, con.id AS contract FROM invoices inv ZIP contracts con ON inv.vendor_name = con.party_name AND inv.total_amount > con.total_value"), f"SELECT {PAIR} {DUCK_ZIP.format(kind='')} AND inv.total_amount > con.total_value")
-add("zip_disjunctive", fql("SELECT inv.id AS invoice, con.id AS contract FROM invoices inv ZIP contracts con ON inv.vendor_name = con.party_name AND (inv.currency = con.currency OR inv.total_amount > 100000)"), f"SELECT {PAIR} {DUCK_ZIP.format(kind='')} AND (inv.currency = con.currency OR inv.total_amount > 100000)")
-add("zip_inferred_link", fql("SELECT inv.id AS invoice, con.id AS contract FROM invoices inv ZIP contracts con ON inv.vendor_name = con.party_name", link_mode="inferred"), "SELECT inv.id AS invoice, con.id AS contract FROM invoices inv JOIN contracts con ON inv.contract_id = con.id UNION ALL SELECT inv.id, con.id FROM invoices inv JOIN contracts con ON inv.vendor_name = con.party_name WHERE inv.contract_id IS NULL")
+add("zip_cross_filtered", ql(SMALL), "SELECT inv.id AS invoice, con.id AS contract FROM invoices inv JOIN contracts con ON inv.contract_id = con.id WHERE con.total_value > 500000")
+add("zip_theta", ql("SELECT inv.id AS invoice, con.id AS contract FROM invoices inv ZIP contracts con ON inv.vendor_name = con.party_name AND inv.total_amount > con.total_value"), f"SELECT {PAIR} {DUCK_ZIP.format(kind='')} AND inv.total_amount > con.total_value")
+add("zip_disjunctive", ql("SELECT inv.id AS invoice, con.id AS contract FROM invoices inv ZIP contracts con ON inv.vendor_name = con.party_name AND (inv.currency = con.currency OR inv.total_amount > 100000)"), f"SELECT {PAIR} {DUCK_ZIP.format(kind='')} AND (inv.currency = con.currency OR inv.total_amount > 100000)")
+add("zip_inferred_link", ql("SELECT inv.id AS invoice, con.id AS contract FROM invoices inv ZIP contracts con ON inv.vendor_name = con.party_name", link_mode="inferred"), "SELECT inv.id AS invoice, con.id AS contract FROM invoices inv JOIN contracts con ON inv.contract_id = con.id UNION ALL SELECT inv.id, con.id FROM invoices inv JOIN contracts con ON inv.vendor_name = con.party_name WHERE inv.contract_id IS NULL")
 
 
 def zip_cartesian_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,12 +130,12 @@ def zip_cartesian_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("zip_cartesian_count", zip_cartesian_count, "SELECT (SELECT count(*) FROM invoices WHERE currency = 'USD') * (SELECT count(*) FROM contracts WHERE currency = 'USD') AS n")
 
 # aggregates
-add("agg_global", fql("SELECT COUNT(*) AS n, SUM(total_amount) AS total, AVG(total_amount) AS mean, MIN(invoice_date) AS first_date, MAX(vendor_name) AS last_vendor, COUNT(po_number) AS n_po FROM invoices", then=lambda df: df.withColumn("mean", F.round(F.col("mean").cast("double"), 4))), "SELECT count(*) AS n, sum(total_amount) AS total, round(CAST(avg(total_amount) AS DOUBLE), 4) AS mean, min(invoice_date) AS first_date, max(vendor_name) AS last_vendor, count(po_number) AS n_po FROM invoices")
-add("agg_group_by", fql("SELECT * FROM invoices |> AGGREGATE BY currency INTO count(*) AS n, sum(total_amount) AS total, max(total_amount) AS most"), "SELECT currency, count(*) AS n, sum(total_amount) AS total, max(total_amount) AS most FROM invoices GROUP BY currency")
-add("agg_group_multi", fql(f"SELECT * FROM {ZIP.format(kind='LEFT')} |> AGGREGATE BY contract_type, inv.currency INTO count(inv.id) AS n, min(total_value) AS least"), f"SELECT contract_type, inv.currency AS currency, count(inv.id) AS n, min(total_value) AS least {DUCK_ZIP.format(kind='LEFT')} GROUP BY ALL")
-add("agg_first_last", fql("SELECT * FROM invoices |> AGGREGATE BY vendor_name INTO first(total_amount) AS first_total, last(invoice_number) AS last_number"), "SELECT vendor_name, arg_min(total_amount, id) AS first_total, arg_max(invoice_number, id) AS last_number FROM invoices GROUP BY vendor_name")
-add("agg_collect", fql("SELECT * FROM contracts |> AGGREGATE BY contract_type INTO collect(currency) AS currencies", then=lambda df: df.select("contract_type", F.array_join("currencies", ",").alias("currencies"))), "SELECT contract_type, string_agg(currency, ',' ORDER BY currency) AS currencies FROM contracts GROUP BY contract_type")
-add("analyze_metrics", fql(f"SELECT * FROM {ZIP.format(kind='LEFT')} |> ANALYZE", report="analysis", then=lambda df: df.withColumn("average_invoice_amount", F.round(F.col("average_invoice_amount").cast("double"), 4))), f"SELECT sum(total_amount) AS total_invoice_amount, round(CAST(avg(total_amount) AS DOUBLE), 4) AS average_invoice_amount, count(inv.invoice_number) AS invoice_count, count(con.title) AS contract_count, count(*) AS pair_count {DUCK_ZIP.format(kind='LEFT')}")
+add("agg_global", ql("SELECT COUNT(*) AS n, SUM(total_amount) AS total, AVG(total_amount) AS mean, MIN(invoice_date) AS first_date, MAX(vendor_name) AS last_vendor, COUNT(po_number) AS n_po FROM invoices", then=lambda df: df.withColumn("mean", F.round(F.col("mean").cast("double"), 4))), "SELECT count(*) AS n, sum(total_amount) AS total, round(CAST(avg(total_amount) AS DOUBLE), 4) AS mean, min(invoice_date) AS first_date, max(vendor_name) AS last_vendor, count(po_number) AS n_po FROM invoices")
+add("agg_group_by", ql("SELECT * FROM invoices |> AGGREGATE BY currency INTO count(*) AS n, sum(total_amount) AS total, max(total_amount) AS most"), "SELECT currency, count(*) AS n, sum(total_amount) AS total, max(total_amount) AS most FROM invoices GROUP BY currency")
+add("agg_group_multi", ql(f"SELECT * FROM {ZIP.format(kind='LEFT')} |> AGGREGATE BY contract_type, inv.currency INTO count(inv.id) AS n, min(total_value) AS least"), f"SELECT contract_type, inv.currency AS currency, count(inv.id) AS n, min(total_value) AS least {DUCK_ZIP.format(kind='LEFT')} GROUP BY ALL")
+add("agg_first_last", ql("SELECT * FROM invoices |> AGGREGATE BY vendor_name INTO first(total_amount) AS first_total, last(invoice_number) AS last_number"), "SELECT vendor_name, arg_min(total_amount, id) AS first_total, arg_max(invoice_number, id) AS last_number FROM invoices GROUP BY vendor_name")
+add("agg_collect", ql("SELECT * FROM contracts |> AGGREGATE BY contract_type INTO collect(currency) AS currencies", then=lambda df: df.select("contract_type", F.array_join("currencies", ",").alias("currencies"))), "SELECT contract_type, string_agg(currency, ',' ORDER BY currency) AS currencies FROM contracts GROUP BY contract_type")
+add("analyze_metrics", ql(f"SELECT * FROM {ZIP.format(kind='LEFT')} |> ANALYZE", report="analysis", then=lambda df: df.withColumn("average_invoice_amount", F.round(F.col("average_invoice_amount").cast("double"), 4))), f"SELECT sum(total_amount) AS total_invoice_amount, round(CAST(avg(total_amount) AS DOUBLE), 4) AS average_invoice_amount, count(inv.invoice_number) AS invoice_count, count(con.title) AS contract_count, count(*) AS pair_count {DUCK_ZIP.format(kind='LEFT')}")
 add("zip_metadata", lambda s, d: analyze.zip_metadata(Engine(catalog(s, d)).sql(f"SELECT inv.id AS i, con.id AS c FROM {ZIP.format(kind='LEFT')}").rows, F.col("i"), F.col("c")), f"SELECT count(inv.id) AS invoice_count, count(con.id) AS contract_count, greatest(count(inv.id), count(con.id)) AS pair_count {DUCK_ZIP.format(kind='LEFT')}")
 
 # search
@@ -154,13 +154,13 @@ st AS (SELECT count(*) AS n, CAST(sum(len(t)) AS DOUBLE) AS total FROM tk), tf A
 
 
 QUERY = "the thing, that other with the"
-add("vector_top_k", fql("SELECT id, VECTOR_DISTANCE(embedding, :v) AS distance FROM documents WHERE embedding IS NOT NULL ORDER BY distance, id LIMIT 10", {"v": VECTOR}), f"WITH {_DOCS} SELECT id, round(distance, 6) AS distance FROM docs WHERE distance IS NOT NULL ORDER BY docs.distance, id LIMIT 10", False)
-add("vector_threshold", fql("SELECT id FROM documents WHERE VECTOR_DISTANCE(embedding, :v) < 0.95", {"v": VECTOR}), f"WITH {_DOCS} SELECT id FROM docs WHERE distance < 0.95", False)
+add("vector_top_k", ql("SELECT id, VECTOR_DISTANCE(embedding, :v) AS distance FROM documents WHERE embedding IS NOT NULL ORDER BY distance, id LIMIT 10", {"v": VECTOR}), f"WITH {_DOCS} SELECT id, round(distance, 6) AS distance FROM docs WHERE distance IS NOT NULL ORDER BY docs.distance, id LIMIT 10", False)
+add("vector_threshold", ql("SELECT id FROM documents WHERE VECTOR_DISTANCE(embedding, :v) < 0.95", {"v": VECTOR}), f"WITH {_DOCS} SELECT id FROM docs WHERE distance < 0.95", False)
 add("vector_filtered", lambda s, d: rounded(stores.vector_search(catalog(s, d)["documents"], VECTOR, 10, F.col("lang") == "en").select("id", "distance")), f"WITH {_DOCS} SELECT id, round(distance, 6) AS distance FROM docs WHERE distance IS NOT NULL AND lang = 'en' ORDER BY docs.distance, id LIMIT 10", False)
-add("bm25_score", fql("SELECT id, BM25_SCORE(text, :q) AS score FROM documents", {"q": QUERY}), f"WITH {_bm25(QUERY)} SELECT id, round(score, 6) AS score FROM scored", False)
-add("bm25_top_k", fql("SELECT id, BM25_SCORE(text, 'ernd than') AS score FROM documents ORDER BY score DESC, id LIMIT 10"), f"WITH {_bm25('ernd than')} SELECT id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 10", False)
-add("contains_terms", fql("SELECT id FROM documents WHERE CONTAINS(text, 'The AND with')"), rf"WITH {_bm25('the')} SELECT doc_id AS id FROM tk WHERE list_has_all(t, ['the', 'and', 'with'])", False)
-add("hybrid_fusion", fql("SELECT id, HYBRID_SCORE(VECTOR_DISTANCE(embedding, :v), BM25_SCORE(text, :q)) AS score FROM documents WHERE embedding IS NOT NULL ORDER BY score DESC, id LIMIT 10", {"v": VECTOR, "q": QUERY}), f"WITH {_DOCS}, {_bm25(QUERY)} SELECT docs.id AS id, round(0.7 * (1 - least(distance, 1)) + 0.3 * least(score, 10) / 10, 6) AS score FROM docs JOIN scored USING (id) WHERE distance IS NOT NULL ORDER BY 0.7 * (1 - least(distance, 1)) + 0.3 * least(scored.score, 10) / 10 DESC, id LIMIT 10", False)
+add("bm25_score", ql("SELECT id, BM25_SCORE(text, :q) AS score FROM documents", {"q": QUERY}), f"WITH {_bm25(QUERY)} SELECT id, round(score, 6) AS score FROM scored", False)
+add("bm25_top_k", ql("SELECT id, BM25_SCORE(text, 'ernd than') AS score FROM documents ORDER BY score DESC, id LIMIT 10"), f"WITH {_bm25('ernd than')} SELECT id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 10", False)
+add("contains_terms", ql("SELECT id FROM documents WHERE CONTAINS(text, 'The AND with')"), rf"WITH {_bm25('the')} SELECT doc_id AS id FROM tk WHERE list_has_all(t, ['the', 'and', 'with'])", False)
+add("hybrid_fusion", ql("SELECT id, HYBRID_SCORE(VECTOR_DISTANCE(embedding, :v), BM25_SCORE(text, :q)) AS score FROM documents WHERE embedding IS NOT NULL ORDER BY score DESC, id LIMIT 10", {"v": VECTOR, "q": QUERY}), f"WITH {_DOCS}, {_bm25(QUERY)} SELECT docs.id AS id, round(0.7 * (1 - least(distance, 1)) + 0.3 * least(score, 10) / 10, 6) AS score FROM docs JOIN scored USING (id) WHERE distance IS NOT NULL ORDER BY 0.7 * (1 - least(distance, 1)) + 0.3 * least(scored.score, 10) / 10 DESC, id LIMIT 10", False)
 
 
 def fulltext_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +181,7 @@ def _validate(name: str, rules: list[str], fail_fast: bool = False) -> None:
     said = ", ".join(f"'{r}'" for r in rules)
     n = " + ".join(_FINDING.format(_CHECKS[r]) for r in rules)
     n = f"least({n}, 1)" if fail_fast else n
-    add(name, fql(f"SELECT id FROM invoices |> VALIDATE WITH ({said})" + " FAIL_FAST" * fail_fast, then=_counted), f"SELECT id, {n} AS n, {n} = 0 AS is_valid FROM invoices")
+    add(name, ql(f"SELECT id FROM invoices |> VALIDATE WITH ({said})" + " FAIL_FAST" * fail_fast, then=_counted), f"SELECT id, {n} AS n, {n} = 0 AS is_valid FROM invoices")
 
 
 _validate("validate_math", ["math_check"])
@@ -189,22 +189,22 @@ _validate("validate_dates", ["date_check"])
 _validate("validate_required", ["required_fields"])
 _validate("validate_fail_fast", ["math_check", "date_check", "required_fields"], True)
 _validate("validate_all", ["math_check", "date_check", "required_fields"])
-add("validation_summary", fql("SELECT id FROM invoices |> VALIDATE", report="validation"), f"SELECT count(*) AS total, count_if(ok) AS passed, count_if(NOT ok) AS failed FROM (SELECT NOT ({' OR '.join(_CHECKS.values())}) AS ok FROM invoices)")
+add("validation_summary", ql("SELECT id FROM invoices |> VALIDATE", report="validation"), f"SELECT count(*) AS total, count_if(ok) AS passed, count_if(NOT ok) AS failed FROM (SELECT NOT ({' OR '.join(_CHECKS.values())}) AS ok FROM invoices)")
 
 
 def _cross(name: str, pair: str, condition: str, tolerance: str = "") -> None:
-    add(name, fql(f"SELECT inv.id AS invoice, con.id AS contract FROM {ZIP.format(kind='INNER')} |> CROSS_VALIDATE ON {pair} {tolerance}", then=lambda df: df.where(F.size("issues") > 0).drop("issues")), f"SELECT {PAIR} {DUCK_ZIP.format(kind='')} WHERE {condition}")
+    add(name, ql(f"SELECT inv.id AS invoice, con.id AS contract FROM {ZIP.format(kind='INNER')} |> CROSS_VALIDATE ON {pair} {tolerance}", then=lambda df: df.where(F.size("issues") > 0).drop("issues")), f"SELECT {PAIR} {DUCK_ZIP.format(kind='')} WHERE {condition}")
 
 
 _cross("cross_validate_amount", "(inv.total_amount, con.total_value)", "total_amount > total_value * 1.1", "TOLERANCE 0.1")
 _cross("cross_validate_currency", "(currency, currency)", "inv.currency <> con.currency")
 _cross("cross_validate_period", "(invoice_date, contract_period)", "invoice_date NOT BETWEEN effective_date AND expiration_date")
-add("cross_validate_vendor", fql("SELECT inv.id AS invoice, con.id AS contract FROM invoices inv ZIP contracts con ON inv.contract_id = con.id |> CROSS_VALIDATE ON (vendor_name, party_name)", then=lambda df: df.select("invoice", "contract", F.size("issues").alias("n"))), "SELECT inv.id AS invoice, con.id AS contract, CAST(inv.vendor_name <> con.party_name AS INTEGER) AS n FROM invoices inv JOIN contracts con ON inv.contract_id = con.id")
-add("cross_validate_issues", fql(f"SELECT inv.id AS invoice FROM {ZIP.format(kind='INNER')} |> CROSS_VALIDATE ON (total_amount, total_value), (currency, currency)", report="issues"), f"SELECT * FROM (SELECT 'AmountExceedsContract' AS type, 'High' AS severity, count(*) AS n {DUCK_ZIP.format(kind='')} WHERE total_amount > total_value UNION ALL SELECT 'CurrencyMismatch', 'Medium', count(*) {DUCK_ZIP.format(kind='')} WHERE inv.currency <> con.currency)")
-add("pipe_filter", fql(f"SELECT inv.id AS invoice FROM {ZIP.format(kind='LEFT')} |> FILTER con.id IS NULL AND total_amount > 1000"), f"SELECT inv.id AS invoice {DUCK_ZIP.format(kind='LEFT')} WHERE con.id IS NULL AND total_amount > 1000")
-add("pipe_sort", fql("SELECT id, po_number FROM invoices |> SORT BY po_number DESC, id |> TAKE 60"), "SELECT id, po_number FROM invoices ORDER BY po_number DESC NULLS FIRST, id LIMIT 60")
-add("pipe_take", fql("SELECT id FROM invoices ORDER BY id |> TAKE 10 OFFSET 5"), "SELECT id FROM invoices ORDER BY id LIMIT 10 OFFSET 5")
-add("pipe_transform", fql("SELECT * FROM invoices |> TRANSFORM id AS key, total_amount - subtotal AS extra |> FILTER extra > 0"), "SELECT id AS key, total_amount - subtotal AS extra FROM invoices WHERE total_amount - subtotal > 0")
+add("cross_validate_vendor", ql("SELECT inv.id AS invoice, con.id AS contract FROM invoices inv ZIP contracts con ON inv.contract_id = con.id |> CROSS_VALIDATE ON (vendor_name, party_name)", then=lambda df: df.select("invoice", "contract", F.size("issues").alias("n"))), "SELECT inv.id AS invoice, con.id AS contract, CAST(inv.vendor_name <> con.party_name AS INTEGER) AS n FROM invoices inv JOIN contracts con ON inv.contract_id = con.id")
+add("cross_validate_issues", ql(f"SELECT inv.id AS invoice FROM {ZIP.format(kind='INNER')} |> CROSS_VALIDATE ON (total_amount, total_value), (currency, currency)", report="issues"), f"SELECT * FROM (SELECT 'AmountExceedsContract' AS type, 'High' AS severity, count(*) AS n {DUCK_ZIP.format(kind='')} WHERE total_amount > total_value UNION ALL SELECT 'CurrencyMismatch', 'Medium', count(*) {DUCK_ZIP.format(kind='')} WHERE inv.currency <> con.currency)")
+add("pipe_filter", ql(f"SELECT inv.id AS invoice FROM {ZIP.format(kind='LEFT')} |> FILTER con.id IS NULL AND total_amount > 1000"), f"SELECT inv.id AS invoice {DUCK_ZIP.format(kind='LEFT')} WHERE con.id IS NULL AND total_amount > 1000")
+add("pipe_sort", ql("SELECT id, po_number FROM invoices |> SORT BY po_number DESC, id |> TAKE 60"), "SELECT id, po_number FROM invoices ORDER BY po_number DESC NULLS FIRST, id LIMIT 60")
+add("pipe_take", ql("SELECT id FROM invoices ORDER BY id |> TAKE 10 OFFSET 5"), "SELECT id FROM invoices ORDER BY id LIMIT 10 OFFSET 5")
+add("pipe_transform", ql("SELECT * FROM invoices |> TRANSFORM id AS key, total_amount - subtotal AS extra |> FILTER extra > 0"), "SELECT id AS key, total_amount - subtotal AS extra FROM invoices WHERE total_amount - subtotal > 0")
 
 # rules
 _LINE = "SELECT l_orderkey AS id, l_linenumber, CAST(l_quantity AS DECIMAL(18,4)) * CAST(l_extendedprice / l_quantity AS DECIMAL(18,4)) AS product, CAST(l_extendedprice AS DECIMAL(18,4)) AS total FROM lineitem"
@@ -232,7 +232,7 @@ add("percentile_of", lambda s, d: rounded(baseline.scores(view(s, d, "invoices")
 add("outliers", lambda s, d: baseline.outliers(view(s, d, "invoices"), "vendor_name", "total_amount").select("id", "severity", "actual_value"), f"{_SC} SELECT id, 'Medium' AS severity, printf('%.2f', x) AS actual_value FROM s WHERE abs(z) > 2")
 _TREND = "CASE WHEN n < 3 THEN 'Stable' WHEN sd / nullif(abs(m), 0) > 0.5 THEN 'Volatile' WHEN sl / greatest(abs(m), 1) > 0.1 THEN 'Increasing' WHEN sl / greatest(abs(m), 1) < -0.1 THEN 'Decreasing' ELSE 'Stable' END"
 add("trend", lambda s, d: baseline.trends(view(s, d, "invoices"), "vendor_name", "invoice_date", "total_amount").select("vendor_name", "n", "trend"), f"SELECT vendor_name, n, {_TREND} AS trend FROM (SELECT vendor_name, count(x) AS n, coalesce(regr_slope(x, -k), 0) AS sl, avg(x) AS m, stddev_pop(x) AS sd FROM (SELECT vendor_name, CAST(total_amount AS DOUBLE) AS x, row_number() OVER (PARTITION BY vendor_name ORDER BY invoice_date DESC, id DESC) AS k FROM invoices) WHERE k <= 10 GROUP BY vendor_name)")
-add("analyze_baseline", fql("SELECT id FROM invoices |> ANALYZE BASELINE vendor_name WINDOW 365 DAYS THRESHOLD 1.5 METRICS total_amount", then=lambda df: df.select("id", "total_amount_samples", "total_amount_outlier")), "SELECT id, n AS total_amount_samples, coalesce(n >= 5 AND abs(CASE WHEN sd = 0 THEN 0 ELSE (x - m) / sd END) > 1.5, FALSE) AS total_amount_outlier FROM (SELECT id, x, count(x) OVER w AS n, avg(x) OVER w AS m, stddev_pop(x) OVER w AS sd FROM (SELECT *, CAST(total_amount AS DOUBLE) AS x FROM invoices) WINDOW w AS (PARTITION BY vendor_name ORDER BY invoice_date RANGE BETWEEN INTERVAL 365 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))")
+add("analyze_baseline", ql("SELECT id FROM invoices |> ANALYZE BASELINE vendor_name WINDOW 365 DAYS THRESHOLD 1.5 METRICS total_amount", then=lambda df: df.select("id", "total_amount_samples", "total_amount_outlier")), "SELECT id, n AS total_amount_samples, coalesce(n >= 5 AND abs(CASE WHEN sd = 0 THEN 0 ELSE (x - m) / sd END) > 1.5, FALSE) AS total_amount_outlier FROM (SELECT id, x, count(x) OVER w AS n, avg(x) OVER w AS m, stddev_pop(x) OVER w AS sd FROM (SELECT *, CAST(total_amount AS DOUBLE) AS x FROM invoices) WINDOW w AS (PARTITION BY vendor_name ORDER BY invoice_date RANGE BETWEEN INTERVAL 365 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))")
 add("running_stats_every_10", lambda s, d: rounded(baseline.running(read(s, d, "events"), ["event_type"], ["event_id"], "value"), 10).drop("event_id"), "SELECT event_type, n, round(mean, 10) AS mean, round(stddev, 10) AS stddev, low, high FROM (SELECT event_type, count(value) OVER w AS n, avg(value) OVER w AS mean, coalesce(stddev_samp(value) OVER w, 0) AS stddev, min(value) OVER w AS low, max(value) OVER w AS high FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)) WHERE n >= 10 AND n % 10 = 0", False)
 add("moving_average", lambda s, d: rounded(baseline.moving_average(read(s, d, "events"), "event_type", ["event_id"], "value").select("event_id", "moving_avg")), "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS moving_avg FROM events", False)
 
@@ -247,8 +247,8 @@ _G = ", key AS (SELECT *, concat('vendor:', replace(lower(trim(vendor_name)), '
 add("graph_invoices_for_vendor", lambda s, d: graph.invoices_for_vendor(_graph(s, d), "Customer#000000001"), f"{_G} SELECT id AS invoice FROM key WHERE vendor = 'vendor:customer#000000001'")
 add("graph_related_contracts", lambda s, d: graph.related_contracts(_graph(s, d)), f"{_G} SELECT invoice, contract FROM g UNION SELECT k.id, g.contract FROM key k JOIN key k2 USING (vendor) JOIN g ON g.invoice = k2.id")
 add("graph_vendor_network", lambda s, d: graph.vendor_network(_graph(s, d)), f"{_G} SELECT vendor, count(DISTINCT key.id) AS n_invoices, count(DISTINCT contract) AS n_contracts FROM key LEFT JOIN g ON g.invoice = key.id GROUP BY vendor")
-add("graph_traverse_depth2", fql("SELECT id FROM invoices WHERE id % 50 = 0 |> GRAPH TRAVERSE vendor_name DEPTH 2", then=lambda df: df.select("id", "graph_vendor_id", F.size("graph_related_invoices").alias("n_invoices"), F.size("graph_related_contracts").alias("n_contracts"))), f"{_G} SELECT id, vendor AS graph_vendor_id, CAST(n AS INTEGER) AS n_invoices, CAST(m AS INTEGER) AS n_contracts FROM key JOIN (SELECT vendor, count(DISTINCT id) AS n, count(DISTINCT contract_id) AS m FROM key GROUP BY vendor) USING (vendor) WHERE id % 50 = 0")
-add("graph_enrich", fql("SELECT id FROM invoices |> GRAPH ENRICH", then=lambda df: df.select("id", F.array_join(F.col("graph_contracts").cast("array<string>"), ",").alias("contracts"), "graph_vendor_invoice_count")), "SELECT id, coalesce(CAST(contract_id AS VARCHAR), '') AS contracts, count(*) OVER (PARTITION BY vendor_name) AS graph_vendor_invoice_count FROM invoices")
+add("graph_traverse_depth2", ql("SELECT id FROM invoices WHERE id % 50 = 0 |> GRAPH TRAVERSE vendor_name DEPTH 2", then=lambda df: df.select("id", "graph_vendor_id", F.size("graph_related_invoices").alias("n_invoices"), F.size("graph_related_contracts").alias("n_contracts"))), f"{_G} SELECT id, vendor AS graph_vendor_id, CAST(n AS INTEGER) AS n_invoices, CAST(m AS INTEGER) AS n_contracts FROM key JOIN (SELECT vendor, count(DISTINCT id) AS n, count(DISTINCT contract_id) AS m FROM key GROUP BY vendor) USING (vendor) WHERE id % 50 = 0")
+add("graph_enrich", ql("SELECT id FROM invoices |> GRAPH ENRICH", then=lambda df: df.select("id", F.array_join(F.col("graph_contracts").cast("array<string>"), ",").alias("contracts"), "graph_vendor_invoice_count")), "SELECT id, coalesce(CAST(contract_id AS VARCHAR), '') AS contracts, count(*) OVER (PARTITION BY vendor_name) AS graph_vendor_invoice_count FROM invoices")
 add("graph_node_counts", lambda s, d: graph.node_counts(_graph(s, d)), "SELECT 'vendor' AS label, count(DISTINCT vendor_name) AS n FROM invoices UNION ALL SELECT 'invoice', count(*) FROM invoices UNION ALL SELECT 'contract', count(*) FROM contracts UNION ALL SELECT 'party', count(DISTINCT party_name) FROM contracts")
 add("entity_same_as", lambda s, d: graph.same_as(_graph(s, d)["vendor"], _graph(s, d)["party"], "name"), "SELECT DISTINCT concat('vendor:', replace(lower(trim(vendor_name)), ' ', '_')) AS left_key, concat('party:', replace(lower(trim(party_name)), ' ', '_')) AS right_key FROM invoices JOIN contracts ON vendor_name = party_name")
 
