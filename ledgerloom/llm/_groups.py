@@ -61,3 +61,8 @@ def covered(n: int, low: np.ndarray, size: np.ndarray) -> np.ndarray:
     np.add.at(change, np.minimum(low, n), 1)
     np.add.at(change, np.minimum(low + size, n), -1)
     return np.cumsum(change[:n]) > 0
+
+
+def pieces(total: int, each: int) -> int:
+    """How many buckets or parts `total` bytes make: of `each` at most, and of less where that would keep few tasks busy."""
+    return max(1, -(-total // each), min(64, total >> 20))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._anchors import anchors
-from ledgerloom.llm._groups import by_key, covered, packed_rows, unpacked, whole_groups
+from ledgerloom.llm._groups import by_key, covered, packed_rows, pieces, unpacked, whole_groups
 from ledgerloom.llm._shared import cut
 from ledgerloom.llm._text import U, blocks, join_hashes, mix, part_of, raw, rows_of, run_hashes, spans
 
@@ -317,7 +317,7 @@ def _apply(schema: pa.Schema, with_text: bool):
 def remove_passages(documents: DataFrame, passages: Passages = Passages(), texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row, and kept_text if asked for."""
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, parts = -(-total // passages.bucket_bytes) or 1, -(-total // passages.part_bytes) or 1
+    buckets, parts = pieces(total, passages.bucket_bytes), pieces(total, passages.part_bytes)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = docs.mapInArrow(_scan(passages, buckets, parts), "key int, name binary, context binary, doc binary, low binary, size binary, many binary")
     decided = cut(sent.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_decide(parts), _DECIDED_SQL))
