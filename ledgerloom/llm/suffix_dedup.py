@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._anchors import anchors
-from ledgerloom.llm._groups import by_key, covered, packed_rows, unpacked, whole_groups
+from ledgerloom.llm._groups import by_key, covered, packed_rows, pieces, unpacked, whole_groups
 from ledgerloom.llm._shared import cut
 from ledgerloom.llm._text import U, blocks, mix, pack, part_of, raw, run_hashes, unpack, window_hashes
 from ledgerloom.llm.suffix_arrays import common_prefixes, suffix_array
@@ -320,7 +320,7 @@ def _apply(schema: pa.Schema, texts: bool):
 def remove_repeats(documents: DataFrame, repeats: Repeats = Repeats(), texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, and kept_text (valid UTF-8) if asked for."""
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, parts = -(-total // repeats.bucket_bytes) or 1, -(-total // repeats.part_bytes) or 1
+    buckets, parts = pieces(total, repeats.bucket_bytes), pieces(total, repeats.part_bytes)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = docs.mapInArrow(_scan(repeats, buckets, parts), "key int, fp binary, context binary, doc binary, low binary, size binary")
     decided = cut(sent.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_decide(repeats, parts), _DECIDED_SQL))
