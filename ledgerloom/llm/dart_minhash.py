@@ -7,13 +7,17 @@ rank; at first it looks at ranks up to (size ln size + 2 size) / total weight, a
 empty. Two signatures agree at a coordinate with the probability of their weighted Jaccard similarity.
 
 Equal texts are one class from the start, held by the smallest doc_id. Bands of `rows` coordinates give buckets. In
-a bucket the member nearest to the bucket's consensus signature leads; all members like enough to it are candidates, and
-the rest get leaders of their own until none is left: linear in members and leaders, not pairs. Buckets above
-`bucket_rows` are dealt out to several tasks by a hash, and their leaders are then held against all their members.
-Candidates are verified exactly on whole texts, streamed past their leader. Links join classes by stars (components).
+a bucket all pairs of signatures are compared, those that agree enough are candidates, and a spanning forest of them
+leaves the bucket. Buckets above `bucket_rows` are dealt out in parts, each pair of parts to a task. Components of the
+forests are the candidate groups, so both texts of a candidate pair are in one group. In a group all pairs of whole texts
+are verified exactly, in blocks of `leader_rows` documents and `block_bytes` at most, each pair of blocks in a task; again
+a spanning forest of the links leaves, and each document's number of links. Links join classes by stars (components).
+
+Rows between tasks grow with members and the blocks of their group; the comparisons in a group or bucket grow with the
+square of its size, as a document's links to all others of its group can't be counted without them.
 
 With 25 bands of 5, a pair of similarity 0.8 meets in a bucket with probability 0.99995. Classes are components of
-links >= `least`; `n_links` counts a document's verified links.
+links >= `least`; `n_links` counts the other holders in a document's group whose texts are as similar as that.
 
 Defined results: texts of one to four words are one shingle; null texts are a class of their own, and so are empty
 ones; white space that differs makes no difference to similarity, but a text without words equals only the same text;
@@ -25,11 +29,12 @@ other doc_id holds it, a null class; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +54,7 @@ class Near:
     likely: float = 0.66
     bucket_rows: int = 2048
     leader_rows: int = 512
+    block_bytes: int = 1 << 22
 
     @property
     def size(self) -> int:
@@ -136,29 +142,24 @@ def _sign(near: Near):
                 some = np.bincount(row, minlength=n) > 0
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(some * near.bands)).astype(np.int32), pa.array(np.ascontiguousarray(bands[some]).reshape(-1).view(np.int64)))
                 brief = mix(best)[:, :].astype(np.uint8)
-                yield pa.record_batch({"doc_id": block.column("doc_id"), "same": block.column("same"), "bands": lists, "brief": pa.array([x.tobytes() for x in brief], pa.binary())})
+                n_bytes = pc.fill_null(pc.binary_length(block.column("text")), 0).cast(pa.int64())
+                yield pa.record_batch({"doc_id": block.column("doc_id"), "same": block.column("same"), "bands": lists, "brief": pa.array([x.tobytes() for x in brief], pa.binary()), "n_bytes": n_bytes})
 
     return run
 
 
-def _led(members: np.ndarray, likely: float) -> list[tuple[int, np.ndarray]]:
-    """Leaders and their likely members (indices) among brief signatures; each member gets at least one leader."""
-    left, out = np.arange(len(members)), []
-    while len(left):
-        own = members[left]
-        if len(left) <= 2:
-            lead = 0
-        else:
-            size = own.shape[1]
-            counts = np.bincount((own + (np.arange(size, dtype=np.int64) * 256)[None, :]).reshape(-1), minlength=size * 256).reshape(size, 256)
-            lead = int((own == counts.argmax(axis=1)[None, :]).sum(axis=1).argmax())
-        like = (members == own[lead]).mean(axis=1) >= likely
-        like[left[lead]] = False
-        out.append((int(left[lead]), np.flatnonzero(like)))
-        gone = like.copy()
-        gone[left[lead]] = True
-        left = left[~gone[left]]
-    return out
+def _forest(n: int, like: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of n nodes; like(k, left) says which of left have an edge to k."""
+    left, a, b = np.arange(n), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            k = queue.pop()
+            near = like(k, left)
+            found, left = left[near], left[~near]
+            a.append(np.full(len(found), k)), b.append(found)
+            queue.extend(found.tolist())
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _edges(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
@@ -175,64 +176,77 @@ def _briefs(column: pa.ChunkedArray, size: int) -> np.ndarray:
     return data.reshape(-1, size)
 
 
-def _lead(near: Near):
-    """Candidates of each bucket part, and a row (member null) for each leader with the members it led."""
+def _candidates(near: Near):
+    """A spanning forest of the likely pairs of each bucket or pair of its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ("bucket", "part")):
-            edges, ids, briefs = _edges(table, ("bucket", "part")), table.column("doc_id").to_numpy(), _briefs(table.column("brief"), near.size)
-            buckets = table.column("bucket").to_numpy()
-            lead, member, bucket, led = [], [], [], []
+        for table in whole_groups(batches, ("bucket", "low", "high")):
+            edges, ids, briefs = _edges(table, ("bucket", "low", "high")), table.column("doc_id").to_numpy(), _briefs(table.column("brief"), near.size)
             sizes = np.diff(edges)
             two = edges[:-1][sizes == 2]
-            if len(two):
-                two = two[(briefs[two] == briefs[two + 1]).mean(axis=1) >= near.likely]
-                lead.append(ids[two]), member.append(ids[two + 1])
+            two = two[(briefs[two] == briefs[two + 1]).mean(axis=1) >= near.likely]
+            a, b = [ids[two]], [ids[two + 1]]
             for low, high in zip(edges[:-1][sizes > 2].tolist(), edges[1:][sizes > 2].tolist(), strict=True):
-                for k, found in _led(briefs[low:high], near.likely):
-                    lead.append(np.full(len(found), ids[low + k])), member.append(ids[low + found])
-                    if high - low > 16:
-                        bucket.append(buckets[low]), led.append((ids[low + k], len(found)))
-            lead, member = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (lead, member))
-            yield pa.record_batch({"leader": lead, "member": member, "bucket": pa.nulls(len(lead), pa.int64()), "n": pa.nulls(len(lead), pa.int64())})
-            if led:
-                yield pa.record_batch({"leader": [x[0] for x in led], "member": pa.nulls(len(led), pa.int64()), "bucket": pa.array(bucket, pa.int64()), "n": [x[1] for x in led]})
+                own = briefs[low:high]
+                x, y = _forest(len(own), lambda k, left, own=own: (own[left] == own[k]).mean(axis=1) >= near.likely)
+                a.append(ids[low + x]), b.append(ids[low + y])
+            yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return run
 
 
-def _against(near: Near):
-    """Members of split buckets that are like a leader of theirs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                like = (_briefs(batch.column("brief"), near.size) == _briefs(batch.column("lead_brief"), near.size)).mean(axis=1) >= near.likely
-                like &= np.asarray(batch.column("doc_id")) != np.asarray(batch.column("leader"))
-                yield pa.record_batch({"leader": batch.column("leader").filter(pa.array(like)), "member": batch.column("doc_id").filter(pa.array(like))})
-
-    return run
+def _similar(row: np.ndarray, key: np.ndarray, n: int, least: float) -> np.ndarray:
+    """n x n: which of n sets, given as (row, key) without repeats, are similar."""
+    size = np.bincount(row, minlength=n)
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    column = np.cumsum(np.append(False, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    shared = np.bincount(column)[column] > 1 if len(key) else np.zeros(0, bool)
+    row, column = row[shared], column[shared]
+    column = np.cumsum(np.append(False, column[1:] != column[:-1])) if len(column) else column
+    both, step = np.zeros((n, n)), max(1, (1 << 21) // n)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        at = slice(*np.searchsorted(column, [low, low + step]))
+        has = np.zeros((n, min(step, int(column[-1]) + 1 - low)), np.float32)
+        has[row[at], column[at] - low] = 1
+        both += has @ has.T
+    return both / np.maximum(1, size[:, None] + size[None, :] - both) >= least
 
 
 def _verify(near: Near):
-    """Streams members past their leader; rows are in order of leader, part, is_member."""
+    """For each pair of blocks of a group, a spanning forest of its links, and rows (b null) of each document's links across the pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, held = None, np.zeros(0, U)
-        for batch in batches:
-            for block in blocks(batch):
-                row, key, _ = shingles(block.column("text"), near.words)
-                sets = np.split(key, np.searchsorted(row, np.arange(1, block.num_rows)))
-                out = []
-                for own, lead, member in zip(sets, block.column("leader").to_pylist(), block.column("member").to_pylist(), strict=True):
-                    if member is None:
-                        leader, held = lead, own
-                    elif lead == leader:
-                        both = len(np.intersect1d(own, held, assume_unique=True))
-                        similarity = both / max(1, len(own) + len(held) - both)
-                        if similarity >= near.least:
-                            out.append((lead, member, similarity))
-                yield pa.record_batch({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "similarity": pa.array([x[2] for x in out], pa.float64())})
+        for table in whole_groups(batches, ("root", "low", "high")):
+            rows, keys, n = [], [], 0
+            for batch in table.select(["text"]).to_batches():
+                for block in blocks(batch):
+                    row, key, _ = shingles(block.column("text"), near.words)
+                    rows.append(row + n), keys.append(key)
+                    n += block.num_rows
+            row, key = np.concatenate(rows), np.concatenate(keys)
+            edges, ids, parts = _edges(table, ("root", "low", "high")), table.column("doc_id").to_numpy(), table.column("block").to_numpy()
+            inside = (table.column("low").to_numpy() == table.column("high").to_numpy())[edges[:-1]].tolist()
+            bounds = np.searchsorted(row, edges)
+            a, b, degree = [], [], []
+            for k, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                like = _similar(row[bounds[k] : bounds[k + 1]] - low, key[bounds[k] : bounds[k + 1]], high - low, near.least)
+                nodes, first, own = np.unique(ids[low:high], return_index=True, return_inverse=True)
+                if len(nodes) < high - low:  # rows of one doc_id are one node
+                    x, y = np.nonzero(like)
+                    like = np.zeros((len(nodes), len(nodes)), bool)
+                    like[own[x], own[y]] = True
+                else:
+                    like = like[np.ix_(first, first)]
+                np.fill_diagonal(like, False)
+                x, y = _forest(len(nodes), lambda k, left, like=like: like[k, left])
+                a.append(nodes[x]), b.append(nodes[y]), degree.append(np.full(len(x), -1))
+                part = parts[low:high][first]
+                count = (like & (inside[k] | (part[:, None] != part[None, :]))).sum(axis=1)
+                some = count > 0
+                a.append(nodes[some]), b.append(np.full(some.sum(), -1)), degree.append(count[some])
+            a, b, degree = np.concatenate(a), np.concatenate(b), np.concatenate(degree)
+            yield pa.record_batch({"a": a, "b": pa.array(b, pa.int64(), mask=degree >= 0), "n": pa.array(degree, pa.int64(), mask=degree < 0)})
 
     return run
 
@@ -242,52 +256,48 @@ def _same(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(7), text, F.lit(7)).alias("y"), text.isNull().alias("z"))
 
 
+def _pairs(own: Column, parts: Column) -> Column:
+    """A row for each pair (low, high) of parts that part `own` of `parts` is in."""
+    return F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(own, k).alias("low"), F.greatest(own, k).alias("high"))))
+
+
 def candidates(signed: DataFrame, near: Near) -> DataFrame:
-    """(leader, member) pairs of the documents in signed (doc_id, bands, brief) that share a bucket and look alike."""
+    """Links (a, b) whose components hold every two documents in signed (doc_id, bands, brief) that share a bucket and look alike."""
     keys = signed.select("doc_id", F.explode("bands").alias("bucket"))
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
-    shared = keys.join(sizes, "bucket").select("doc_id", "bucket", "in_bucket")
-    parts = F.ceil(F.col("in_bucket") / near.bucket_rows)
-    shared = cut(shared.withColumn("part", F.pmod(F.xxhash64("doc_id", "bucket"), parts).cast("int")))
-    held = shared.join(signed.select("doc_id", "brief"), "doc_id")
-    schema = "leader long, member long, bucket long, n long"
-    led = held.select("bucket", "part", "doc_id", "brief").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "doc_id").mapInArrow(_lead(near), schema)
-    led = cut(led.distinct())
-    from pyspark.sql import Window
-
-    split = shared.where(F.col("in_bucket") > near.bucket_rows)
-    # leaders of split buckets, those of most members first
-    best = led.where("member is null").groupBy("bucket", "leader").agg(F.sum("n").alias("n")).join(split.select("bucket").distinct(), "bucket", "left_semi")
-    best = best.join(signed.select(F.col("doc_id").alias("leader"), F.col("brief").alias("lead_brief")), "leader")
-    more = split.select("doc_id", "bucket").join(best.select("bucket", "leader", "lead_brief"), "bucket").join(signed.select("doc_id", "brief"), "doc_id")
-    more = more.select("doc_id", "brief", "leader", "lead_brief").mapInArrow(_against(near), "leader long, member long")
-    return led.where("member is not null").select("leader", "member").union(more).distinct()
+    shared = keys.join(sizes, "bucket").select("doc_id", "bucket", F.ceil(F.col("in_bucket") / near.bucket_rows).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("doc_id", "bucket"), F.col("parts")).cast("int")
+    shared = cut(shared.select("doc_id", "bucket", _pairs(own, F.col("parts")).alias("pair")).select("doc_id", "bucket", "pair.*"))
+    held = shared.join(signed.select("doc_id", "brief"), "doc_id").select("bucket", "low", "high", "doc_id", "brief")
+    return held.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "doc_id").mapInArrow(_candidates(near), "a long, b long")
 
 
 def near_links(documents: DataFrame, near: Near = Near()) -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id and class holder of each row by equal text; verified links a, b, similarity of holders."""
+    """(members, links): doc_id and class holder of each row by equal text; verified links a, b of holders that span their classes, and rows with b null and a part n of the number of links of a."""
     own = documents.select("doc_id", "text", _same(F.col("text")).alias("same"))
-    signed = cut(own.mapInArrow(_sign(near), "doc_id long, same struct<x: long, y: long, z: boolean>, bands array<long>, brief binary"))
+    signed = cut(own.mapInArrow(_sign(near), "doc_id long, same struct<x: long, y: long, z: boolean>, bands array<long>, brief binary, n_bytes long"))
     holders = signed.groupBy("same").agg(F.min("doc_id").alias("holder"))
     members = cut(signed.select("doc_id", "same").join(holders, "same").select("doc_id", "holder"))
-    firsts = signed.where("doc_id is not null").join(holders.select("same", F.col("holder").alias("doc_id")), ["same", "doc_id"], "left_semi").dropDuplicates(["same", "doc_id"]).select("doc_id", "bands", "brief")
-    pairs = cut(candidates(cut(firsts), near))
-    # each leader's text meets its members' in parts of leader_rows members
-    salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / near.leader_rows).cast("int").alias("parts"))
-    asked = pairs.join(salts, "leader").select(F.col("member").alias("doc_id"), "leader", "member", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"))
-    leads = salts.select(F.col("leader").alias("doc_id"), "leader", F.lit(None).cast("long").alias("member"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    firsts = signed.where("doc_id is not null").join(holders.select("same", F.col("holder").alias("doc_id")), ["same", "doc_id"], "left_semi").dropDuplicates(["same", "doc_id"]).select("doc_id", "bands", "brief", "n_bytes")
+    firsts = cut(firsts)
+    groups = components(candidates(firsts, near)).select(F.col("node").alias("doc_id"), "root")
+    # blocks of leader_rows documents and block_bytes of text; each pair of blocks of a group meets in one task
+    weights = groups.join(firsts.groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes")), "doc_id")
+    sizes = weights.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / near.leader_rows, F.sum("n_bytes") / near.block_bytes)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("doc_id", "root"), F.col("blocks")).cast("int")
+    dealt = groups.join(sizes, "root").select("doc_id", "root", block.alias("block"), "blocks")
+    dealt = cut(dealt.select("doc_id", "root", "block", _pairs(F.col("block"), F.col("blocks")).alias("pair")).select("doc_id", "root", "block", "pair.*"))
     texts = documents.select("doc_id", "text").where("doc_id is not null")
-    rows = asked.union(leads).join(texts, "doc_id").select("leader", "part", "member", "text")
-    links = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", F.asc_nulls_first("member")).mapInArrow(_verify(near), "a long, b long, similarity double")
+    rows = dealt.join(texts, "doc_id").select("root", "low", "high", "block", "doc_id", "text")
+    links = rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "doc_id").mapInArrow(_verify(near), "a long, b long, n long")
     return members, cut(links)
 
 
 def near_duplicates(documents: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), holder (of its equal texts), n_links of each row."""
     members, links = near_links(documents, near)
-    once = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = once.select(F.explode(F.array("a", "b")).alias("holder")).groupBy("holder").agg(F.count("*").alias("n_links"))
-    roots = components(once).select(F.col("node").alias("holder"), "root")
+    degree = links.where("b is null").groupBy(F.col("a").alias("holder")).agg(F.sum("n").alias("n_links"))
+    roots = components(links.where("b is not null")).select(F.col("node").alias("holder"), "root")
     return (
         members.join(roots, "holder", "left")
         .join(degree, "holder", "left")

@@ -410,6 +410,37 @@ def test_near_duplicates(spark, docs, none, near):
     assert kept.columns == docs.columns and {0, 1, 40, 41} <= {x.doc_id for x in kept.collect()} and not {6, 7, 20} & {x.doc_id for x in kept.collect()}
 
 
+def population():
+    """Families of a template, alike at 0.7 from one to another and at 0.8 inside each; and a drifting chain."""
+    r = np.random.default_rng(11)
+    serial = iter(range(1_000_000))
+
+    def edited(words, n):
+        out = list(words)
+        for k in r.choice([i for i, w in enumerate(words) if w[0] != "n"], n, replace=False):
+            out[k] = f"n{next(serial)}"
+        return out
+
+    template, chain, out = [f"t{i}" for i in range(400)], [f"c{i}" for i in range(400)], []
+    for k in range(60):
+        parent = edited(template, 3)
+        out += [edited(parent, 4) for _ in range(1 + k % 3)]
+    for _ in range(25):
+        chain = edited(chain, 6)
+        out.append(chain)
+    return [(i, " ".join(x)) for i, x in enumerate(out)]
+
+
+@pytest.mark.parametrize("near", [dart_minhash.Near(), dart_minhash.Near(bucket_rows=16, leader_rows=8)])
+def test_near_duplicates_of_a_template_and_a_chain(spark, near):
+    rows = population()
+    out = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near).collect()
+    got = collections.defaultdict(set)
+    for x in out:
+        got[x.class_id].add(x.doc_id)
+    assert {frozenset(x) for x in got.values()} == brute_classes(rows)
+
+
 def test_components(spark):
     r = rng()
     links = [(int(a), int(b)) for a, b in r.integers(0, 200, (120, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(1, 50)]
