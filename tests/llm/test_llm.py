@@ -441,6 +441,17 @@ def test_near_duplicates_of_a_template_and_a_chain(spark, near):
     assert {frozenset(x) for x in got.values()} == brute_classes(rows)
 
 
+@pytest.mark.parametrize("near", [dart_minhash.Near(), dart_minhash.Near(bucket_rows=16, leader_rows=8)])
+def test_links_are_counted(spark, near):
+    rows = population()
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    n = [sum(i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    more = [(1000 + d, t) for d, t in rows[:9]] + rows[:3]  # other copies and repeated rows are no links
+    out = dart_minhash.near_duplicates(spark.createDataFrame(rows + more, "doc_id long, text string"), near).collect()
+    assert len(out) == len(rows) + len(more)
+    assert {x.doc_id: x.n_links for x in out} == dict(enumerate(n)) | {1000 + k: n[k] for k in range(9)}
+
+
 def test_components(spark):
     r = rng()
     links = [(int(a), int(b)) for a, b in r.integers(0, 200, (120, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(1, 50)]
