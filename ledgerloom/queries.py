@@ -248,6 +248,7 @@ add("graph_invoices_for_vendor", lambda s, d: graph.invoices_for_vendor(_graph(s
 add("graph_related_contracts", lambda s, d: graph.related_contracts(_graph(s, d)), f"{_G} SELECT invoice, contract FROM g UNION SELECT k.id, g.contract FROM key k JOIN key k2 USING (vendor) JOIN g ON g.invoice = k2.id")
 add("graph_vendor_network", lambda s, d: graph.vendor_network(_graph(s, d)), f"{_G} SELECT vendor, count(DISTINCT key.id) AS n_invoices, count(DISTINCT contract) AS n_contracts FROM key LEFT JOIN g ON g.invoice = key.id GROUP BY vendor")
 add("graph_traverse_depth2", ql("SELECT id FROM invoices WHERE id % 50 = 0 |> GRAPH TRAVERSE vendor_name DEPTH 2", then=lambda df: df.select("id", "graph_vendor_id", F.size("graph_related_invoices").alias("n_invoices"), F.size("graph_related_contracts").alias("n_contracts"))), f"{_G} SELECT id, vendor AS graph_vendor_id, CAST(n AS INTEGER) AS n_invoices, CAST(m AS INTEGER) AS n_contracts FROM key JOIN (SELECT vendor, count(DISTINCT id) AS n, count(DISTINCT contract_id) AS m FROM key GROUP BY vendor) USING (vendor) WHERE id % 50 = 0")
+add("graph_traverse_all", ql("SELECT id FROM invoices |> GRAPH TRAVERSE vendor_name DEPTH 2", then=lambda df: df.select("id", "graph_vendor_id", F.size("graph_related_invoices").alias("n_invoices"), F.size("graph_related_contracts").alias("n_contracts"))), f"{_G} SELECT id, vendor AS graph_vendor_id, CAST(n AS INTEGER) AS n_invoices, CAST(m AS INTEGER) AS n_contracts FROM key JOIN (SELECT vendor, count(DISTINCT id) AS n, count(DISTINCT contract_id) AS m FROM key GROUP BY vendor) USING (vendor)")
 add("graph_enrich", ql("SELECT id FROM invoices |> GRAPH ENRICH", then=lambda df: df.select("id", F.array_join(F.col("graph_contracts").cast("array<string>"), ",").alias("contracts"), "graph_vendor_invoice_count")), "SELECT id, coalesce(CAST(contract_id AS VARCHAR), '') AS contracts, count(*) OVER (PARTITION BY vendor_name) AS graph_vendor_invoice_count FROM invoices")
 add("graph_node_counts", lambda s, d: graph.node_counts(_graph(s, d)), "SELECT 'vendor' AS label, count(DISTINCT vendor_name) AS n FROM invoices UNION ALL SELECT 'invoice', count(*) FROM invoices UNION ALL SELECT 'contract', count(*) FROM contracts UNION ALL SELECT 'party', count(DISTINCT party_name) FROM contracts")
 add("entity_same_as", lambda s, d: graph.same_as(_graph(s, d)["vendor"], _graph(s, d)["party"], "name"), "SELECT DISTINCT concat('vendor:', replace(lower(trim(vendor_name)), ' ', '_')) AS left_key, concat('party:', replace(lower(trim(party_name)), ' ', '_')) AS right_key FROM invoices JOIN contracts ON vendor_name = party_name")

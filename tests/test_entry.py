@@ -26,3 +26,9 @@ def test_against_duckdb(spark, name):
     assert sorted(got.columns) == columns
     text = lambda r, names: sorted(str([str(r_[names.index(k)]).removesuffix("+00:00") for k in columns]) for r_ in r)
     assert text([tuple(x) for x in got.collect()], got.columns) == text(want.fetchall(), want.columns)
+
+
+def test_traverse_sees_all_invoices(spark):
+    got = entry.queries()["graph_traverse_all"](spark, SF)
+    assert got.count() == entry.queries()["count_rows"](spark, SF).first().n
+    test_against_duckdb(spark, "graph_traverse_all")
