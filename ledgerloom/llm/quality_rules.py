@@ -2,8 +2,9 @@
 
 Method: normalised lines are hashed; for each host (column `source`) the distinct texts that hold a line are counted, so
 exact copies count once; a line in more than `max_docs` of them is boilerplate and is removed everywhere but in the
-document with the smallest doc_id that holds it, so no line vanishes from the corpus. A document of whose words less
-than `min_kept` stay is depleted and rejected.
+document with the smallest doc_id that holds it. A document of whose words less than `min_kept` stay is depleted and
+rejected. In the corpus that `apply_quality_rules` gives, the smallest kept document carries a line, so no line that a
+kept document holds vanishes; the verdicts alone (as in the SQL) name the smallest document, kept or not.
 
 Hot lines and hosts: counting is partially aggregated before each shuffle; the join back has one row a line on its right
 side, so AQE splits a skewed left side. Texts are read once: their figures and line hashes go to a checkpoint, and only
@@ -91,20 +92,42 @@ def document_facts(docs: DataFrame) -> DataFrame:
     return figures.withColumn("base_failed", (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n))
 
 
-def removed_lines(facts: DataFrame, limits: LineLimits) -> DataFrame:
+def _carried(held: DataFrame, by: Column) -> DataFrame:
+    """held with the carrier of each line: the smallest doc_id of the documents that `by` names."""
+    carriers = held.groupBy("host", "line").agg(F.min(F.when(by, F.col("doc_id"))).alias("carrier")).select(F.col("host").alias("of_host"), F.col("line").alias("of_line"), "carrier")
+    return held.join(carriers, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("line") == F.col("of_line"))).drop("of_host", "of_line")
+
+
+def _by_kept(held: DataFrame, limits: LineLimits) -> DataFrame:
+    """held with carriers that are kept: first among those that pass the base rules, then among those of these that aren't depleted.
+
+    A document that carries more lines loses fewer words, so those kept at first are kept in the end.
+    """
+    held = cut(held)
+    gone = F.sum(F.when(F.col("doc_id").eqNullSafe(F.col("carrier")), 0).otherwise(F.col("words")))
+    each = _carried(held, ~F.col("base_failed")).groupBy("doc_id", "text_hash", "n_words", "base_failed").agg(gone.alias("gone"))
+    stays = each.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), (~F.col("base_failed") & (F.col("n_words") - F.col("gone") >= F.lit(limits.min_kept) * F.col("n_words"))).alias("stays"))
+    judged = held.join(stays, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))).drop("of_id", "of_hash")
+    return _carried(judged, F.col("stays"))
+
+
+def removed_lines(facts: DataFrame, limits: LineLimits, by_kept: bool = False) -> DataFrame:
     """doc_id, text_hash, words removed and the hashes of the lines removed, for documents that lose any."""
-    lines = facts.select("doc_id", "text_hash", "host", F.explode("lines").alias("x")).select("doc_id", "text_hash", "host", "x.line", "x.words")
+    lines = facts.select("doc_id", "text_hash", "host", "n_words", "base_failed", F.posexplode("lines").alias("at", "x")).select("doc_id", "text_hash", "host", "n_words", "base_failed", "at", "x.line", "x.words")
     texts = lines.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("carrier"))
     often = texts.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("carrier").alias("carrier")).where(F.col("n_docs") > limits.max_docs)
     often = often.select(F.col("host").alias("often_host"), F.col("line").alias("often_line"), "carrier")
-    hit = lines.join(often, F.col("host").eqNullSafe(F.col("often_host")) & (F.col("line") == F.col("often_line"))).where(~F.col("doc_id").eqNullSafe(F.col("carrier")))
+    held = lines.join(often, F.col("host").eqNullSafe(F.col("often_host")) & (F.col("line") == F.col("often_line"))).drop("often_host", "often_line")
+    if by_kept:
+        held = _by_kept(held.drop("carrier"), limits)
+    hit = held.where(~F.col("doc_id").eqNullSafe(F.col("carrier")))
     return hit.groupBy("doc_id", "text_hash").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("lines"))
 
 
-def quality_verdicts(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """For each row: the base figures, n_removed_words, removed_lines and kept."""
+def quality_verdicts(docs: DataFrame, limits: LineLimits = LineLimits(), by_kept: bool = False) -> DataFrame:
+    """For each row: the base figures, n_removed_words, removed_lines and kept; with by_kept, lines are carried by kept documents only."""
     facts = cut(document_facts(docs))
-    lost = removed_lines(facts, limits).select(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash"), F.col("n_removed_words"), F.col("lines").alias("removed_lines"))
+    lost = removed_lines(facts, limits, by_kept).select(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash"), F.col("n_removed_words"), F.col("lines").alias("removed_lines"))
     base = facts.drop("lines", "host")
     joined = base.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("text_hash") == F.col("lost_hash")), "left")
     # repeated rows share their lines' sum, so no more than all words of a row can be lost to it
@@ -117,7 +140,7 @@ def quality_verdicts(docs: DataFrame, limits: LineLimits = LineLimits()) -> Data
 
 def apply_quality_rules(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The kept documents in their own columns, without their removed lines; n_chars follows where it is a column."""
-    verdict = quality_verdicts(docs, limits).where("kept").groupBy("doc_id", "text_hash").agg(F.first("removed_lines").alias("lines"))
+    verdict = quality_verdicts(docs, limits, by_kept=True).where("kept").groupBy("doc_id", "text_hash").agg(F.first("removed_lines").alias("lines"))
     verdict = verdict.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__lines"))
     joined = docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")))
     cleaned = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("__lines"), line_hash(x))), "\n")

@@ -276,6 +276,17 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.apply_quality_rules(docs).columns == docs.columns
 
 
+def test_lines_are_carried_by_kept_documents(spark):
+    one, two = "this line is on every page of the host", " ".join(f"long{k}" for k in range(30))
+    body = lambda i, n=40: " ".join(f"w{i}x{k}" for k in range(n))
+    # 0 fails the base rules; 1 passes them and is depleted, though it carries line one
+    rows = [(0, f"few\n{one}", "a"), (1, f"{one}\n{two}\nend", "a"), (-5, f"{body(-5)}\n{two}", "a"), *[(i, f"{body(i)}\n{one}\n{two}", "a") for i in range(2, 30)]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id: r.text.split("\n") for r in quality_rules.apply_quality_rules(frame, quality_rules.LineLimits(min_kept=0.3)).collect()}
+    assert sorted(kept) == [-5, *range(2, 30)]
+    assert [d for d, t in kept.items() if one in t] == [2] and [d for d, t in kept.items() if two in t] == [-5]
+
+
 def test_base_statistics(docs):
     got = {(r.doc_id, r.n_words, r.n_repeat_words, r.n_symbols, r.word_chars) for r in quality_rules.document_facts(docs).collect()}
     want = set()
