@@ -12,7 +12,7 @@ those are shuffled.
 
 Defined results: null text has no words and no lines, fails the base rules and is rejected; a null source is a host of
 its own; a null doc_id is a document like others and never the carrier of a line where another has it; repeated rows
-(same doc_id and text) each get their row; an empty table gives no rows; other columns are ignored.
+(same doc_id and text) each get their row, with the figures of one (the SQL, which isn't held to them, sums their words); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,8 +104,9 @@ def _by_kept(held: DataFrame, limits: LineLimits) -> DataFrame:
     A document that carries more lines loses fewer words, so those kept at first are kept in the end.
     """
     held = cut(held)
-    gone = F.sum(F.when(F.col("doc_id").eqNullSafe(F.col("carrier")), 0).otherwise(F.col("words")))
-    each = _carried(held, ~F.col("base_failed")).groupBy("doc_id", "text_hash", "n_words", "base_failed").agg(gone.alias("gone"))
+    own = ["doc_id", "text_hash", "n_words", "base_failed"]
+    gone = F.max(F.when(F.col("doc_id").eqNullSafe(F.col("carrier")), 0).otherwise(F.col("words")))
+    each = _carried(held, ~F.col("base_failed")).groupBy(*own, "at").agg(gone.alias("gone")).groupBy(*own).agg(F.sum("gone").alias("gone"))
     stays = each.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), (~F.col("base_failed") & (F.col("n_words") - F.col("gone") >= F.lit(limits.min_kept) * F.col("n_words"))).alias("stays"))
     judged = held.join(stays, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))).drop("of_id", "of_hash")
     return _carried(judged, F.col("stays"))
@@ -120,7 +121,8 @@ def removed_lines(facts: DataFrame, limits: LineLimits, by_kept: bool = False) -
     held = lines.join(often, F.col("host").eqNullSafe(F.col("often_host")) & (F.col("line") == F.col("often_line"))).drop("often_host", "often_line")
     if by_kept:
         held = _by_kept(held.drop("carrier"), limits)
-    hit = held.where(~F.col("doc_id").eqNullSafe(F.col("carrier")))
+    # repeated rows lose the same lines, counted once
+    hit = held.where(~F.col("doc_id").eqNullSafe(F.col("carrier"))).groupBy("doc_id", "text_hash", "at", "line", "words").agg(F.lit(1))
     return hit.groupBy("doc_id", "text_hash").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("lines"))
 
 
@@ -130,8 +132,7 @@ def quality_verdicts(docs: DataFrame, limits: LineLimits = LineLimits(), by_kept
     lost = removed_lines(facts, limits, by_kept).select(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash"), F.col("n_removed_words"), F.col("lines").alias("removed_lines"))
     base = facts.drop("lines", "host")
     joined = base.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("text_hash") == F.col("lost_hash")), "left")
-    # repeated rows share their lines' sum, so no more than all words of a row can be lost to it
-    n_removed = F.least(F.coalesce("n_removed_words", F.lit(0)), F.col("n_words"))
+    n_removed = F.coalesce("n_removed_words", F.lit(0))
     depleted = (F.col("n_words") - n_removed) < F.lit(limits.min_kept) * F.col("n_words")
     return joined.select(
         *base.columns, n_removed.alias("n_removed_words"), F.coalesce("removed_lines", F.array().cast("array<long>")).alias("removed_lines"), (~F.col("base_failed") & ~depleted).alias("kept")

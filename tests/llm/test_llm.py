@@ -287,6 +287,15 @@ def test_lines_are_carried_by_kept_documents(spark):
     assert [d for d, t in kept.items() if one in t] == [2] and [d for d, t in kept.items() if two in t] == [-5]
 
 
+def test_repeated_rows_lose_their_lines_once(spark):
+    line = " ".join(f"often{k}" for k in range(20))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(20)) + f"\n{line}", "a") for i in range(30)]
+    frame = spark.createDataFrame(rows + [rows[7]] * 2, "doc_id long, text string, source string")
+    out = quality_rules.quality_verdicts(frame).collect()
+    assert len(out) == 32 and all(r.kept and r.n_removed_words == (20 if r.doc_id else 0) for r in out)
+    assert quality_rules.apply_quality_rules(frame).count() == 32
+
+
 def test_base_statistics(docs):
     got = {(r.doc_id, r.n_words, r.n_repeat_words, r.n_symbols, r.word_chars) for r in quality_rules.document_facts(docs).collect()}
     want = set()
