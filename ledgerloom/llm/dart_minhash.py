@@ -1,29 +1,34 @@
 """Near-duplicates by DartMinHash signatures, banded joining and exact verification.
 
-Elements are shingles of five words. Each element throws darts into the plane of weight and rank: unit cells of the
-plane hold a Poisson(1) number of darts, given by a hash of element and cell, each with a hashed weight, rank and
-coordinate. A document keeps the darts below its elements' weights and, at each of `size` coordinates, the one of least
-rank; at first it looks at ranks up to (size ln size + 2 size) / total weight, and twice as far while a coordinate is
-empty. Two signatures agree at a coordinate with the probability of their weighted Jaccard similarity.
-
-Equal texts are one class from the start, held by the smallest doc_id. Bands of `rows` coordinates give buckets. In
-a bucket all pairs of signatures are compared, those that agree enough are candidates, and a spanning forest of them
-leaves the bucket. Buckets above `bucket_rows` are dealt out in parts, each pair of parts to a task. Components of the
-forests are the candidate groups, so both texts of a candidate pair are in one group. In a group all pairs of whole texts
-are verified exactly, in blocks of `leader_rows` documents and `block_bytes` at most, each pair of blocks in a task; again
-a spanning forest of the links leaves, and each document's number of links. Links join classes by stars (components).
-
-Rows between tasks grow with members and the blocks of their group; the comparisons in a group or bucket grow with the
-square of its size, as a document's links to all others of its group can't be counted without them.
-
-With 25 bands of 5, a pair of similarity 0.8 meets in a bucket with probability 0.99995. Classes are components of
-links >= `least`; `n_links` counts the other holders in a document's group whose texts are as similar as that.
+A document is a weighted set: its shingles of five words, each with the number of times that it occurs. Each element throws
+darts into the plane of weight and rank: unit cells of the plane hold a Poisson(1) number of darts, given by a hash of
+element and cell, each with a hashed weight, rank and coordinate. A document keeps the darts below its elements' weights
+and, at each of `size` coordinates, the one of least rank; at first it looks at ranks up to (size ln size + 2 size) / total
+weight, and twice as far while a coordinate is empty. Two signatures agree at a coordinate with the probability of their
+weighted Jaccard similarity, sum of least weights by sum of greatest.
+
+1. Equal texts are one node, so copies are never compared. Bands of `rows` coordinates give buckets of nodes; signatures of
+   one bucket that agree enough are likely links.
+2. Components of likely links are the candidate groups, so both nodes of a likely pair are in one group. In a group whole
+   texts are compared exactly, and pairs of `least` or more are links.
+3. Components of links are the classes.
+
+Steps 1 and 2 compare within buckets and groups in blocks (`_spanning`). One that fits a block is one comparison of all its
+members, of which a spanning forest leaves. A larger one is dealt out in blocks: first each block is compared with the
+first block and in itself; then only members outside the group's largest component so far, the rest, still have pairs
+that could join two components, and each block of the rest is compared with all others. No pair whose link could matter is
+left out, whatever the size. Rows between tasks are twice a group's members and, times its blocks, what its largest class
+doesn't hold: a group of near copies costs in proportion, only a bucket of texts that are all alike at about 0.7 and not
+at 0.8 needs its pairs of blocks.
+
+With 25 bands of 5, a pair of similarity 0.8 meets in a bucket with probability 0.99995 and is found likely there with as
+much. Links inside a class aren't counted: that takes all its pairs.
 
 Defined results: texts of one to four words are one shingle; null texts are a class of their own, and so are empty
 ones; white space that differs makes no difference to similarity, but a text without words equals only the same text;
-rows with the same doc_id and text are one document twice (both rows returned, one class); with the same doc_id and
-other text they are held as one node, so their classes join; null doc_ids are kept, with their text's class or, where no
-other doc_id holds it, a null class; an empty table gives no rows; other columns are ignored.
+rows are told apart by text, so rows of one doc_id with other texts are in the classes of their texts; repeated rows are
+all returned, in one class; a null doc_id is the greatest, so class_id is null only where no row of the class has one;
+doc_id is any integer type; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,9 +57,10 @@ class Near:
     rows: int = 5
     #: Signatures that agree less are no candidates: 0.8 less three standard deviations and more.
     likely: float = 0.66
+    #: Members of a block: signatures of a bucket, texts of a group and their bytes.
     bucket_rows: int = 2048
-    leader_rows: int = 512
-    block_bytes: int = 1 << 22
+    group_rows: int = 512
+    group_bytes: int = 1 << 22
 
     @property
     def size(self) -> int:
@@ -136,14 +142,15 @@ def _sign(near: Near):
         for batch in batches:
             for block in blocks(batch, most=1 << 20):
                 n = block.num_rows
-                row, key, _ = shingles(block.column("text"), near.words)
-                best = signatures(row, key, np.ones(len(row)), n, near.size)
+                row, key, weight = shingles(block.column("text"), near.words)
+                best = signatures(row, key, weight.astype(float), n, near.size)
                 bands = np.stack([join_hashes(best[:, b * near.rows : (b + 1) * near.rows].reshape(-1), near.rows)[:: near.rows] ^ mix(np.array([b + 1], U)) for b in range(near.bands)], axis=1)
                 some = np.bincount(row, minlength=n) > 0
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(some * near.bands)).astype(np.int32), pa.array(np.ascontiguousarray(bands[some]).reshape(-1).view(np.int64)))
-                brief = mix(best)[:, :].astype(np.uint8)
+                brief = mix(best).astype(np.uint8)
                 n_bytes = pc.fill_null(pc.binary_length(block.column("text")), 0).cast(pa.int64())
-                yield pa.record_batch({"doc_id": block.column("doc_id"), "same": block.column("same"), "bands": lists, "brief": pa.array([x.tobytes() for x in brief], pa.binary()), "n_bytes": n_bytes})
+                own = {k: block.column(k) for k in ("doc_id", *_TEXT)}
+                yield pa.record_batch(own | {"bands": lists, "brief": pa.array([x.tobytes() for x in brief], pa.binary()), "n_bytes": n_bytes})
 
     return run
 
@@ -176,21 +183,21 @@ def _briefs(column: pa.ChunkedArray, size: int) -> np.ndarray:
     return data.reshape(-1, size)
 
 
-def _candidates(near: Near):
-    """A spanning forest of the likely pairs of each bucket or pair of its parts."""
+def _likely(near: Near):
+    """A spanning forest of the likely links among the members of each (g, low, high)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ("bucket", "low", "high")):
-            edges, ids, briefs = _edges(table, ("bucket", "low", "high")), table.column("doc_id").to_numpy(), _briefs(table.column("brief"), near.size)
+        for table in whole_groups(batches, _UNIT):
+            edges, ids, many, briefs = _edges(table, _UNIT), table.column("node").to_numpy(), table.column("many").to_numpy(zero_copy_only=False), _briefs(table.column("brief"), near.size)
             sizes = np.diff(edges)
             two = edges[:-1][sizes == 2]
             two = two[(briefs[two] == briefs[two + 1]).mean(axis=1) >= near.likely]
-            a, b = [ids[two]], [ids[two + 1]]
+            a, b, from_many = [ids[two]], [ids[two + 1]], [many[two]]
             for low, high in zip(edges[:-1][sizes > 2].tolist(), edges[1:][sizes > 2].tolist(), strict=True):
                 own = briefs[low:high]
                 x, y = _forest(len(own), lambda k, left, own=own: (own[left] == own[k]).mean(axis=1) >= near.likely)
-                a.append(ids[low + x]), b.append(ids[low + y])
-            yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
+                a.append(ids[low + x]), b.append(ids[low + y]), from_many.append(many[low + x])
+            yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b), "many": np.concatenate(from_many)})
 
     return run
 
@@ -214,100 +221,119 @@ def _similar(row: np.ndarray, key: np.ndarray, n: int, least: float) -> np.ndarr
 
 
 def _verify(near: Near):
-    """For each pair of blocks of a group, a spanning forest of its links, and rows (b null) of each document's links across the pair."""
+    """A spanning forest of the links among the texts of each (g, low, high)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ("root", "low", "high")):
+        for table in whole_groups(batches, _UNIT):
             rows, keys, n = [], [], 0
             for batch in table.select(["text"]).to_batches():
                 for block in blocks(batch):
-                    row, key, _ = shingles(block.column("text"), near.words)
-                    rows.append(row + n), keys.append(key)
+                    row, key, weight = shingles(block.column("text"), near.words)
+                    # an element of weight w is w elements of weight 1: the weighted similarity of the ones is that of the others
+                    copy = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+                    rows.append(np.repeat(row, weight) + n), keys.append(np.repeat(key, weight) ^ np.where(copy > 0, mix(copy.astype(U)), U(0)))
                     n += block.num_rows
             row, key = np.concatenate(rows), np.concatenate(keys)
-            edges, ids, parts = _edges(table, ("root", "low", "high")), table.column("doc_id").to_numpy(), table.column("block").to_numpy()
-            inside = (table.column("low").to_numpy() == table.column("high").to_numpy())[edges[:-1]].tolist()
+            edges, ids, many = _edges(table, _UNIT), table.column("node").to_numpy(), table.column("many").to_numpy(zero_copy_only=False)
             bounds = np.searchsorted(row, edges)
-            a, b, degree = [], [], []
+            a, b, from_many = [], [], []
             for k, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
                 like = _similar(row[bounds[k] : bounds[k + 1]] - low, key[bounds[k] : bounds[k + 1]], high - low, near.least)
-                nodes, first, own = np.unique(ids[low:high], return_index=True, return_inverse=True)
-                if len(nodes) < high - low:  # rows of one doc_id are one node
-                    x, y = np.nonzero(like)
-                    like = np.zeros((len(nodes), len(nodes)), bool)
-                    like[own[x], own[y]] = True
-                else:
-                    like = like[np.ix_(first, first)]
-                np.fill_diagonal(like, False)
-                x, y = _forest(len(nodes), lambda k, left, like=like: like[k, left])
-                a.append(nodes[x]), b.append(nodes[y]), degree.append(np.full(len(x), -1))
-                part = parts[low:high][first]
-                count = (like & (inside[k] | (part[:, None] != part[None, :]))).sum(axis=1)
-                some = count > 0
-                a.append(nodes[some]), b.append(np.full(some.sum(), -1)), degree.append(count[some])
-            a, b, degree = np.concatenate(a), np.concatenate(b), np.concatenate(degree)
-            yield pa.record_batch({"a": a, "b": pa.array(b, pa.int64(), mask=degree >= 0), "n": pa.array(degree, pa.int64(), mask=degree < 0)})
+                x, y = _forest(high - low, lambda k, left, like=like: like[k, left])
+                a.append(ids[low + x]), b.append(ids[low + y]), from_many.append(many[low + x])
+            yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b), "many": np.concatenate(from_many)})
 
     return run
 
 
-def _same(text: Column) -> Column:
-    """Equal for equal texts: 128 bits, and null its own."""
-    return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(7), text, F.lit(7)).alias("y"), text.isNull().alias("z"))
-
-
-def _pairs(own: Column, parts: Column) -> Column:
-    """A row for each pair (low, high) of parts that part `own` of `parts` is in."""
-    return F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(own, k).alias("low"), F.greatest(own, k).alias("high"))))
-
-
-def candidates(signed: DataFrame, near: Near) -> DataFrame:
-    """Links (a, b) whose components hold every two documents in signed (doc_id, bands, brief) that share a bucket and look alike."""
-    keys = signed.select("doc_id", F.explode("bands").alias("bucket"))
-    sizes = keys.groupBy("bucket").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
-    shared = keys.join(sizes, "bucket").select("doc_id", "bucket", F.ceil(F.col("in_bucket") / near.bucket_rows).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("doc_id", "bucket"), F.col("parts")).cast("int")
-    shared = cut(shared.select("doc_id", "bucket", _pairs(own, F.col("parts")).alias("pair")).select("doc_id", "bucket", "pair.*"))
-    held = shared.join(signed.select("doc_id", "brief"), "doc_id").select("bucket", "low", "high", "doc_id", "brief")
-    return held.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "doc_id").mapInArrow(_candidates(near), "a long, b long")
-
-
-def near_links(documents: DataFrame, near: Near = Near()) -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id and class holder of each row by equal text; verified links a, b of holders that span their classes, and rows with b null and a part n of the number of links of a."""
-    own = documents.select("doc_id", "text", _same(F.col("text")).alias("same"))
-    signed = cut(own.mapInArrow(_sign(near), "doc_id long, same struct<x: long, y: long, z: boolean>, bands array<long>, brief binary, n_bytes long"))
-    holders = signed.groupBy("same").agg(F.min("doc_id").alias("holder"))
-    members = cut(signed.select("doc_id", "same").join(holders, "same").select("doc_id", "holder"))
-    firsts = signed.where("doc_id is not null").join(holders.select("same", F.col("holder").alias("doc_id")), ["same", "doc_id"], "left_semi").dropDuplicates(["same", "doc_id"]).select("doc_id", "bands", "brief", "n_bytes")
-    firsts = cut(firsts)
-    groups = components(candidates(firsts, near)).select(F.col("node").alias("doc_id"), "root")
-    # blocks of leader_rows documents and block_bytes of text; each pair of blocks of a group meets in one task
-    weights = groups.join(firsts.groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes")), "doc_id")
-    sizes = weights.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / near.leader_rows, F.sum("n_bytes") / near.block_bytes)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("doc_id", "root"), F.col("blocks")).cast("int")
-    dealt = groups.join(sizes, "root").select("doc_id", "root", block.alias("block"), "blocks")
-    dealt = cut(dealt.select("doc_id", "root", "block", _pairs(F.col("block"), F.col("blocks")).alias("pair")).select("doc_id", "root", "block", "pair.*"))
-    texts = documents.select("doc_id", "text").where("doc_id is not null")
-    rows = dealt.join(texts, "doc_id").select("root", "low", "high", "block", "doc_id", "text")
-    links = rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "doc_id").mapInArrow(_verify(near), "a long, b long, n long")
-    return members, cut(links)
+_UNIT = ("g", "low", "high")
+#: What tells texts apart: 128 bits of hash and whether it is null; and with them the rows: doc_id, zero for null, and whether it is.
+_TEXT = ("x", "y", "no_text")
+_ROW = ("id", "no_id", *_TEXT)
+
+
+def _key_of(row: DataFrame) -> list[Column]:
+    """_ROW of each row."""
+    doc_id, text = row["doc_id"], row["text"]
+    return [F.coalesce(doc_id, F.lit(0)).cast("long"), doc_id.isNull(), F.xxhash64(text), F.xxhash64(F.lit(7), text, F.lit(7)), text.isNull()]
+
+
+def _keyed(documents: DataFrame, prefix: str = "") -> DataFrame:
+    return documents.select("*", *[c.alias(prefix + k) for k, c in zip(_ROW, _key_of(documents), strict=True)])
+
+
+def _spanning(members: DataFrame, held: DataFrame, link: Callable, most: Column) -> DataFrame:
+    """Links (a, b) whose components are those of all links among the members (g, node, n_bytes) of each g.
+
+    held: what `link` needs of each node; most: blocks of a g, of its `rows` and `bytes`. Rows of one node in a g are one.
+    """
+    sizes = members.groupBy("g").agg(F.count("*").alias("rows"), F.sum("n_bytes").alias("bytes")).where("rows > 1").select("g", F.greatest(F.ceil(most), F.lit(1)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node", "g"), F.col("blocks")).cast("int")
+    dealt = cut(members.join(sizes, "g").select("g", "node", "blocks", block.alias("block")))
+    own = [*_UNIT, "node", "many"]
+
+    def linked(rows: DataFrame) -> DataFrame:
+        found = rows.join(held, "node").select(*own, *[c for c in held.columns if c != "node"])
+        return cut(found.repartition(*_UNIT).sortWithinPartitions(*_UNIT, "node").mapInArrow(link, "a long, b long, many boolean"))
+
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    # every block beside the first one, which is in the pairs of all the others
+    to = F.when((F.col("block") > 0) | (F.col("blocks") == 1), F.array("block")).otherwise(F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1))))
+    first = linked(dealt.select("g", F.lit(0).alias("low"), F.explode(to).alias("high"), "node", (F.col("blocks") > 1).alias("many")))
+    if not dealt.where("blocks > 2").head(1):
+        return first.select("a", "b")
+    large = dealt.where("blocks > 2")  # one pair of blocks holds all pairs of two
+    known = components(first.where("many")).withColumnRenamed("root", "known")
+    placed = large.join(known, "node", "left").select("g", "node", "block", "blocks", F.coalesce("known", "node").alias("root"))
+    counts = placed.groupBy("g", "root").count().groupBy("g").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
+    placed = cut(placed.join(counts, "g").withColumn("rest", (F.col("root") != F.col("largest")) & (F.col("block") > 0)).drop("root", "largest"))
+    per_block = placed.groupBy("g", "blocks").agg(F.count("*").alias("rows"), F.count_if("rest").alias("rest_rows")).where("rest_rows > 0")
+    rests = per_block.select("g", F.ceil(F.col("rest_rows") * F.col("blocks") / F.col("rows")).cast("int").alias("rests"))
+    # the first block has met all; every block of the rest now meets all the others, and its own members with them
+    dealt = placed.where("block > 0").join(rests, "g").withColumn("part", F.pmod(F.xxhash64("g", "node"), F.col("rests")).cast("int"))
+    plain = dealt.select("g", F.explode(upto(F.col("rests"))).alias("low"), F.col("block").alias("high"), "node", F.col("part").alias("of"), "rest").where("not (rest and of = low)").drop("of", "rest")
+    beside = dealt.where("rest").select("g", F.col("part").alias("low"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("high"), "node")
+    second = linked(plain.union(beside).withColumn("many", F.lit(True)))
+    return first.select("a", "b").union(second.select("a", "b"))
+
+
+def near_links(documents: DataFrame, near: Near = Near()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, nodes, links): doc_id and text key of each row; node, text key, the smallest doc_id (holder) of each text; verified links (a, b) of nodes that span the classes."""
+    keyed = _keyed(documents.select("doc_id", "text"))
+    kind = next(f.dataType.simpleString() for f in documents.schema if f.name == "doc_id")
+    signed = cut(keyed.select("doc_id", "text", *_TEXT).mapInArrow(_sign(near), f"doc_id {kind}, x long, y long, no_text boolean, bands array<long>, brief binary, n_bytes long"))
+    one = F.any_value(F.struct("bands", "brief", "n_bytes")).alias("one")
+    nodes = signed.groupBy(*_TEXT).agg(F.min("doc_id").alias("holder"), one)
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), *_TEXT, "holder", "one.*"))
+    buckets = nodes.select("node", F.explode("bands").alias("g"), F.lit(0).alias("n_bytes"))
+    likely = _spanning(buckets, nodes.select("node", "brief"), _likely(near), F.col("rows") / near.bucket_rows)
+    groups = components(likely).withColumnRenamed("root", "g")
+    members = groups.join(nodes.select("node", "n_bytes"), "node")
+    # the text of each grouped node, read from the row of its holder; repeated rows of one key hold one text
+    at = groups.join(nodes, "node").select("node", F.coalesce("holder", F.lit(0)).cast("long").alias("id"), F.col("holder").isNull().alias("no_id"), *_TEXT)
+    texts = keyed.groupBy(*_ROW).agg(F.any_value("text").alias("text")).join(at, list(_ROW)).select("node", "text")
+    size = F.greatest(F.col("rows") / near.group_rows, F.col("bytes") / near.group_bytes)
+    return signed.select("doc_id", *_TEXT), nodes.select("node", *_TEXT, "holder"), _spanning(members, texts, _verify(near), size)
+
+
+def classes(documents: DataFrame, near: Near = Near()) -> tuple[DataFrame, DataFrame]:
+    """(rows as in near_links; node, text key, holder, class_id and whether the node stands for its class)."""
+    rows, nodes, links = near_links(documents, near)
+    roots = components(links).withColumnRenamed("root", "known")
+    placed = cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known"))
+    heads = placed.groupBy("root").agg(F.min("holder").alias("class_id"), F.min_by("node", F.struct(F.col("holder").isNull(), "holder", "node")).alias("head"))
+    return rows, placed.join(heads, "root").select("node", *_TEXT, "holder", "class_id", (F.col("node") == F.col("head")).alias("stands"))
 
 
 def near_duplicates(documents: DataFrame, near: Near = Near()) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its class), holder (of its equal texts), n_links of each row."""
-    members, links = near_links(documents, near)
-    degree = links.where("b is null").groupBy(F.col("a").alias("holder")).agg(F.sum("n").alias("n_links"))
-    roots = components(links.where("b is not null")).select(F.col("node").alias("holder"), "root")
-    return (
-        members.join(roots, "holder", "left")
-        .join(degree, "holder", "left")
-        .select("doc_id", F.coalesce("root", "holder").alias("class_id"), "holder", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    """doc_id, class_id (smallest doc_id of its class) and holder (smallest of its equal texts) of each row."""
+    rows, nodes = classes(documents, near)
+    return rows.join(nodes, list(_TEXT)).select("doc_id", "class_id", "holder")
 
 
 def keep_one(documents: DataFrame, near: Near = Near()) -> DataFrame:
-    """The document of the smallest doc_id of each class, in its own columns; repeated rows of it go, rows without a doc_id stay."""
-    classes = near_duplicates(documents, near)
-    kept = cut(classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct())
-    one = documents.join(kept, documents["doc_id"] == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
-    return one.union(documents.where("doc_id is null"))
+    """One row of each class, in its own columns: that of the smallest doc_id; of rows with one doc_id and text, any."""
+    _, nodes = classes(documents, near)
+    key = [f"__{k}" for k in _ROW]
+    one = nodes.where("stands").select(F.coalesce("holder", F.lit(0)).cast("long").alias("__id"), F.col("holder").isNull().alias("__no_id"), *[F.col(k).alias(f"__{k}") for k in _TEXT])
+    return _keyed(documents, "__").join(one, key, "left_semi").dropDuplicates(key).select(*documents.columns)

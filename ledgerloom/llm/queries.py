@@ -123,5 +123,21 @@ FROM v
 """
 
 
+#: All pairs of texts that share a shingle, and what a class can reach.
+OP10_SQL = r"""
+WITH RECURSIVE t AS (SELECT min(doc_id) AS n, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]'), lambda x: x <> '') AS words
+  FROM documents GROUP BY text),
+s AS (SELECT n, k, count(*) AS w FROM (SELECT n, array_to_string(words[i:i + 4], ' ') AS k FROM (SELECT n, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM t WHERE len(words) > 0))
+  GROUP BY n, k),
+z AS (SELECT n, sum(w) AS size FROM s GROUP BY n),
+p AS (SELECT a.n AS a, b.n AS b, sum(least(a.w, b.w)) AS common FROM s a JOIN s b ON a.k = b.k AND a.n < b.n GROUP BY a.n, b.n),
+links AS (SELECT a, b FROM p JOIN z x ON x.n = a JOIN z y ON y.n = b WHERE 5 * common >= 4 * (x.size + y.size - common)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT n, n AS m FROM t UNION SELECT reach.n, ends.b FROM reach JOIN ends ON ends.a = reach.m),
+least AS (SELECT n, min(m) AS class_id FROM reach GROUP BY n)
+SELECT d.doc_id, least.class_id, t.n AS holder FROM documents d JOIN t ON t.text IS NOT DISTINCT FROM d.text JOIN least ON least.n = t.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_chat_format": OP8_SQL}
+    return {"op10_dart_minhash": OP10_SQL, "op5_warc": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_chat_format": OP8_SQL}

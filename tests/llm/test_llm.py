@@ -381,29 +381,49 @@ def test_signatures_estimate_weighted_jaccard():
 
 
 def brute_classes(rows):
-    sets = []
+    """The doc_ids of each class of texts, a null one as None: all pairs, weighted similarity."""
+    sets = {}
     for _, t in rows:
         w = WORD.findall(t or "")
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    parent = list(range(len(rows)))
+        sets[t] = collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else collections.Counter()
+    texts = list(sets)
+    parent = list(range(len(texts)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i in range(len(rows)):
+    for i, a in enumerate(texts):
         for j in range(i):
-            same = rows[i][1] == rows[j][1] or (rows[i][0] is not None and rows[i][0] == rows[j][0])
-            if same or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+            both = (sets[a] & sets[texts[j]]).total()
+            if both and 5 * both >= 4 * (sets[a].total() + sets[texts[j]].total() - both):
                 parent[find(i)] = find(j)
+    at = {t: find(i) for i, t in enumerate(texts)}
     groups = collections.defaultdict(set)
-    for i, (d, _) in enumerate(rows):
-        groups[find(i)].add(d)
-    return {frozenset(x - {None}) for x in groups.values()} - {frozenset()}
+    for d, t in rows:
+        groups[at[t]].add((d, t))
+    return sorted((sorted(g, key=str) for g in groups.values()), key=str)
 
 
-@pytest.mark.parametrize("near", [dart_minhash.Near(), dart_minhash.Near(bucket_rows=4, leader_rows=2)])
+def found_classes(spark, rows, near):
+    out = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near).collect()
+    assert sorted(str(x.doc_id) for x in out) == sorted(str(d) for d, _ in rows)
+    return collections.Counter((x.doc_id, x.class_id) for x in out)
+
+
+def wanted_classes(rows):
+    least = {}
+    for group in brute_classes(rows):
+        ids = [d for d, _ in group if d is not None]
+        least |= {(d, t): min(ids, default=None) for d, t in group}
+    return collections.Counter((d, least[d, t]) for d, t in rows)
+
+
+SMALL_BLOCKS = dart_minhash.Near(bucket_rows=4, group_rows=2)
+
+
+@pytest.mark.parametrize("near", [dart_minhash.Near(), SMALL_BLOCKS])
 def test_near_duplicates(spark, docs, none, near):
     r = rng()
     base = [f"w{i}" for i in range(300)]
@@ -415,61 +435,47 @@ def test_near_duplicates(spark, docs, none, near):
         return " ".join(out)
 
     rows = [(i, edited(3)) for i in range(30)] + [(100, " ".join(base)), (101, " ".join(base)), (102, "  ".join(base)), (103, edited(60)), (104, None), (105, None), (106, "")]
+    rows += [(110, "a b c d e f " * 50), (111, "a b c d e f " * 58), (112, "a b c d e f " * 5)]  # alike as sets; as weighted sets only the first two
     rows += [(x.doc_id, x.text) for x in docs.collect()]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    out = dart_minhash.near_duplicates(frame, near).collect()
-    assert len(out) == len(rows)
-    got = collections.defaultdict(set)
-    for x in out:
-        if x.doc_id is not None:
-            got[x.class_id].add(x.doc_id)
-    assert {frozenset(x) for x in got.values()} == brute_classes(rows)
-    assert all(min(v) == k for k, v in got.items())
+    assert found_classes(spark, rows, near) == wanted_classes(rows)
     assert dart_minhash.near_duplicates(none, near).count() == 0
     kept = dart_minhash.keep_one(docs)
     assert kept.columns == docs.columns and {0, 1, 40, 41} <= {x.doc_id for x in kept.collect()} and not {6, 7, 20} & {x.doc_id for x in kept.collect()}
 
 
+def test_one_row_of_each_class_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 1), (1, b, 2), (1, a, 3), (2, b, 4), (None, b, 5), (None, c, 6), (None, c, 7), (3, None, 8), (None, None, 9)]
+    kept = dart_minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, x int")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (1, b), (None, c), (3, None)], key=str)
+
+
 def population():
-    """Families of a template, alike at 0.7 from one to another and at 0.8 inside each; and a drifting chain."""
+    """Families of a template, alike at 0.7 from one to another and at 0.8 inside each; a drifting chain; a hub and its spokes."""
     r = np.random.default_rng(11)
     serial = iter(range(1_000_000))
 
-    def edited(words, n):
+    def edited(words, n, at=None):
         out = list(words)
-        for k in r.choice([i for i, w in enumerate(words) if w[0] != "n"], n, replace=False):
+        for k in r.choice([i for i, w in enumerate(words) if w[0] != "n"], n, replace=False) if at is None else at:
             out[k] = f"n{next(serial)}"
         return out
 
-    template, chain, out = [f"t{i}" for i in range(400)], [f"c{i}" for i in range(400)], []
+    template, chain, hub, out = [f"t{i}" for i in range(400)], [f"c{i}" for i in range(400)], [f"h{i}" for i in range(400)], []
     for k in range(60):
         parent = edited(template, 3)
         out += [edited(parent, 4) for _ in range(1 + k % 3)]
     for _ in range(25):
         chain = edited(chain, 6)
         out.append(chain)
+    out += [edited(hub, 0, at=range(8 * k, 8 * k + 80, 12)) for k in range(40)] + [hub]
     return [(i, " ".join(x)) for i, x in enumerate(out)]
 
 
-@pytest.mark.parametrize("near", [dart_minhash.Near(), dart_minhash.Near(bucket_rows=16, leader_rows=8)])
-def test_near_duplicates_of_a_template_and_a_chain(spark, near):
-    rows = population()
-    out = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near).collect()
-    got = collections.defaultdict(set)
-    for x in out:
-        got[x.class_id].add(x.doc_id)
-    assert {frozenset(x) for x in got.values()} == brute_classes(rows)
-
-
-@pytest.mark.parametrize("near", [dart_minhash.Near(), dart_minhash.Near(bucket_rows=16, leader_rows=8)])
-def test_links_are_counted(spark, near):
+@pytest.mark.parametrize("near", [dart_minhash.Near(), dart_minhash.Near(bucket_rows=16, group_rows=8), SMALL_BLOCKS])
+def test_near_duplicates_of_a_template_a_chain_and_a_hub(spark, near):
     rows = population()
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
-    n = [sum(i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
-    more = [(1000 + d, t) for d, t in rows[:9]] + rows[:3]  # other copies and repeated rows are no links
-    out = dart_minhash.near_duplicates(spark.createDataFrame(rows + more, "doc_id long, text string"), near).collect()
-    assert len(out) == len(rows) + len(more)
-    assert {x.doc_id: x.n_links for x in out} == dict(enumerate(n)) | {1000 + k: n[k] for k in range(9)}
+    assert found_classes(spark, rows, near) == wanted_classes(rows)
 
 
 def test_components(spark):
@@ -534,7 +540,7 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in quality_rules.quality_verdicts(docs).where("kept").collect()}
     assert {r.doc_id for r in seen[1].collect()} == kept
     rows = [(r.doc_id, r.text) for r in seen[1].select("doc_id", "text").collect()]
-    assert {r.doc_id for r in seen[2].collect()} == {min(x) for x in brute_classes(rows)}
+    assert {r.doc_id for r in seen[2].collect()} == {min(d for d, _ in x) for x in brute_classes(rows)}
     left = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in seen[3].collect()}
     want = {i: h for i, _, _, _, h in brute_bytes([(r.doc_id, r.text) for r in seen[2].collect()])}
     assert sum(left[i] != want[i] for i in left) <= 0.02 * len(left)  # a cut inside a character drops its other bytes
