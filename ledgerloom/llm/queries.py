@@ -123,6 +123,37 @@ FROM v
 """
 
 
+#: Bytes as pairs of hexadecimal digits; every window, and the runs that the repeated ones cover.
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN f USING (s) WHERE w.doc_id > f.first),
+m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS begins FROM g),
+r AS (SELECT doc_id, i, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+x AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS upto FROM x),
+o AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * upto + 1, 2 * (a - upto)), '' ORDER BY a) AS kept, max(b) AS last
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)
+"""
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM d)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM w) WHERE n > 1),
+m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 35 THEN 0 ELSE 1 END AS begins FROM g),
+r AS (SELECT doc_id, i, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+x AS (SELECT doc_id, min(i) AS a, max(i) + 34 AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS upto FROM x),
+o AS (SELECT doc_id, sum(b - a + 1) AS n_removed, flatten(list(words[upto + 1:a - 1] ORDER BY a)) AS kept, max(b) AS last FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_concat(coalesce(kept, []), words[coalesce(last, 0) + 1:]), ' ')) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)
+"""
+
 #: All pairs of texts that share a shingle, and what a class can reach.
 OP10_SQL = r"""
 WITH RECURSIVE t AS (SELECT min(doc_id) AS n, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]'), lambda x: x <> '') AS words
@@ -140,4 +171,4 @@ SELECT d.doc_id, least.class_id, t.n AS holder FROM documents d JOIN t ON t.text
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_dart_minhash": OP10_SQL, "op5_warc": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_chat_format": OP8_SQL}
+    return {"op10_dart_minhash": OP10_SQL, "op5_warc": OP5_SQL, "op6_suffix_dedup": OP6_SQL, "op9_recompression": OP9_SQL, "op7_quality_rules": OP7_SQL, "op8_chat_format": OP8_SQL}

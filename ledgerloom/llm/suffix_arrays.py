@@ -4,82 +4,117 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Places that take Kasai's steps one after the other.
+LANE = 256
+
+
+def _sorted_places(group: np.ndarray, value: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of (group, value), equal ones in any order, and where a new pair begins; all values are in [0, places]."""
+    bits = max(1, int(places).bit_length())
+    own = max(1, int(len(group)).bit_length())
+    if 2 * bits + own <= 64:
+        key = (group.astype(np.uint64) << np.uint64(bits) | value.astype(np.uint64)) << np.uint64(own) | np.arange(len(group), dtype=np.uint64)
+        key.sort()
+        order = (key & np.uint64((1 << own) - 1)).astype(np.int64)
+        pair = key >> np.uint64(own)
+    else:
+        order = np.lexsort((value, group))
+        pair = group[order] * (places + 1) + value[order]
+    new = np.ones(len(group), bool)
+    new[1:] = pair[1:] != pair[:-1]
+    return order, new
+
+
+def _first_ranks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """All places ordered by their first bytes, where a new string begins, and how many bytes that were: what fits beside a place in 64 bits."""
+    n = len(data)
+    letter = np.zeros(256, np.uint64)
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    letter[used] = np.arange(1, len(used) + 1)  # 0 is the end of the data
+    bits, own = int(len(used)).bit_length(), int(n).bit_length()
+    length = max(1, (64 - own) // bits)
+    padded = np.concatenate([letter[data], np.zeros(length, np.uint64)])
+    key = np.zeros(n, np.uint64)
+    for k in range(length):
+        key = key << np.uint64(bits) | padded[k : k + n]
+    if own + length * bits <= 64:
+        key = key << np.uint64(own) | np.arange(n, dtype=np.uint64)
+        key.sort()
+        order, key = (key & np.uint64((1 << own) - 1)).astype(np.int64), key >> np.uint64(own)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    return order, new, length
+
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """All suffixes in order.
 
-    Ranks start from eight bytes. Each round doubles the sorted length, and only groups of more than one suffix are
+    Ranks start from a few bytes. Each round doubles the sorted length, and only groups of more than one suffix are
     sorted again, by the rank of the suffix that much further on.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | padded[k : k + n]
-    # a suffix that ends sorts before one with a zero byte there
-    order = np.lexsort((np.minimum(n - np.arange(n), 8), key)) if n < 8 else np.argsort(key, kind="stable")
-    if n >= 8:
-        tail = np.minimum(n - order, 8)
-        same = np.flatnonzero((key[order[1:]] == key[order[:-1]]) & (tail[1:] != tail[:-1]))
-        if len(same):
-            order = np.lexsort((np.minimum(n - np.arange(n), 8), key))
-    full = np.minimum(n - order, 8)
-    new = np.ones(n, bool)
-    new[1:] = (key[order[1:]] != key[order[:-1]]) | (full[1:] != full[:-1])
-    rank = np.empty(n, np.int64)
+    order, new, length = _first_ranks(data)
+    rank = np.zeros(n + 1, np.int64)  # the empty suffix is the least
     start = np.flatnonzero(new)
-    # a group's number is the place of its last suffix, so numbers stay when other groups split
-    last = np.append(start[1:], n) - 1
-    rank[order] = np.repeat(last, np.diff(np.append(start, n)))
-    length = 8
-    open_at = np.flatnonzero(np.repeat(np.diff(np.append(start, n)) > 1, np.diff(np.append(start, n))))
+    size = np.diff(np.append(start, n))
+    # a group's number is the place of its last suffix and one, so numbers stay when other groups split
+    rank[order] = np.repeat(start + size, size)
+    open_at = np.flatnonzero(np.repeat(size > 1, size))
     while len(open_at):
         members = order[open_at]
-        group = rank[members]
-        further = members + length
-        value = np.where(further < n, rank[np.minimum(further, n - 1)], -1)
-        again = np.lexsort((value, group))
-        members, group, value = members[again], group[again], value[again]
+        again, new = _sorted_places(rank[members], rank[np.minimum(members + length, n)], n)
+        members = members[again]
         order[open_at] = members
-        new = np.ones(len(members), bool)
-        new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(members)))
-        rank[members] = np.repeat(open_at[start + size - 1], size)
+        rank[members] = np.repeat(open_at[start + size - 1] + 1, size)
         open_at = open_at[np.repeat(size > 1, size)]
         length *= 2
     return order
 
 
+def _lanes(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in lanes of LANE places at most."""
+    n = -(-sizes // LANE)
+    text = np.repeat(np.arange(len(sizes)), n)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    return starts[text] + k * LANE, np.minimum(sizes[text] - k * LANE, LANE)
+
+
 def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
     """For each place in `order`, the common prefix with the suffix before it, at most `most`.
 
     Kasai's bound: from a suffix to the one a byte on, the prefix shrinks by one at most, so it is only extended from
-    there. The texts (starts, sizes) take their steps together, one place a step.
+    there. The texts (starts, sizes) are cut into lanes that take their steps together, one place a step.
     """
     n = len(data)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    out = np.zeros(n, np.int64)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    out = np.zeros(n, np.int64)  # by place in the data
+    starts, sizes = _lanes(starts, sizes)
     longest_first = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[longest_first], sizes[longest_first]
     have = np.zeros(len(starts), np.int64)
     for step in range(int(sizes.max()) if len(sizes) else 0):
-        live = int(np.searchsorted(-sizes, -step, "left"))  # texts longer than step
+        live = int(np.searchsorted(-sizes, -step, "left"))  # lanes longer than step
         at = starts[:live] + step
-        p = place[at]
-        before = np.where(p > 0, order[np.maximum(p - 1, 0)], -1)
-        h = np.maximum(have[:live] - 1, 0)
-        room = np.where(before >= 0, np.minimum(np.minimum(n - at, n - before), most), 0)
-        h = np.minimum(h, room)
+        other = before[at]
+        room = np.where(other >= 0, np.minimum(n - np.maximum(at, other), most), 0)
+        h = np.minimum(np.maximum(have[:live] - 1, 0), room)
         todo = np.flatnonzero(h < room)
-        while len(todo):
-            same = data[at[todo] + h[todo]] == data[before[todo] + h[todo]]
-            todo = todo[same]
-            h[todo] += 1
-            todo = todo[h[todo] < room[todo]]
-        out[p] = h
+        a, b, left = at[todo] + h[todo], other[todo] + h[todo], room[todo] - h[todo]
+        length = np.zeros(len(todo), np.int64)
+        k = np.arange(len(todo))
+        while len(k):
+            k = k[data[a[k] + length[k]] == data[b[k] + length[k]]]
+            length[k] += 1
+            k = k[length[k] < left[k]]
+        h[todo] += length
+        out[at] = h
         have[:live] = h
-    return out
+    return out[order]

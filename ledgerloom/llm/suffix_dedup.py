@@ -1,28 +1,29 @@
 """Exact substring deduplication: suffix arrays of shards, common prefixes, and a merge across shards.
 
-A byte goes if a `width`-byte string that covers it also starts in a document of a smaller doc_id. Every such string
-picks an anchor, a `gram`-byte string in it, by its content alone; so equal strings meet at equal anchors.
-
-1. Documents are read once; each anchor occurrence gives its hash, a hash of its context (the bytes of all the windows
-   that picked it), doc_id and place. They are shuffled as packed arrays by buckets of the anchor's hash; of equal
-   contexts in a block only the one of the smallest doc_id is sent, the rest are decided there, so a hot passage weighs
-   one record a block.
-2. In a bucket, contexts equal to one of a smaller doc_id are decided. What stays open are contexts that differ but
-   share an anchor: the edges of matches.
-3. Open contexts fetch their bytes and form shards of about `shard_bytes`; whole anchor groups stay together unless one
-   is larger than a shard.
-4. Each shard sorts its suffixes (Larsson-Sadakane) and takes common prefixes (Kasai): suffixes in a row with a common
-   prefix of `width` are one string, and all but those of the smallest doc_id are decided.
-5. Only strings of anchor groups that were split over shards are undecided still. Their sorted lists, one entry a shard
-   and string, are merged by binary search, by hash of the string.
-6. The decided spans meet the documents again.
-
-Hashes have 128 bits together (anchor and context), so a false match is out of reach; shards compare bytes.
-
-Defined results: null text is empty; texts shorter than `width` lose nothing; rows with a null doc_id take no part and
-lose nothing; rows of one doc_id never cover one another, and repeated rows all get the same result (rows of one doc_id
-with different texts share their spans, cut to each text's length); an empty table gives no rows; other columns are kept
-by remove_repeats and ignored else.
+A byte goes if a `width`-byte string that covers it also starts in a document of a smaller doc_id.
+
+1. Documents are read once, in shards of about `shard_bytes`. Each shard sorts all its suffixes (Larsson-Sadakane) and
+   takes common prefixes (Kasai): suffixes in a row with a common prefix of `width` are one string, and all its places but
+   those of the smallest doc_id are decided. Equal texts of a shard enter it once.
+2. Only the smallest document's places of a string go on, to be merged across shards. Not all of them must: every string
+   picks an anchor, a `gram`-byte string in it, by its content alone, so equal strings of different shards have equal
+   anchors at equal places, and a string whose anchor no other shard has is settled. Each anchor's hash goes, with a hash of
+   its context (the bytes of all the undecided strings that picked it), as packed and sorted lists to buckets of anchors.
+   There contexts equal to one of a smaller doc_id are decided; contexts that differ but share an anchor stay open.
+3. Open contexts fetch their bytes and are suffix-sorted again, in shards of whole anchor groups. A group larger than a
+   shard is split, and what its shards leave undecided, one entry a shard and string, is merged by binary search among
+   the sorted strings.
+4. The decided spans meet the documents again, in one join.
+
+Contexts are told apart by 128 bits of hash (anchor and context); shards and merges compare bytes.
+
+Scale: rows are packed by shard and bucket; up to `most_tasks` tasks sort buckets on disk and hold one at a time. An
+anchor whose contexts differ in every document (the ends of a footer) weighs 37 bytes a document in its bucket.
+
+Defined results: doc_id is any integer type; null text is empty; texts shorter than `width` lose nothing; rows with a null
+doc_id take no part and lose nothing; rows of one doc_id never cover one another, each loses what its own text repeats of
+smaller doc_ids, and repeated rows all get the same result; an empty table gives no rows; other columns are kept by
+deduplicate and ignored else.
 """
 
 from __future__ import annotations
@@ -48,14 +49,15 @@ from ledgerloom.llm.suffix_arrays import common_prefixes, suffix_array
 class Repeats:
     width: int = 50
     gram: int = 20
-    shard_bytes: int = 2 << 20
+    shard_bytes: int = 2_000_000
     #: Bytes of text for each bucket of anchors and for each part of the documents.
     bucket_bytes: int = 12 << 20
     part_bytes: int = 16 << 20
+    most_tasks: int = 20_000
 
 
-_OCCURRENCE = (("fp", U), ("context", U), ("doc", np.int64), ("low", np.int32), ("size", np.uint8))
-_SPAN = (("doc", np.int64), ("low", np.int32), ("size", np.int32))
+_SPAN = (("doc", np.int64), ("text", np.int64), ("low", np.int32), ("size", np.int32))
+_OCCURRENCE = (("doc", np.int64), ("text", np.int64), ("low", np.int32), ("size", np.int32), ("fp", U), ("context", U))
 _ASK = (*_SPAN, ("fp", U))
 
 
@@ -63,80 +65,104 @@ def _packed(kinds: tuple) -> dict[str, pa.DataType]:
     return {name: pa.binary() for name, _ in kinds}
 
 
-def occurrences(block: pa.RecordBatch, repeats: Repeats) -> list[np.ndarray]:
-    """fp, context, doc, low, size of each anchor occurrence of the block's texts."""
-    data, offsets = raw(block.column("text"))
-    ids = block.column("doc_id")
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    valid = row[: max(0, len(data) - repeats.width + 1)] == row[repeats.width - 1 :]
-    if ids.null_count:
-        valid &= np.asarray(ids.is_valid())[row[: len(valid)]]
-        ids = ids.fill_null(0)
-    h = window_hashes(data, repeats.gram)
-    at, low, high = anchors(h, repeats.width - repeats.gram + 1, valid)
-    context = run_hashes(data, low, high + repeats.width) ^ mix((at - low).astype(U))
-    owner = row[low]
-    return [h[at], context, np.asarray(ids, np.int64)[owner], (low - offsets[owner]).astype(np.int32), (high - low + repeats.width).astype(np.uint8)]
+def _sql(kinds: tuple) -> str:
+    return ", ".join(f"{name} binary" for name, _ in kinds)
+
+
+def _deal(spans: list[np.ndarray], parts: int, kinds: tuple = _SPAN) -> Iterator[pa.RecordBatch]:
+    """Rows of spans by the part of their document."""
+    yield from packed_rows(part_of(spans[0].astype(np.int64) ^ spans[1].astype(np.int64), parts), spans, kinds)
+
+
+def _first_copies(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each row the row of the smallest doc that holds the same bytes."""
+    size = np.diff(offsets)
+    order = np.lexsort((doc, size, text))
+    out = np.arange(len(doc))
+    for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+        first = out[a]
+        if text[a] == text[b] and size[a] == size[b] and (data[offsets[first] : offsets[first + 1]] == data[offsets[b] : offsets[b + 1]]).all():
+            out[b] = first
+    return out
 
 
 def _scan(repeats: Repeats, buckets: int, parts: int):
+    """Of each shard the decided spans (a negative key) and the anchors of the strings that are not (their bucket)."""
+    width = repeats.width
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, most=1 << 22):
-                fp, context, doc, low, size = occurrences(block, repeats)
-                order = np.argsort(fp, kind="stable")
-                again = fp[order][1:] == fp[order][:-1]
-                twice = np.zeros(len(fp), bool)
-                twice[order[1:][again]] = twice[order[:-1][again]] = True
-                k = np.flatnonzero(twice)
-                k = k[np.lexsort((doc[k], context[k], fp[k]))]
-                new = np.ones(len(k), bool)
-                new[1:] = (fp[k][1:] != fp[k][:-1]) | (context[k][1:] != context[k][:-1])
-                first = doc[k][new][np.cumsum(new) - 1] if len(k) else doc[k]
-                gone = k[doc[k] > first]
-                # decided here: kept apart from the buckets, and spread like them
-                yield from packed_rows(-1 - part_of(doc[gone], parts), [fp[gone], context[gone], doc[gone], low[gone], size[gone]], _OCCURRENCE)
-                stay = np.ones(len(fp), bool)
-                stay[gone] = False
-                yield from packed_rows((fp[stay] >> U(40)).astype(np.int64) % buckets, [fp[stay], context[stay], doc[stay], low[stay], size[stay]], _OCCURRENCE)
+            for block in blocks(batch, most=repeats.shard_bytes):
+                yield from shard(*raw(block.column("text")), *(np.asarray(block.column(k), np.int64) for k in ("doc_id", "hash")))
+
+    def shard(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, text: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = np.diff(offsets)
+        first = _first_copies(data, offsets, doc, text)
+        copy = np.flatnonzero((doc > doc[first]) & (size >= width))
+        own = np.flatnonzero((first == np.arange(len(doc))) & (size >= width))
+        spans = [[doc[copy], text[copy], np.zeros(len(copy)), size[copy]]]
+        data = np.concatenate([data[a:b] for a, b in zip(offsets[own].tolist(), offsets[own + 1].tolist(), strict=True)] or [data[:0]])
+        doc, text, size = doc[own], text[own], size[own]
+        starts = np.cumsum(size) - size
+        of, offset, _, least = repeated_strings(data, size, doc, width)
+        gone = ~least
+        spans.append(_runs(of[gone], offset[gone], doc, text, np.zeros(len(doc), np.int64), width))
+        yield from _scanned(_deal([np.concatenate(x) for x in zip(*spans, strict=True)], parts), decided=True)
+        open_ = np.zeros(max(0, len(data) - width + 1), bool)
+        open_[starts[of[least]] + offset[least]] = True
+        at, low, high = anchors(window_hashes(data, repeats.gram), width - repeats.gram + 1, open_)
+        fp = window_hashes(data, repeats.gram)[at]
+        context = run_hashes(data, low, high + width) ^ mix((at - low).astype(U))
+        row = np.searchsorted(starts, low, "right") - 1
+        # sorted lists, and of equal contexts of one document one record: the others are decided with it or not at all
+        order = np.lexsort((doc[row], context, fp))
+        yield from _scanned(packed_rows((fp[order] >> U(40)).astype(np.int64) % buckets, [x[order] for x in (doc[row], text[row], low - starts[row], high - low + width, fp, context)], _OCCURRENCE))
 
     return run
 
 
+def _scanned(rows: Iterator[pa.RecordBatch], decided: bool = False) -> Iterator[pa.RecordBatch]:
+    for b in rows:
+        key = b.column("key")
+        if decided:  # apart from the buckets, and spread like them
+            key = pa.array(-1 - np.asarray(key), pa.int32())
+        yield pa.record_batch([key, *[b.column(k) if k in b.schema.names else pa.nulls(b.num_rows, pa.binary()) for k, _ in _OCCURRENCE]], names=["key", *[k for k, _ in _OCCURRENCE]])
+
+
 def _decide(repeats: Repeats, parts: int):
     """Of whole buckets: spans (kind 0) and, of open contexts, what to ask for (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ("key",)):
             for table in by_key(table):
-                yield from bucket(int(table.column("key")[0].as_py()), *unpacked(table, _OCCURRENCE))
-
-    def bucket(key: int, fp, context, doc, low, size) -> Iterator[pa.RecordBatch]:
-        gone = np.arange(len(fp)) if key < 0 else None
-        k = np.zeros(0, np.int64)
-        if key >= 0:
-            order = np.argsort(fp)
-            again = fp[order][1:] == fp[order][:-1]
-            twice = np.zeros(len(fp), bool)
-            twice[order[1:][again]] = twice[order[:-1][again]] = True
-            k = np.flatnonzero(twice)
-            k = k[np.lexsort((doc[k], context[k], fp[k]))]
-            new_fp = np.ones(len(k), bool)
-            new_fp[1:] = fp[k][1:] != fp[k][:-1]
-            new = new_fp.copy()
-            new[1:] |= context[k][1:] != context[k][:-1]
-            first = doc[k][new][np.cumsum(new) - 1] if len(k) else doc[k]
-            decided = doc[k] > first
-            gone = k[decided]
-            group = np.cumsum(new_fp) - 1
-            n = int(group[-1]) + 1 if len(k) else 0
-            contexts = np.bincount(group[new], minlength=n)
-            least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-            np.minimum.at(least, group[new], first[new])
-            np.maximum.at(most, group[new], first[new])
-            k = k[~decided & ((contexts > 1) & (least < most))[group]]
-        part = part_of(doc[gone], parts)
-        for b in packed_rows(part, [doc[gone], low[gone], size[gone]], _SPAN):
+                if int(table.column("key")[0].as_py()) < 0:
+                    for b in _deal(unpacked(table, _SPAN), parts):
+                        yield _as(b, kind=0, shard=None, split=None)
+                else:
+                    yield from bucket(int(table.column("key")[0].as_py()), *unpacked(table, _OCCURRENCE))
+
+    def bucket(key: int, doc, text, low, size, fp, context) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(fp)
+        again = fp[order][1:] == fp[order][:-1]
+        twice = np.zeros(len(fp), bool)
+        twice[order[1:][again]] = twice[order[:-1][again]] = True
+        k = np.flatnonzero(twice)
+        k = k[np.lexsort((doc[k], context[k], fp[k]))]
+        new_fp = np.ones(len(k), bool)
+        new_fp[1:] = fp[k][1:] != fp[k][:-1]
+        new = new_fp.copy()
+        new[1:] |= context[k][1:] != context[k][:-1]
+        first = doc[k][new][np.cumsum(new) - 1] if len(k) else doc[k]
+        decided = doc[k] > first
+        gone = k[decided]
+        group = np.cumsum(new_fp) - 1
+        n = int(group[-1]) + 1 if len(k) else 0
+        contexts = np.bincount(group[new], minlength=n)
+        least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+        np.minimum.at(least, group[new], first[new])
+        np.maximum.at(most, group[new], first[new])
+        k = k[~decided & ((contexts > 1) & (least < most))[group]]
+        for b in _deal([x[gone] for x in (doc, text, low, size)], parts):
             yield _as(b, kind=0, shard=None, split=None)
         # open contexts go to shards in the order of their anchors
         upto = np.cumsum(size[k].astype(np.int64))
@@ -150,16 +176,15 @@ def _decide(repeats: Repeats, parts: int):
         where = np.where(large[group], upto - size[k], group_from[group]) // repeats.shard_bytes if len(k) else k
         for shard in np.unique(where).tolist():
             for split in (False, True):
-                own = (where == shard) & (large[group] == split)
-                j = k[own]
-                for b in packed_rows(part_of(doc[j], parts), [doc[j], low[j], size[j], fp[j]], _ASK):
+                j = k[(where == shard) & (large[group] == split)]
+                for b in _deal([x[j] for x in (doc, text, low, size, fp)], parts, _ASK):
                     yield _as(b, kind=1, shard=(key << 24) + shard, split=split)
 
     return run
 
 
 _DECIDED = {"key": pa.int32(), "kind": pa.int32(), "shard": pa.int64(), "split": pa.bool_()} | _packed(_ASK)
-_DECIDED_SQL = "key int, kind int, shard long, split boolean, doc binary, low binary, size binary, fp binary"
+_DECIDED_SQL = "key int, kind int, shard long, split boolean, " + _sql(_ASK)
 
 
 def _as(batch: pa.RecordBatch, **same) -> pa.RecordBatch:
@@ -167,26 +192,56 @@ def _as(batch: pa.RecordBatch, **same) -> pa.RecordBatch:
     return pa.record_batch([batch.column(k) if k in batch.schema.names else pa.array([same.get(k)] * n, kind) for k, kind in _DECIDED.items()], names=list(_DECIDED))
 
 
-def _fetch(parts: int):
-    """The bytes of open contexts, as rows for their shards."""
+def _by_document(kinds: tuple, asks: bool):
+    """Of whole parts: a row for each document, its spans or asks packed, those of spans merged."""
 
-    def run(asks: pa.Table, docs: pa.Table) -> pa.Table:
-        data, offsets = raw(docs.column("text"))
-        ids = docs.column("doc_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        out = []
-        for shard, split, *packed in zip(*(asks.column(k).to_pylist() for k in ("shard", "split", "doc", "low", "size", "fp")), strict=True):
-            doc, low, size, fp = (unpack(x, kind) for x, (_, kind) in zip(packed, _ASK, strict=True))
-            at = np.minimum(np.searchsorted(ids[order], doc), max(0, len(ids) - 1))
-            start = offsets[order[at]] + low
-            joined = b"".join(data[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True))
-            out.append((shard, split, packed[0], packed[1], packed[2], joined))
-        return pa.table([pa.array(x, kind) for x, kind in zip(list(zip(*out, strict=True)) or [[]] * 6, _FETCHED.values(), strict=True)], names=list(_FETCHED))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ("key",)):
+            for table in by_key(table):
+                doc, text, low, size, *more = unpacked(table, kinds)
+                if asks:
+                    counts = [len(x) // 8 for x in table.column("doc").to_pylist()]
+                    more += [np.repeat(np.array(table.column(k).to_pylist(), np.int64), counts) for k in ("shard", "split")]
+                order = np.lexsort((low, text, doc))
+                doc, text, low, size, *more = (x[order] for x in (doc, text, low, size, *more))
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+                if not asks and len(doc):
+                    # spans that touch or overlap are one
+                    number = np.cumsum(new)
+                    reach = np.maximum.accumulate((low + size).astype(np.int64) + number * (1 << 32)) - number * (1 << 32)
+                    apart = new.copy()
+                    apart[1:] |= low[1:] > reach[:-1]
+                    first = np.flatnonzero(apart)
+                    size = (reach[np.append(first[1:], len(doc)) - 1] - low[first]).astype(np.int32)
+                    doc, text, low, new = doc[first], text[first], low[first], new[first]
+                edges = np.append(np.flatnonzero(new), len(doc)).tolist()
+                packed = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in (low, size, *more)]
+                names = ["low", "size", *(("fp", "shard", "split") if asks else ())]
+                yield pa.record_batch({"doc": doc[edges[:-1]], "hash": text[edges[:-1]]} | {k: pa.array(v, pa.binary()) for k, v in zip(names, packed, strict=True)})
 
     return run
 
 
-_FETCHED = {"key": pa.int64(), "split": pa.bool_(), "doc": pa.binary(), "low": pa.binary(), "size": pa.binary(), "bytes": pa.binary()}
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of open contexts, as rows for their shards."""
+    for batch in batches:
+        for block in blocks(batch):
+            data, offsets = raw(block.column("text"))
+            low, size, fp, shard, split = (np.concatenate([np.frombuffer(x, kind) for x in block.column(k).to_pylist()]) for k, kind in _FETCH)
+            row = np.repeat(np.arange(block.num_rows), [len(x) // 4 for x in block.column("low").to_pylist()])
+            doc, text = (np.asarray(block.column(k), np.int64)[row] for k in ("doc", "hash"))
+            order = np.lexsort((fp, split, shard))
+            start = offsets[row] + low
+            new = np.ones(len(order), bool)
+            new[1:] = (shard[order][1:] != shard[order][:-1]) | (split[order][1:] != split[order][:-1])
+            for k in np.split(order, np.flatnonzero(new)[1:]) if len(order) else []:
+                joined = b"".join(data[a : a + n].tobytes() for a, n in zip(start[k].tolist(), size[k].tolist(), strict=True))
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(([shard[k[0]]], [bool(split[k[0]])], *([pack(x[k])] for x in (doc, text, low, size)), [joined]), _FETCHED.values(), strict=True)], names=list(_FETCHED))
+
+
+_FETCH = (("low", np.int32), ("size", np.int32), ("fp", U), ("shard", np.int64), ("split", np.int64))
+_FETCHED = {"key": pa.int64(), "split": pa.bool_()} | _packed(_SPAN) | {"bytes": pa.binary()}
 
 
 def repeated_strings(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -213,20 +268,19 @@ def _first_of_string(prefix: np.ndarray, place: np.ndarray, width: int) -> np.nd
     return out
 
 
-def _runs(text: np.ndarray, offset: np.ndarray, doc: np.ndarray, low: np.ndarray, width: int) -> list[np.ndarray]:
-    """Spans (doc, low, size) of strings at consecutive offsets of a text."""
-    order = np.lexsort((offset, text))
-    text, offset = text[order], offset[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (offset[1:] != offset[:-1] + 1)
+def _runs(of: np.ndarray, offset: np.ndarray, doc: np.ndarray, text: np.ndarray, low: np.ndarray, width: int) -> list[np.ndarray]:
+    """Spans of strings at consecutive offsets of the texts `of`."""
+    order = np.lexsort((offset, of))
+    of, offset = of[order], offset[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(text)) - 1
-    return [doc[text[first]], (low[text[first]] + offset[first]).astype(np.int32), (offset[last] - offset[first] + width).astype(np.int32)] if len(text) else [np.zeros(0, k) for _, k in _SPAN]
+    last = np.append(first[1:], len(of)) - 1
+    return [doc[of[first]], text[of[first]], low[of[first]] + offset[first], offset[last] - offset[first] + width] if len(of) else [np.zeros(0, k) for _, k in _SPAN]
 
 
-_MERGE = (("doc", np.int64), ("low", np.int32))
 _SHARDED = {"key": pa.int32(), "kind": pa.int32()} | _packed(_SPAN) | {"strings": pa.binary()}
-_SHARDED_SQL = "key int, kind int, doc binary, low binary, size binary, strings binary"
+_SHARDED_SQL = f"key int, kind int, {_sql(_SPAN)}, strings binary"
 
 
 def _of_shards(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
@@ -241,112 +295,117 @@ def _sort_shards(repeats: Repeats, parts: int, merges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ("key",)):
             for table in by_key(table):
-                doc, low, size = (np.concatenate([unpack(x, k) for x in table.column(n).to_pylist()]) for n, k in _SPAN)
+                doc, text, low, size = unpacked(table, _SPAN)
                 data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
                 counts = [len(x) // 8 for x in table.column("doc").to_pylist()]
                 split = np.repeat(np.array(table.column("split").to_pylist(), bool), counts)
-                text, offset, string, least = repeated_strings(data, size.astype(np.int64), doc, width)
-                for b in _rows_of_spans(_runs(text[~least], offset[~least], doc, low, width), parts):
+                of, offset, _, least = repeated_strings(data, size.astype(np.int64), doc, width)
+                for b in _deal(_runs(of[~least], offset[~least], doc, text, low, width), parts):
                     yield _of_shards(b, 0)
-                # undecided: for each string one entry a place of the smallest doc
-                k = np.flatnonzero(least & split[text])
+                # undecided: for each string one entry a place of the smallest doc, in the order of strings
+                k = np.flatnonzero(least & split[of])
                 if len(k):
-                    start = (np.cumsum(size) - size)[text[k]] + offset[k]
+                    start = (np.cumsum(size) - size)[of[k]] + offset[k]
                     strings = data[start[:, None] + np.arange(width)[None, :]]
                     to = (window_hashes(strings.reshape(-1), width)[::width] % U(merges)).astype(np.int64)
                     order = np.argsort(to, kind="stable")
-                    to, strings, d, lo = to[order], strings[order], doc[text[k]][order], (low[text[k]] + offset[k])[order].astype(np.int32)
+                    k, to, strings = k[order], to[order], strings[order]
                     edges = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
                     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                        yield pa.record_batch([pa.array(x, t) for x, t in zip(([int(to[a])], [1], [pack(d[a:b])], [pack(lo[a:b])], [None], [strings[a:b].tobytes()]), _SHARDED.values(), strict=True)], names=list(_SHARDED))
+                        own = of[k[a:b]]
+                        packed = [pack(x) for x in (doc[own], text[own], (low[own] + offset[k[a:b]]).astype(np.int32))]
+                        yield pa.record_batch([pa.array([x], t) for x, t in zip((int(to[a]), 1, *packed, None, strings[a:b].tobytes()), _SHARDED.values(), strict=True)], names=list(_SHARDED))
 
     return run
 
 
-def _rows_of_spans(spans: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
-    yield from packed_rows(part_of(spans[0], parts), spans, _SPAN)
-
-
 def _merge(repeats: Repeats, parts: int):
     """Finds each shard's strings among all by binary search; those of a larger doc than the smallest are decided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ("key",)):
             for table in by_key(table):
-                lists = [np.frombuffer(x, f"S{repeats.width}") for x in table.column("strings").to_pylist()]
-                doc = [unpack(x, np.int64) for x in table.column("doc").to_pylist()]
-                low = [unpack(x, np.int32) for x in table.column("low").to_pylist()]
-                known = np.unique(np.concatenate(lists))
+                strings = np.frombuffer(b"".join(table.column("strings").to_pylist()), f"S{repeats.width}")
+                doc, text, low = unpacked(table, _SPAN[:3])
+                known = np.unique(strings)
+                at = np.searchsorted(known, strings)
                 least = np.full(len(known), np.iinfo(np.int64).max)
-                at = [np.searchsorted(known, x) for x in lists]
-                for a, d in zip(at, doc, strict=True):
-                    np.minimum.at(least, a, d)
-                gone = [d > least[a] for a, d in zip(at, doc, strict=True)]
-                d, lo = np.concatenate([x[g] for x, g in zip(doc, gone, strict=True)]), np.concatenate([x[g] for x, g in zip(low, gone, strict=True)])
-                for b in _rows_of_spans([d, lo, np.full(len(d), repeats.width, np.int32)], parts):
+                np.minimum.at(least, at, doc)
+                gone = doc > least[at]
+                for b in _deal([doc[gone], text[gone], low[gone], np.full(int(gone.sum()), repeats.width)], parts):
                     yield _of_shards(b, 0)
 
     return run
 
 
-def _apply(schema: pa.Schema, texts: bool):
-    """The documents of a part with their spans taken out."""
-
-    def run(spans: pa.Table, docs: pa.Table) -> pa.Table:
-        doc, low, size = unpacked(spans, _SPAN)
-        order = np.argsort(doc, kind="stable")
-        doc, low, size = doc[order], low[order], size[order]
-        data, offsets = raw(docs.column("text"))
-        ids = docs.column("doc_id").to_pylist()
-        out = []
-        for i, key in enumerate(ids):
-            text = data[offsets[i] : offsets[i + 1]]
-            a, b = (np.searchsorted(doc, key, "left"), np.searchsorted(doc, key, "right")) if key is not None else (0, 0)
-            n_removed = n_spans = 0
-            kept = text
-            if a < b:
-                gone = covered(len(text), low[a:b], size[a:b])
-                n_removed = int(gone.sum())
-                n_spans = int(gone[:1].sum() + np.count_nonzero(gone[1:] & ~gone[:-1]))
-                kept = text[~gone]
-            kept = kept.tobytes()
-            out.append((key, len(text), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None))
-        columns = (list(zip(*out, strict=True)) or [[]] * 6)[: len(schema)]
-        return pa.table([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, int, int]]]]:
+    """Blocks of documents and, for each row, the bytes that stay, how many go and in how many spans."""
+    for batch in batches:
+        for block in blocks(batch):
+            data, offsets = raw(block.column("text"))
+            out = []
+            for a, b, low, size in zip(offsets[:-1].tolist(), offsets[1:].tolist(), block.column("__low").to_pylist(), block.column("__size").to_pylist(), strict=True):
+                kept, n_removed, n_spans = data[a:b], 0, 0
+                if low:
+                    gone = covered(b - a, np.frombuffer(low, np.int32), np.frombuffer(size, np.int32))
+                    n_removed, n_spans = int(gone.sum()), int(gone[:1].sum() + np.count_nonzero(gone[1:] & ~gone[:-1]))
+                    kept = kept[~gone]
+                out.append((kept.tobytes(), n_removed, n_spans))
+            yield block, out
 
-    return run
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, found in _removed(batches):
+        columns = [[len(k) + n for k, n, _ in found], [n for _, n, _ in found], [m for _, _, m in found], [hashlib.sha256(k).hexdigest() for k, _, _ in found]]
+        yield pa.record_batch([block.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-def remove_repeats(documents: DataFrame, repeats: Repeats = Repeats(), texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, and kept_text (valid UTF-8) if asked for."""
+
+def _with_spans(documents: DataFrame, repeats: Repeats) -> DataFrame:
+    """documents with low and size, packed: the spans of each row that go."""
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, parts = pieces(total, repeats.bucket_bytes), pieces(total, repeats.part_bytes)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = docs.mapInArrow(_scan(repeats, buckets, parts), "key int, fp binary, context binary, doc binary, low binary, size binary")
-    decided = cut(sent.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_decide(repeats, parts), _DECIDED_SQL))
-    placed = docs.withColumn("key", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
 
-    asks = decided.where("kind = 1").groupBy("key").cogroup(placed.groupBy("key"))
-    fetched = asks.applyInArrow(_fetch(parts), "key long, split boolean, doc binary, low binary, size binary, bytes binary")
-    sharded = cut(fetched.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_sort_shards(repeats, parts, buckets), _SHARDED_SQL))
-    merged = sharded.where("kind = 1").repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_merge(repeats, parts), _SHARDED_SQL)
+    def grouped(rows: DataFrame, pieces: int) -> DataFrame:
+        return rows.repartition(min(pieces, repeats.most_tasks), "key").sortWithinPartitions("key")
+
+    own = documents.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
+    docs = own.where("__id is not null").select(F.col("__id").alias("doc_id"), F.col("__hash").alias("hash"), F.col("text").cast("string").alias("text"))
+    sent = docs.mapInArrow(_scan(repeats, buckets, parts), f"key int, {_sql(_OCCURRENCE)}")
+    decided = cut(grouped(sent, buckets).mapInArrow(_decide(repeats, parts), _DECIDED_SQL))
 
-    names = ["key", "doc", "low", "size"]
+    asks = grouped(decided.where("kind = 1").drop("kind"), parts).mapInArrow(_by_document(_ASK, True), "doc long, hash long, low binary, size binary, fp binary, shard binary, split binary")
+    texts = docs.withColumnRenamed("doc_id", "doc").dropDuplicates(["doc", "hash"])
+    fetched = texts.join(asks, ["doc", "hash"]).mapInArrow(_fetch, f"key long, split boolean, {_sql(_SPAN)}, bytes binary")
+    sharded = cut(grouped(fetched, buckets).mapInArrow(_sort_shards(repeats, parts, buckets), _SHARDED_SQL))
+    merged = grouped(sharded.where("kind = 1"), buckets).mapInArrow(_merge(repeats, parts), _SHARDED_SQL)
+
+    names = ["key", *[k for k, _ in _SPAN]]
     spans = decided.where("kind = 0").select(*names).union(sharded.where("kind = 0").select(*names)).union(merged.select(*names))
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
-    schema = pa.schema(fields if texts else fields[:-1])
-    sql = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
-    return spans.groupBy("key").cogroup(placed.groupBy("key")).applyInArrow(_apply(schema, texts), sql)
+    found = grouped(spans, parts).mapInArrow(_by_document(_SPAN, False), "doc long, hash long, low binary, size binary")
+    found = found.select(F.col("doc").alias("__id"), F.col("hash").alias("__hash"), F.col("low").alias("__low"), F.col("size").alias("__size"))
+    joined = own.where("__id is not null").join(found, ["__id", "__hash"], "left")
+    return joined.unionByName(own.where("__id is null"), allowMissingColumns=True).drop("__id", "__hash")
+
+
+def remove_repeats(documents: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
+    rows = _with_spans(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), repeats)
+    return rows.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(documents: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
     """The documents in their own columns, without their repeats; those of which white space at most is left go.
 
-    Rows are matched by doc_id and text, so other columns stay with their row; n_chars follows where it is a column.
+    A character that loses some of its bytes loses all. n_chars follows where it is a column.
     """
-    removed = remove_repeats(documents, repeats, texts=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("n_bytes").alias("__n"), F.col("kept_text").alias("__kept")).dropDuplicates(["__id", "__n"])
-    joined = documents.join(removed, (documents["doc_id"] == F.col("__id")) & (F.octet_length(documents["text"]) == F.col("__n")), "left")
-    out = joined.where(F.col("__id").isNull() | F.col("__kept").rlike(r"\S")).withColumn("text", F.coalesce("__kept", "text"))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, found in _removed(batches):
+            yield block.drop_columns(["__low", "__size"]).append_column("__kept", pa.array([k.decode("utf-8", "ignore") if n else None for k, n, _ in found], pa.string()))
+
+    rows = _with_spans(documents, repeats)
+    schema = T.StructType([*documents.schema.fields, T.StructField("__kept", T.StringType())])
+    out = rows.mapInArrow(kept, schema).where(F.col("__kept").isNull() | F.col("__kept").rlike(r"\S")).withColumn("text", F.coalesce("__kept", "text"))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)
