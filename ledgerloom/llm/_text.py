@@ -13,8 +13,6 @@ BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 NO_TERM = np.ones(256, bool)
 NO_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 
 U = np.uint64
 #: Bytes that are hashed at once; their tables of powers fit a CPU's cache.
@@ -62,6 +60,11 @@ def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """The texts in lower case, of every script."""
+    return pc.utf8_lower(column)
+
+
 def blocks(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of about `most` bytes of text; a longer text is a slice of its own."""
     column = batch.column(batch.schema.get_field_index(text))

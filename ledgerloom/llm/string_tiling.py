@@ -4,15 +4,16 @@ Texts and benchmark items become terms (runs of letters and digits, in lower cas
 document and an item share are the seeds. Where the seeds of an item could cover `min_coverage` of it, running
 Karp-Rabin marks the longest matches that overlap no earlier tile, again and again, down to `min_match`; a document is
 contaminated if the tiles cover `min_coverage` of the item's terms. Tiles may lie in any order, so reordered passages
-count.
+count. An item of fewer terms than `min_match` is one seed itself: it is found where a document holds it whole.
 
-The benchmark is a stated query set: it is split by a hash of item_id into blocks of about `block_bytes`, each of which
-is sent to the tasks and held against all documents, so its size sets the number of passes and not the memory of one.
-Documents are never shuffled.
+The benchmark is a stated query set: it is split by a hash of item_id into blocks of about `block_bytes`. One block at a
+time reaches the driver, goes to the tasks and is held against all documents, so the benchmark's size sets the number of
+passes and not the memory of one. Documents are never shuffled. A run of terms that many items share costs a document one
+pair an item, however often the document holds it.
 
-Defined results: null and empty texts match nothing; items of fewer terms than `min_match` have no seeds and can't be
-found; equal items are reported each; repeated rows each get their rows; a null item_id or doc_id is kept as such; an
-empty table on either side gives no rows; other columns are ignored.
+Defined results: null and empty texts match nothing, items without terms neither; equal items are reported each, and so
+are rows of one item_id; repeated rows each get their rows; null ids are kept as such and ids may be of any type; an empty
+table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ import pyarrow as pa
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ledgerloom.llm._text import LOWER, NO_TERM, U, blocks, join_hashes, raw, rows_of, run_hashes, spans
+from ledgerloom.llm._shared import cut
+from ledgerloom.llm._text import NO_TERM, U, blocks, join_hashes, lowered, raw, rows_of, run_hashes, spans
 
 
 @dataclass(frozen=True)
@@ -40,8 +43,7 @@ class Tiling:
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each term and each row's first term (one more than rows)."""
-    data, offsets = raw(column)
-    data = LOWER[data]
+    data, offsets = raw(lowered(column))
     starts, ends, first = spans(data, offsets, NO_TERM)
     return run_hashes(data, starts, ends), first
 
@@ -102,70 +104,89 @@ def tiles(text: list[int], item: list[int], min_match: int) -> list[tuple[int, i
 
 
 class Seeds:
-    """The seeds of a block of items, for lookup by hash."""
+    """The seeds of `length` terms of a block of items, for lookup by hash."""
 
     BITS = 1 << 20
 
-    def __init__(self, items: list[tuple], tiling: Tiling):
-        self.tiling, self.ids = tiling, [i for i, _ in items]
-        self.hashes, self.first = terms(pa.array([t for _, t in items], pa.string()))
-        n, row = tiling.min_match, rows_of(self.first)
-        h = join_hashes(self.hashes, n)
-        start = np.flatnonzero(row[: len(h)] == row[n - 1 :]) if len(h) else np.zeros(0, np.int64)
-        order = np.argsort(h[start], kind="stable")
-        self.seed, self.seed_at, self.seed_item = h[start][order], start[order], row[start][order]
+    def __init__(self, hashes: np.ndarray, first: np.ndarray, own: np.ndarray, length: int):
+        """hashes, first: terms of the items; own: which items have seeds of this length."""
+        self.length = length
+        row, h = rows_of(first), join_hashes(hashes, length)
+        start = np.flatnonzero((row[: len(h)] == row[length - 1 :]) & own[row[: len(h)]]) if len(h) else np.zeros(0, np.int64)
+        self.runs, run = np.unique(h[start], return_inverse=True)
+        order = np.lexsort((start, row[start], run))
+        self.place, self.item = start[order], row[start][order]
+        self.begin = np.append(0, np.cumsum(np.bincount(run, minlength=len(self.runs))))
         self.maybe = np.zeros(self.BITS, bool)
-        self.maybe[self._slot(self.seed)] = True
-        self.count = np.diff(self.first)
+        self.maybe[self._slot(self.runs)] = True
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h & U(self.BITS - 1)).astype(np.int64)
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index in h, index of the seed) of all equal hashes."""
-        near = np.flatnonzero(self.maybe[self._slot(h)])
-        low, high = np.searchsorted(self.seed, h[near], "left"), np.searchsorted(self.seed, h[near], "right")
-        n = high - low
-        total = np.cumsum(n)
-        within = np.arange(total[-1] if len(n) else 0) - np.repeat(total - n, n)
-        return np.repeat(near, n), np.repeat(low, n) + within
+    def hits(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in h, index of the run) of the runs that lie in one row."""
+        at = np.flatnonzero(self.maybe[self._slot(h)])
+        at = at[row[at] == row[at + self.length - 1]]
+        run = np.minimum(np.searchsorted(self.runs, h[at]), len(self.runs) - 1)
+        same = self.runs[run] == h[at]
+        return at[same], run[same]
+
+    def pairs(self, row: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, terms that the seeds of both cover in the item) of all rows and items that share a seed."""
+        once = np.unique(row * len(self.runs) + run)
+        row, run = once // len(self.runs), once % len(self.runs)
+        n = self.begin[run + 1] - self.begin[run]
+        at = np.arange(int(n.sum())) + np.repeat(self.begin[run] - (np.cumsum(n) - n), n)
+        row, item, place = np.repeat(row, n), self.item[at], self.place[at]
+        order = np.lexsort((place, item, row))
+        row, item, place = row[order], item[order], place[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+        gain = np.full(len(row), self.length)
+        gain[:-1] = np.where(new[1:], self.length, np.minimum(self.length, place[1:] - place[:-1]))
+        first = np.flatnonzero(new)
+        return row[first], item[first], np.add.reduceat(gain, first) if len(first) else gain
+
+
+class Items:
+    """A block of items with their seeds."""
+
+    def __init__(self, items: list[tuple], tiling: Tiling):
+        self.tiling, self.ids = tiling, [i for i, _ in items]
+        self.terms, self.first = terms(pa.array([t for _, t in items], pa.string()))
+        self.count = np.diff(self.first)
+        length = np.minimum(self.count, tiling.min_match)
+        self.seeds = [Seeds(self.terms, self.first, length == n, n) for n in np.unique(length).tolist() if n]
 
     def compare(self, column: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(row, item, coverage, tiles, longest tile) of each row and item that reach the threshold."""
-        n = self.tiling.min_match
         own_terms, first = terms(column)
-        h, row = join_hashes(own_terms, n), rows_of(first)
-        if not len(h) or not len(self.seed):
-            return
-        at, seed = self.hits(h)
-        own = row[at] == row[at + n - 1]
-        at, seed = at[own], seed[own]
-        pair = row[at] * len(self.ids) + self.seed_item[seed]
-        order = np.argsort(pair, kind="stable")
-        at, seed, pair = at[order], seed[order], pair[order]
-        edges = [*np.flatnonzero(np.diff(pair, prepend=-1)).tolist(), len(pair)]
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            r, item = divmod(int(pair[low]), len(self.ids))
-            base, size = self.first[item], int(self.count[item])
-            reach = np.zeros(size + 1, np.int64)
-            places = np.unique(self.seed_at[seed[low:high]]) - base
-            reach[places] += 1
-            reach[places + n] -= 1
-            if np.count_nonzero(np.cumsum(reach[:-1])) < self.tiling.min_coverage * size:
-                continue  # every tile is made of seeds
-            # the text's terms that seeds cover, with a break (-1) between runs of them
-            starts = np.unique(at[low:high])
-            text: list[int] = []
-            upto = -1
-            for s in starts.tolist():
-                if s > upto and text:
-                    text.append(-1)
-                text += own_terms[max(s, upto) : s + n].tolist()
-                upto = s + n
-            found = tiles(text, self.hashes[base : base + size].tolist(), n)
-            coverage = sum(k for k, _, _ in found) / size
-            if coverage >= self.tiling.min_coverage:
-                yield r, item, coverage, len(found), found[0][0]
+        row = rows_of(first)
+        for seeds in self.seeds:
+            n, h = seeds.length, join_hashes(own_terms, seeds.length)
+            if not len(h):
+                continue
+            at, run = seeds.hits(h, row)
+            rows, items, covered = seeds.pairs(row[at], run)
+            # every tile is made of seeds; a short item is found whole
+            least = np.where(self.count[items] < self.tiling.min_match, 1.0, self.tiling.min_coverage)
+            likely = np.flatnonzero(covered >= least * self.count[items])
+            for r, item, share in zip(rows[likely].tolist(), items[likely].tolist(), least[likely].tolist(), strict=True):
+                low, high = np.searchsorted(row[at], [r, r + 1])
+                base, size = int(self.first[item]), int(self.count[item])
+                item_terms = self.terms[base : base + size]
+                # the text's terms that the item's seeds cover, with a break (-1) between runs of them
+                text: list[int] = []
+                upto = -1
+                for s in at[low:high][np.isin(h[at[low:high]], join_hashes(item_terms, n))].tolist():
+                    if s > upto and text:
+                        text.append(-1)
+                    text += own_terms[max(s, upto) : s + n].tolist()
+                    upto = s + n
+                found = tiles(text, item_terms.tolist(), n)
+                coverage = sum(k for k, _, _ in found) / size
+                if coverage >= share:
+                    yield r, item, coverage, len(found), found[0][0]
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, tiling: Tiling = Tiling()) -> DataFrame:
@@ -173,12 +194,12 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, tiling: Tilin
     bytes_all = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-bytes_all // tiling.block_bytes) or 1
     out = T.StructType([documents.schema["doc_id"], benchmark.schema["item_id"], T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.LongType()), T.StructField("longest_tile", T.LongType())])
-    id_type = pa.int64() if documents.schema["doc_id"].dataType == T.LongType() else None
+    id_type = to_arrow_type(benchmark.schema["item_id"].dataType)
 
     def against(block: int) -> DataFrame:
         rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).select("item_id", "text").collect()  # about block_bytes
-        seeds = Seeds([(r["item_id"], r["text"]) for r in rows], tiling)
-        shared = documents.sparkSession.sparkContext.broadcast(seeds)
+        shared = documents.sparkSession.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in rows], tiling))
+        del rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = shared.value
@@ -186,18 +207,20 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, tiling: Tilin
                 for block in blocks(batch):
                     if found := list(held.compare(block.column("text"))):
                         ids = block.column("doc_id").take(pa.array([x[0] for x in found]))
-                        yield pa.record_batch(
-                            {"doc_id": ids, "item_id": pa.array([held.ids[x[1]] for x in found], id_type), "coverage": [x[2] for x in found], "n_tiles": [x[3] for x in found], "longest_tile": [x[4] for x in found]}
-                        )
+                        items = pa.array([held.ids[x[1]] for x in found], id_type)
+                        yield pa.record_batch({"doc_id": ids, "item_id": items, "coverage": [x[2] for x in found], "n_tiles": [x[3] for x in found], "longest_tile": [x[4] for x in found]})
 
-        return documents.select("doc_id", "text").mapInArrow(run, out)
+        found = documents.select("doc_id", "text").mapInArrow(run, out)
+        if n_blocks > 1:  # this block's pass ends before the next block is read
+            found = cut(found)
+            shared.destroy()
+        return found
 
     return reduce(DataFrame.unionByName, map(against, range(n_blocks)))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, tiling: Tiling = Tiling()) -> DataFrame:
-    """The documents that hold no item, in their own columns."""
-    from ledgerloom.llm._shared import cut
-
-    found = cut(find_contamination(documents, benchmark, tiling).select(F.col("doc_id").alias("__id")).distinct())
-    return documents.join(found, documents["doc_id"].eqNullSafe(found["__id"]), "left_anti").select(*documents.columns)
+    """The documents that hold no item, in their own columns; rows of one doc_id are told apart by text."""
+    key = F.struct(documents["doc_id"], F.xxhash64(documents["text"]).alias("hash"))
+    found = cut(find_contamination(documents.select(key.alias("doc_id"), "text"), benchmark, tiling).select(F.col("doc_id").alias("__key")).distinct())
+    return documents.withColumn("__own", key).join(found, F.col("__own").eqNullSafe(F.col("__key")), "left_anti").select(*documents.columns)

@@ -6,8 +6,9 @@ of doc_id; that bound is the only one, and scoring covers every row and whole te
 with terms of the identity lexicon these are swapped for others of it, and squared changes of the log-odds cost
 `fairness`, so that neutral mentions of a group don't move a score.
 
-Three passes: feature counts by label (summed in Spark before the `max_features` strongest reach the driver), the
-training rows' chosen features, and the scores. The model is at most `max_features` weights and goes out with the tasks.
+Documents are read twice: for the training rows, which a checkpoint holds, and for the scores. Of the training rows feature
+counts by label are summed in Spark before the `max_features` strongest reach the driver, then each row's chosen features,
+as packed numbers. The model is at most `max_features` weights and goes out with the tasks.
 
 Defined results: null and empty texts get the score of a text without features; labels that are null or have no
 document are ignored, repeated labels of a document count as rows; without both labels the score is 0.5 for all; repeated
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._text import LOWER, NO_TERM, U, blocks, mix, raw, rows_of, run_hashes, spans
+from ledgerloom.llm._shared import cut
+from ledgerloom.llm._text import NO_TERM, U, blocks, lowered, mix, raw, rows_of, run_hashes, spans
 
 #: Fixed lexicon of identity terms.
 IDENTITY_TERMS = (
@@ -57,9 +59,9 @@ class Model:
     bias: float = 0.0
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and key of each feature occurrence, and the hash of the whole term that it comes from."""
-    data = LOWER[data]
+    data, offsets = raw(lowered(column))
     starts, ends, first = spans(data, offsets, NO_TERM)
     rows, whole = rows_of(first), run_hashes(data, starts, ends)
     at, keys, terms = [rows], [whole], [whole]
@@ -109,19 +111,14 @@ def _unique(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by label of each feature, summed within the task."""
-    counts: dict[int, np.ndarray] = {}
+    """Rows by label of each feature of a block; Spark sums them."""
     for batch in batches:
         for block in blocks(batch):
             label = np.asarray(block.column("label"))
-            rows, keys = _unique(*features(*raw(block.column("text")))[:2])
-            for value in (0, 1):
-                found, n = np.unique(keys[label[rows] == value], return_counts=True)
-                for k, v in zip(found.tolist(), n.tolist(), strict=True):
-                    counts.setdefault(k, [0, 0])[value] += v
-    keys = np.fromiter(counts, U, len(counts)).view(np.int64)
-    n = np.array(list(counts.values()), np.int64).reshape(-1, 2)
-    yield pa.record_batch({"key": keys, "n0": n[:, 0], "n1": n[:, 1]})
+            rows, keys = _unique(*features(block.column("text"))[:2])
+            found, at = np.unique(keys, return_inverse=True)
+            n = [np.bincount(at, label[rows] == value, len(found)).astype(np.int64) for value in (0, 1)]
+            yield pa.record_batch({"key": found.view(np.int64), "n0": n[0], "n1": n[1]})
 
 
 def _chosen(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -141,12 +138,12 @@ def _gather(table: np.ndarray):
                 swapped = [counterfactual(t or "", i) for i, t in zip(block.column("salt").to_pylist(), texts, strict=True)]
                 out = []
                 for column in (block.column("text"), pa.array([s or "" for s in swapped], pa.string())):
-                    rows, keys = _unique(*features(*raw(column))[:2])
+                    rows, keys = _unique(*features(column)[:2])
                     at = _chosen(keys, table)
                     rows, at = rows[at >= 0], at[at >= 0]
-                    out.append(np.split(at.astype(np.int32), np.searchsorted(rows, np.arange(1, len(texts)))))
+                    out.append([x.tobytes() for x in np.split(at.astype(np.int32), np.searchsorted(rows, np.arange(1, len(texts))))])
                 other = [x if s is not None else None for x, s in zip(out[1], swapped, strict=True)]
-                yield pa.record_batch({"label": block.column("label"), "own": pa.array(out[0], pa.list_(pa.int32())), "swapped": pa.array(other, pa.list_(pa.int32()))})
+                yield pa.record_batch({"label": block.column("label"), "own": pa.array(out[0], pa.binary()), "swapped": pa.array(other, pa.binary())})
 
     return run
 
@@ -185,7 +182,7 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, training: Tra
     """documents: doc_id, text; labels: doc_id, toxic; usable: which rows of labels may be learned from."""
     rows = labels.where(usable & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("label"), F.xxhash64("doc_id").alias("salt"))
     rows = rows.orderBy("salt", "doc_id", "label").limit(training.max_rows)
-    texts = F.broadcast(rows).join(documents.select("doc_id", "text"), "doc_id").select("label", F.abs("salt").alias("salt"), "text")  # max_rows rows at most
+    texts = cut(F.broadcast(rows).join(documents.select("doc_id", "text"), "doc_id").select("label", F.abs("salt").alias("salt"), "text"))  # max_rows rows at most
     counts = texts.mapInArrow(_count, "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     total = texts.groupBy("label").count().collect()
     n = {r["label"]: r["count"] for r in total}
@@ -197,20 +194,21 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, training: Tra
     keys = [r["key"] for r in best.orderBy(F.desc("strength"), "key").limit(training.max_features).collect()]
     lexicon = np.setdiff1d(_lexicon(), np.zeros(0, U))
     table = np.unique(np.concatenate([np.array(keys, np.int64).view(U), lexicon]))
-    got = texts.mapInArrow(_gather(table), "label int, own array<int>, swapped array<int>").collect()  # max_rows rows at most
-    weights, bias = fit([r["own"] for r in got], [r["swapped"] for r in got], np.array([r["label"] for r in got], float), len(table), training)
+    got = texts.mapInArrow(_gather(table), "label int, own binary, swapped binary").collect()  # max_rows rows at most
+    numbers = lambda k: [None if r[k] is None else np.frombuffer(r[k], np.int32) for r in got]
+    weights, bias = fit(numbers("own"), numbers("swapped"), np.array([r["label"] for r in got], float), len(table), training)
     return Model(table, weights, bias)
 
 
-def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    rows, keys, _ = features(data, offsets)
+def scores(model: Model, column: pa.Array) -> np.ndarray:
+    rows, keys, _ = features(column)
     seen = np.zeros(1 << 20, bool)
     seen[(model.keys & U((1 << 20) - 1)).astype(np.int64)] = True
     maybe = seen[(keys & U((1 << 20) - 1)).astype(np.int64)]
     rows, keys = _unique(rows[maybe], keys[maybe])
     at = _chosen(keys, model.keys)
     known = at >= 0
-    z = np.bincount(rows[known], model.weights[at[known]], len(offsets) - 1) + model.bias
+    z = np.bincount(rows[known], model.weights[at[known]], len(column)) + model.bias
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -221,6 +219,6 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch):
-                yield pa.record_batch({"doc_id": block.column("doc_id"), "score": scores(model, *raw(block.column("text")))})
+                yield pa.record_batch({"doc_id": block.column("doc_id"), "score": scores(model, block.column("text"))})
 
     return documents.select("doc_id", "text").mapInArrow(run, T.StructType([documents.schema["doc_id"], T.StructField("score", T.DoubleType())]))

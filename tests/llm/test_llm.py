@@ -108,6 +108,35 @@ def test_contamination(spark, docs, none):
     split = string_tiling.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, item) for k in range(5)], "item_id long, text string"), string_tiling.Tiling(block_bytes=200))
     assert split.count() == 15
     assert string_tiling.drop_contaminated(docs, bench).columns == docs.columns
+    two = spark.createDataFrame([(1, item, 0), (1, "clean", 1), (None, item, 2), (None, None, 3)], "doc_id long, text string, x int")
+    assert sorted(r.x for r in string_tiling.drop_contaminated(two, spark.createDataFrame([(7, item)], "item_id int, text string")).collect()) == [1, 3]
+
+
+def test_contamination_equals_brute_force(spark):
+    r = rng()
+    items = [[f"t{x}" for x in r.integers(0, 9, int(r.integers(1, 30)))] for _ in range(14)] + [["lone"], ["É", "b"], []]
+    rows = []
+    for i in range(90):
+        words = [f"t{x}" for x in r.integers(0, 9, int(r.integers(0, 60)))]
+        if i % 2:
+            part = items[int(r.integers(0, 14))]
+            words += part[len(part) // 2 :] + ["xx"] + part[: len(part) // 2]
+        rows.append((f"d{i}", ", ".join(w.upper() for w in words) + (" é B" if i == 7 else " lone" if i == 8 else "")))
+    rows += [("none", None), ("empty", ""), (None, " ".join(items[3]))]
+    want = []
+    for d, t in rows:
+        own = re.findall(r"\w+", (t or "").lower())
+        for k, item in enumerate(items):
+            item = [x.lower() for x in item]
+            found = brute_tiles(own, item, min(5, len(item))) if item else []
+            covered = sum(n for n, _, _ in found)
+            if found and covered >= (0.5 if len(item) >= 5 else 1) * len(item):
+                want.append((d, f"i{k}", round(covered / len(item), 9), len(found), found[0][0]))
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    bench = spark.createDataFrame([(f"i{k}", " ".join(x)) for k, x in enumerate(items)] + [("nothing", None)], "item_id string, text string")
+    for tiling in (string_tiling.Tiling(), string_tiling.Tiling(block_bytes=150)):
+        got = [(x.doc_id, x.item_id, round(x.coverage, 9), x.n_tiles, x.longest_tile) for x in string_tiling.find_contamination(docs, bench, tiling).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str) and len({x[1] for x in got}) > 10
 
 
 # 2
@@ -129,6 +158,19 @@ def test_toxicity(spark, docs, none):
     assert toxicity.counterfactual("Women and men", 1) and toxicity.counterfactual("nobody", 1) is None
     assert toxicity.score_documents(docs, model).count() == docs.count() and toxicity.score_documents(none, model).count() == 0
     assert {x.score for x in toxicity.score_documents(docs, toxicity.train(d, lab.limit(0), F.lit(True))).collect()} == {0.5}
+    # null, unknown and orphan labels teach nothing; scores are those of the plain formula
+    odd = spark.createDataFrame([(0, None), (None, 1), (5, 7), (10_000, 1), (10_001, 0)], "doc_id long, toxic int")
+    again = toxicity.train(d, lab.union(odd), F.col("doc_id") % 3 != 1)
+    assert (again.keys == model.keys).all() and np.allclose(again.weights, model.weights)
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    for x in toxicity.score_documents(docs, model).collect():
+        t = next(r.text for r in docs.collect() if r.doc_id == x.doc_id and toxicity.scores(model, pa.array([r.text], pa.string()))[0] == x.score)
+        z = model.bias + sum(weight.get(k, 0.0) for k in set(toxicity.features(pa.array([t], pa.string()))[1].tolist()))
+        assert abs(x.score - 1 / (1 + np.exp(-z))) < 1e-9
+    # without the penalty the same mention moves the score
+    free = toxicity.train(d, lab, F.col("doc_id") % 3 != 1, toxicity.Training(fairness=0))
+    change = lambda m: abs(np.subtract(*toxicity.scores(m, pa.array(["women are here", "people are here"]))))
+    assert change(model) < 0.3 * change(free)
 
 
 # 3
