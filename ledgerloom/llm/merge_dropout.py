@@ -1,21 +1,22 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 A candidate merge is a pair of neighbouring symbols whose joined text is a piece; the agenda takes the one of the best
-score, the leftmost of equal ones. A candidate is skipped, for good, if a hash of (seed, variant, segment, its three
-borders) falls below `dropout`; a pair with other borders is another candidate. The variant of each segment occurrence
-is one of `variants`, by a hash of seed, doc_id and place in the text, so the same word is cut in different ways, and
-encoding again gives the same ids. With dropout 0 the ids are those of the SentencePiece library.
+score, the leftmost of equal ones. A candidate is skipped, for good, if a hash of (seed, doc_id, place of its segment in the
+text, its three borders) falls below `rate`; a pair with other borders is another candidate. So each occurrence of a word
+is cut in its own way, and encoding again gives the same ids. With rate 0 the ids are those of the SentencePiece library.
 
-Texts are split where no piece holds the two characters on either side; no merge can cross such a place. Segments of
-one length in a block of texts, each (segment, variant) once, run their agendas together: every round takes one merge in
-each. Long segments use a heap. The model's pieces are read on the driver from `path` and sent to the tasks; their
-number is the vocabulary's.
+Texts are split where no piece holds the two characters on either side; no merge can cross such a place. What becomes of
+a segment depends on its text and on which of its candidates are skipped: for each distinct segment of a block of texts the
+candidates that any agenda could meet are listed once, each occurrence's are hashed, and of occurrences with one text and
+one set of skips one agenda runs, together with those of other segments of the length, a merge in each a round. Segments
+above `together` characters have too many candidates for that and run an agenda with a heap each. The model's pieces are
+read on the driver from `path` and sent to the tasks; their number is the vocabulary's.
 
 Fixed format: a text that isn't empty begins with an added space mark; the mark stands for a space; a character without
 a piece, and the mark itself in a text, becomes byte pieces; decoding reverses all of it, so any text comes back.
 
-Defined results: null and empty texts have no ids and decode to an empty text; a null doc_id hashes as 0; repeated rows
-get equal ids; an empty table gives no rows; other columns are ignored.
+Defined results: null and empty texts have no ids and decode to an empty text; a doc_id that is no integer counts by its
+hash, a null one as 0; repeated rows get equal ids; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,25 +32,22 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._text import U, blocks, mix, raw, run_hashes
+from ledgerloom.llm._text import U, blocks, mix, raw
 
 MARK = 0x2581
 NEVER = np.int32(2**31 - 1)
 
 
-def default_model() -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path("piece_bpe_32k.model"))
+#: A public model; any SentencePiece BPE model with byte pieces will do.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 @dataclass(frozen=True)
 class Dropout:
     rate: float = 0.1
     seed: int = 1
-    variants: int = 16
     #: Longer segments use a heap.
-    together: int = 40
+    together: int = 24
 
 
 class Pieces:
@@ -108,29 +106,57 @@ class Pieces:
         return out
 
 
-def skipped(key: np.ndarray, low: np.ndarray, middle: np.ndarray, high: np.ndarray, rate: float) -> np.ndarray:
-    """Whether the candidates with these borders are dropped."""
+def border_hash(low: np.ndarray, middle: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return mix((low.astype(U) << U(42)) ^ (middle.astype(U) << U(21)) ^ high.astype(U))
+
+
+def skipped(key: np.ndarray, borders: np.ndarray, rate: float) -> np.ndarray:
+    """Whether the candidates with these borders are dropped, by the keys of their segments and the hashes of their borders."""
     if rate <= 0:
         return np.zeros(len(key), bool)
     if rate >= 1:
         return np.ones(len(key), bool)
-    borders = mix((low.astype(U) << U(42)) ^ (middle.astype(U) << U(21)) ^ high.astype(U))
     return mix(key ^ borders) < U(int(rate * 2**64))
 
 
-def _agendas(ids: np.ndarray, key: np.ndarray, pieces: Pieces, rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(rows, their symbols) of equally long segments, by the number of merges they took; ids: segments x characters."""
+def _borders(ids: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """row, low, middle, high of all candidates that equally long segments can have, by row."""
     n, width = ids.shape
-    row = np.arange(n)
+    span = np.full((n, width + 1, width + 1), -1, np.int32)
+    at = np.arange(width)
+    span[:, at, at + 1] = ids
+    found = []
+    for size in range(2, width + 1):
+        for low in range(width - size + 1):
+            high = low + size
+            for middle in range(low + 1, high):
+                r = np.flatnonzero((span[:, low, middle] >= 0) & (span[:, middle, high] >= 0))
+                if len(r):
+                    piece = pieces.join(span[r, low, middle], span[r, middle, high])
+                    r, piece = r[piece >= 0], piece[piece >= 0]
+                    span[r, low, high] = piece
+                    found.append(np.stack([r, np.full(len(r), low), np.full(len(r), middle), np.full(len(r), high)]))
+    all_ = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+    return all_[:, np.lexsort(all_[::-1])]
+
+
+def _agendas(ids: np.ndarray, skips: np.ndarray, pieces: Pieces) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their symbols) of equally long segments, by the number of merges they took; ids: segments x characters.
+
+    skips: the candidates that are dropped, as sorted numbers of row and borders (see _number).
+    """
+    n, width = ids.shape
+    row, full = np.arange(n), width
     border = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1)).copy()
     out = []
 
     def candidates(r: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         piece = pieces.join(ids[r, j], ids[r, j + 1])
         rank = np.where(piece >= 0, pieces.rank[piece], NEVER)
-        k = np.flatnonzero(piece >= 0)
-        drop = skipped(key[r[k]], border[r[k], j[k]], border[r[k], j[k] + 1], border[r[k], j[k] + 2], rate)
-        rank[k[drop]] = NEVER
+        if len(skips):
+            k = np.flatnonzero(piece >= 0)
+            number = _number(row[r[k]], border[r[k], j[k]], border[r[k], j[k] + 1], border[r[k], j[k] + 2], full)
+            rank[k[skips[np.minimum(np.searchsorted(skips, number), len(skips) - 1)] == number]] = NEVER
         return rank, piece
 
     if width > 1:
@@ -143,7 +169,7 @@ def _agendas(ids: np.ndarray, key: np.ndarray, pieces: Pieces, rate: float) -> l
         if done.any():
             out.append((row[done], ids[done]))
             stay = ~done
-            ids, border, rank, piece, key, row, best = ids[stay], border[stay], rank[stay], piece[stay], key[stay], row[stay], best[stay]
+            ids, border, rank, piece, row, best = ids[stay], border[stay], rank[stay], piece[stay], row[stay], best[stay]
             line = np.arange(len(ids))
             if not len(ids):
                 break
@@ -166,6 +192,39 @@ def _agendas(ids: np.ndarray, key: np.ndarray, pieces: Pieces, rate: float) -> l
     return out
 
 
+def _number(row: np.ndarray, low: np.ndarray, middle: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
+    return ((row.astype(np.int64) * (width + 1) + low) * (width + 1) + middle) * (width + 1) + high
+
+
+def _segments(ids: np.ndarray, of: np.ndarray, key: np.ndarray, pieces: Pieces, rate: float) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The agendas of equally long segments: which one each occurrence has, and (agendas, their symbols) as in _agendas.
+
+    ids: distinct segments x characters; of, key: segment and hash key of each occurrence.
+    """
+    width = ids.shape[1]
+    row, *border = _borders(ids, pieces)
+    first = np.searchsorted(row, np.arange(len(ids) + 1))
+    n = np.diff(first)[of]
+    occurrence = np.repeat(np.arange(len(of)), n)
+    at = np.arange(len(occurrence)) + np.repeat(first[:-1][of] - (np.cumsum(n) - n), n)
+    drop = np.flatnonzero(skipped(key[occurrence], border_hash(*border)[at], rate))
+    # a set of skips is named by a sum over its members, which a second sum confirms
+    one, two = np.zeros(len(of), U), np.zeros(len(of), U)
+    np.add.at(one, occurrence[drop], mix(at[drop].astype(U) + U(1)))
+    np.add.at(two, occurrence[drop], mix(at[drop].astype(U) ^ U(0x5851F42D4C957F2D)))
+    order = np.lexsort((two, one, of))
+    new = np.ones(len(of), bool)
+    new[1:] = (of[order][1:] != of[order][:-1]) | (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    own = np.empty(len(of), np.int64)
+    own[order] = np.cumsum(new) - 1
+    speaks = order[new]
+    member = np.full(len(of), -1)
+    member[speaks] = np.arange(len(speaks))
+    told = drop[member[occurrence[drop]] >= 0]
+    skips = np.sort(_number(member[occurrence[told]], *(x[at[told]] for x in border), width))
+    return own, _agendas(ids[of[speaks]], skips, pieces)
+
+
 def agenda(ids: list[int], key: int, pieces: Pieces, rate: float) -> list[int]:
     """One segment's agenda with a heap."""
     n = len(ids)
@@ -175,7 +234,7 @@ def agenda(ids: list[int], key: int, pieces: Pieces, rate: float) -> list[int]:
 
     def offer(a: int, b: int) -> None:
         piece = int(pieces.join(one(ids[a]), one(ids[b]))[0])
-        if piece >= 0 and not skipped(np.array([key], U), one(a), one(b), one(high[b]), rate)[0]:
+        if piece >= 0 and not skipped(np.array([key], U), border_hash(one(a), one(b), one(high[b])), rate)[0]:
             heapq.heappush(heap, (int(pieces.rank[piece]), a, b, high[b], piece, ids[a], ids[b]))
 
     for a in range(n - 1):
@@ -226,45 +285,61 @@ def encode(column: pa.Array, doc_id: np.ndarray, pieces: Pieces, dropout: Dropou
     size = end - start
     row = np.searchsorted(at, start, "right") - 1
     place = start - at[row]
-    # the segment's own hash, and the variant of this occurrence
-    key = run_hashes((chars & np.uint32(255)).astype(np.uint8), start, end) ^ mix(run_hashes((chars >> np.uint32(8) & np.uint32(255)).astype(np.uint8), start, end) + U(1))
-    key ^= mix(run_hashes((chars >> np.uint32(16)).astype(np.uint8), start, end) + U(2))
-    variant = mix(mix(doc_id.astype(np.int64).view(U)[row] ^ U(dropout.seed)) + place.astype(U)) % U(dropout.variants)
-    single = size == 1
-    key = mix(key + mix(np.where(single, U(0), variant + U(1)) ^ mix(np.array([dropout.seed], U))))
-    key[own_mark[start]] ^= U(1)  # the mark in a text is not the space's
-    _, which, of = np.unique(key, return_index=True, return_inverse=True)
-
-    u_start, u_size, u_key = start[which], size[which], key[which]
-    count = np.zeros(len(which), np.int64)
+    # the key of each occurrence, which decides what it skips
+    key = mix(mix(mix(doc_id.astype(np.int64).view(U) + U(dropout.seed))[row] ^ U(dropout.seed)) + place.astype(U))
+    count = np.zeros(len(start), np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []  # (segments, ids: segments x n)
-    for width in np.unique(u_size).tolist():
-        k = np.flatnonzero(u_size == width)
+    agenda_of = np.arange(len(start))  # the segment whose ids each one takes
+    for width in np.unique(size).tolist():
+        k = np.flatnonzero(size == width)
         if width == 1:
-            c = classes[u_start[k]]
+            c = classes[start[k]]
             found.append((k[c > 0], pieces.char_ids[c[c > 0]][:, None]))
             lone = k[c == 0]
-            for s, x in zip(lone.tolist(), chars[u_start[lone]].tolist(), strict=True):
-                found.append((np.array([s]), pieces.byte_ids[list(chr(x).encode("utf-8"))][None, :]))
+            text, which = np.unique(chars[start[lone]], return_inverse=True)
+            encoded = [pieces.byte_ids[list(chr(x).encode("utf-8"))] for x in text.tolist()]
+            for n_bytes in {len(x) for x in encoded}:
+                own = np.array([len(x) == n_bytes for x in encoded])
+                at_ = np.flatnonzero(own[which])
+                rows_ = np.zeros((len(text), n_bytes), np.int32)
+                rows_[own] = np.stack([x for x in encoded if len(x) == n_bytes])
+                found.append((lone[at_], rows_[which[at_]]))
+            continue
+        ids = pieces.char_ids[classes[start[k][:, None] + np.arange(width)[None, :]]]
+        if width > dropout.together:
+            found += [(np.array([s]), np.array([agenda(x, y, pieces, dropout.rate)], np.int32)) for s, x, y in zip(k.tolist(), ids.tolist(), key[k].tolist(), strict=True)]
             continue
-        ids = pieces.char_ids[classes[u_start[k][:, None] + np.arange(width)[None, :]]]
-        if width <= dropout.together:
-            found += [(k[r], x) for r, x in _agendas(ids, u_key[k], pieces, dropout.rate)]
-        else:
-            found += [(np.array([s]), np.array([agenda(x, y, pieces, dropout.rate)], np.int32)) for s, x, y in zip(k.tolist(), ids.tolist(), u_key[k].tolist(), strict=True)]
+        of = _equal_rows(ids)
+        first = np.full(int(of.max()) + 1, len(k))
+        np.minimum.at(first, of, np.arange(len(k)))
+        own, done = _segments(ids[first], of, key[k], pieces, dropout.rate)
+        speaks = np.full(int(own.max()) + 1, len(k))
+        np.minimum.at(speaks, own, np.arange(len(k)))
+        found += [(k[speaks[r]], x) for r, x in done]
+        agenda_of[k] = k[speaks[own]]
     for k, ids in found:
         count[k] = ids.shape[1]
-    u_at = np.cumsum(count) - count
+    own_at = np.cumsum(count) - count
     flat = np.empty(int(count.sum()), np.int32)
     for k, ids in found:
-        flat[u_at[k][:, None] + np.arange(ids.shape[1])[None, :]] = ids
-    n_ids = count[of]
+        flat[own_at[k][:, None] + np.arange(ids.shape[1])[None, :]] = ids
+    n_ids = count[agenda_of]
     total = np.cumsum(n_ids)
-    out = flat[np.arange(total[-1]) + np.repeat(u_at[of] - (total - n_ids), n_ids)]
+    out = flat[np.arange(total[-1]) + np.repeat(own_at[agenda_of] - (total - n_ids), n_ids)]
     upto = np.append(0, total)[np.searchsorted(start, at)]
     return out, upto
 
 
+def _equal_rows(ids: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for equal rows."""
+    order = np.lexsort(ids.T)
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[order[1:]] != ids[order[:-1]]).any(axis=1)
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
 def decode(ids: np.ndarray, first: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all rows and each row's first byte (one more than rows)."""
     size = pieces.size[ids].copy()
@@ -279,29 +354,32 @@ def decode(ids: np.ndarray, first: np.ndarray, pieces: Pieces) -> tuple[np.ndarr
     return data, np.append(0, total)[first]
 
 
-def encode_documents(documents: DataFrame, path: str | None = None, dropout: Dropout = Dropout()) -> DataFrame:
+def encode_documents(documents: DataFrame, path: str = MODEL, dropout: Dropout = Dropout()) -> DataFrame:
     """doc_id, ids, n_ids and lossless (decoding gives the text back, checked for each row)."""
-    pieces = documents.sparkSession.sparkContext.broadcast(Pieces(path or default_model()))
+    pieces = documents.sparkSession.sparkContext.broadcast(Pieces(path))
+    kind = documents.schema["doc_id"]
+    number = F.col("doc_id").cast("long") if isinstance(kind.dataType, T.IntegralType) else F.xxhash64("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces.value
         for batch in batches:
-            for block in blocks(batch, most=1 << 22):
-                text, doc_id = block.column("text"), block.column("doc_id")
-                ids, first = encode(text, np.asarray(doc_id.fill_null(0), np.int64), known, dropout)
+            for block in blocks(batch, most=1 << 21):
+                text = block.column("text")
+                ids, first = encode(text, np.asarray(block.column("number"), np.int64), known, dropout)
                 data, offsets = raw(text)
                 back, at = decode(ids, first, known)
                 whole = data.tobytes() == back.tobytes() and bool((at == offsets).all())
                 same = [True] * block.num_rows if whole else [data[a:b].tobytes() == back[c:d].tobytes() for a, b, c, d in zip(offsets[:-1], offsets[1:], at[:-1], at[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(ids, pa.int32()))
-                yield pa.record_batch({"doc_id": doc_id, "ids": lists, "n_ids": np.diff(first), "lossless": pa.array(same, pa.bool_())})
+                yield pa.record_batch({"doc_id": block.column("doc_id"), "ids": lists, "n_ids": np.diff(first), "lossless": pa.array(same, pa.bool_())})
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_ids long, lossless boolean")
+    schema = T.StructType([kind, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("lossless", T.BooleanType())])
+    return documents.select("doc_id", "text", F.coalesce(number, F.lit(0)).alias("number")).mapInArrow(run, schema)
 
 
-def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
+def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id and text of rows (doc_id, ids)."""
-    pieces = encoded.sparkSession.sparkContext.broadcast(Pieces(path or default_model()))
+    pieces = encoded.sparkSession.sparkContext.broadcast(Pieces(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,8 @@ that payloads are shuffled. Each task writes
 archives of about `archive_bytes` under a name of its own and moves them in place when whole, so a task that runs again
 replaces its own files.
 
-Reading: an archive is inflated member by member and a piece at a time; a record's head ends at an empty line, and
+Reading: the folder's archives are listed, their paths dealt out, and each task streams its archives from the store, inflated
+member by member and a piece at a time, so an archive's size is no one's memory; a record's head ends at an empty line, and
 Content-Length frames its block and must end where the member does. Block and payload digests are verified; a bad digest,
 length or head raises an error, as does a cut member.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -192,28 +194,33 @@ def read_archives(spark: SparkSession, folder: str, archive: Archive = Archive()
     """page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload of all records under folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                out, size = [], 0
-                for member in members(pa.BufferReader(content.as_buffer()), archive.piece):
-                    r = parse(member)
-                    revisit = r["warc-type"] == "revisit"
-                    out.append(
-                        (page_of(r["warc-record-id"]), r["warc-target-uri"], r["warc-type"], int(r["http"]["content-length"]), r["warc-payload-digest"].removeprefix("sha1:"), page_of(r["warc-refers-to"]) if revisit else None, r["payload"])
-                    )
-                    size += len(r["payload"])
-                    if size > 4 << 20:
-                        yield batch_of(out)
-                        out, size = [], 0
+        for path in (p for batch in batches for p in batch.column("path").to_pylist()):
+            store, at = pyarrow.fs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", path))
+            with store.open_input_stream(at, compression=None) as stream:
+                yield from records(stream)
+
+    def records(stream: BinaryIO) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for member in members(stream, archive.piece):
+            r = parse(member)
+            revisit = r["warc-type"] == "revisit"
+            out.append(
+                (page_of(r["warc-record-id"]), r["warc-target-uri"], r["warc-type"], int(r["http"]["content-length"]), r["warc-payload-digest"].removeprefix("sha1:"), page_of(r["warc-refers-to"]) if revisit else None, r["payload"])
+            )
+            size += len(r["payload"])
+            if size > 4 << 20:
                 yield batch_of(out)
+                out, size = [], 0
+        yield batch_of(out)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
         return pa.record_batch([pa.array(x, k) for x, k in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds.values(), strict=True)], names=list(kinds))
 
     sql = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    return files.select("content").mapInArrow(run, sql)
+    # paths and sizes only: the content is not a column that is read
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
+    return files.select("path").mapInArrow(run, sql)
 
 
 def round_trip(pages: DataFrame, archive: Archive = Archive()) -> DataFrame:

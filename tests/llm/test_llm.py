@@ -196,13 +196,13 @@ def test_sharding(spark, docs, none):
 # 4
 @pytest.fixture(scope="module")
 def pieces():
-    return merge_dropout.Pieces(merge_dropout.default_model())
+    return merge_dropout.Pieces(merge_dropout.MODEL)
 
 
 def test_tokens_match_the_library(pieces):
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=merge_dropout.default_model())
+    model = sentencepiece.SentencePieceProcessor(model_file=merge_dropout.MODEL)
     r = rng()
     texts = [x[1] for x in awkward()] + ["Hello  world\n a\tb", " lead", "🙂 é", "   "] + ["".join(r.choice(list("abc the\né"), 60)) for _ in range(80)]
     ids, first = merge_dropout.encode(pa.array(texts, pa.string()), np.arange(len(texts)), pieces, merge_dropout.Dropout(rate=0))
@@ -223,12 +223,51 @@ def test_dropout_is_lossless_and_varied(pieces, rate):
     assert rate == 1.0 or len(ids) != len(other) or (ids != other).any()
 
 
+def plain_agenda(text, doc, place, pieces, model, d):
+    """One segment: look at every pair of neighbours, drop those that the key drops, merge the best, again."""
+    symbols, borders = list(text), list(range(len(text) + 1))
+    key = _text.mix(_text.mix(_text.mix(np.array([doc], np.int64).view(np.uint64) + np.uint64(d.seed)) ^ np.uint64(d.seed)) + np.uint64(place))
+    while True:
+        best = None
+        for k in range(len(symbols) - 1):
+            piece = model.piece_to_id(symbols[k] + symbols[k + 1])
+            own = merge_dropout.border_hash(*(np.array([x]) for x in borders[k : k + 3]))
+            if piece and not merge_dropout.skipped(key, own, d.rate)[0] and (best is None or model.get_score(piece) > best[0]):
+                best = (model.get_score(piece), k)
+        if best is None:
+            return [model.piece_to_id(x) for x in symbols]
+        k = best[1]
+        symbols[k : k + 2], borders[k + 1 : k + 2] = [symbols[k] + symbols[k + 1]], []
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.5])
+def test_each_occurrence_has_its_own_agenda(pieces, rate):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=merge_dropout.MODEL)
+    d = merge_dropout.Dropout(rate=rate)
+    words = "the quick segmentation of internationalisation is another international the the undergoing hippopotamus".split()
+    texts = [" ".join(rng().permutation(words * 6)), "the " * 400]
+    ids, first = merge_dropout.encode(pa.array(texts), np.array([5, 6]), pieces, d)
+    for i, t in enumerate(texts):
+        marked, want = "\u2581" + t.replace(" ", "\u2581"), []
+        # a segment ends where no piece holds both characters
+        ends = [k for k in range(1, len(marked)) if not pieces.together[pieces.classes[ord(marked[k - 1])], pieces.classes[ord(marked[k])]]]
+        for a, b in zip([0, *ends], [*ends, len(marked)], strict=True):
+            want += plain_agenda(marked[a:b], 5 + i, a, pieces, model, d)
+        assert ids[first[i] : first[i + 1]].tolist() == want
+    cuts = collections.Counter(tuple(ids[first[1] :].tolist()))
+    assert len(cuts) > 3  # one word in many forms
+
+
 def test_token_frames(docs, none):
     encoded = merge_dropout.encode_documents(docs)
     assert all(r.lossless and r.n_ids == len(r.ids) for r in encoded.collect())
     back = merge_dropout.decode_documents(encoded)
     assert sorted(map(str, ((r.doc_id, r.text) for r in back.collect()))) == sorted(map(str, ((r.doc_id, r.text or "") for r in docs.collect())))
     assert merge_dropout.encode_documents(none).count() == 0
+    named = merge_dropout.encode_documents(docs.where("doc_id = 60").select(F.lit("a name").alias("doc_id"), "text")).first()
+    assert named.doc_id == "a name" and named.lossless
 
 
 # 5
