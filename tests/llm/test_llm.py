@@ -174,23 +174,63 @@ def test_toxicity(spark, docs, none):
 
 
 # 3
-def test_sharding(spark, docs, none):
-    ring = ring_sharding.Ring(shards=4, epsilon=0.05, unit_rows=5)
-    rows = [(i, "copy" if i % 3 == 0 else f"text {i} " * (i % 7)) for i in range(600)]
-    out = ring_sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), ring).collect()
-    assert sorted(x.doc_id for x in out) == list(range(600))
-    sizes = collections.Counter()
+def brute_home(text, spark_hash, ring):
+    """The shard of the first virtual node at or after the text's cell, by looking at all of them."""
+    cell = spark_hash % ring.cells
+    nodes = ring_sharding.nodes_of(ring)
+    return min(nodes, key=lambda n: ((n[0] - cell) % ring.cells, n[1]))[1]
+
+
+@pytest.mark.parametrize("unit_rows", [5, 2000])
+def test_sharding(spark, docs, none, unit_rows):
+    ring = ring_sharding.Ring(shards=4, epsilon=0.05, unit_rows=unit_rows, hot_share=0.01)
+    rows = [(i, "copy" if i % 3 == 0 else f"text {i % 200} " * (i % 7)) for i in range(600)] + [(None, "copy")] * 3 + [(599, "copy")] * 2 + [(None, None), (700, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ring_sharding.shard_documents(frame, ring).collect()
+    assert sorted((str(x.doc_id), x.size) for x in out) == sorted((str(i), len(t or "") + 1) for i, t in rows)
+    hashes = {(zlib.crc32((r.text or "").encode()), len(r.text or "") + 1): r.h for r in frame.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    sizes, shards_of = collections.Counter(), collections.defaultdict(set)
     for x in out:
-        assert x.text_crc32 == zlib.crc32(rows[x.doc_id][1].encode()) and x.size == len(rows[x.doc_id][1]) + 1 and x.grown_shard is None and x.law == "bytes"
+        assert (x.text_crc32, x.size) in hashes and x.grown_shard is None and x.law == "bytes"
+        assert x.home_shard == brute_home(x.text_crc32, hashes[x.text_crc32, x.size], ring)
         sizes[x.shard] += x.size
-    assert max(sizes.values()) <= 1.05 * sum(sizes.values()) / 4 + 60
+        shards_of[x.text_crc32, x.size].add(x.shard)
+    largest = max(len(t or "") + 1 for _, t in rows)
+    assert max(sizes.values()) <= -(-1.05 * sum(sizes.values()) // 4) + largest
+    assert sum(len(s) > 1 for s in shards_of.values()) <= 2 * ring.shards  # only where a shard is full
     for s in sizes:
         assert sorted(x.slot for x in out if x.shard == s) == list(range(sum(x.shard == s for x in out)))
     assert ring_sharding.shard_documents(docs, ring).count() == docs.count() and ring_sharding.shard_documents(none, ring).count() == 0
+
+
+def test_walk_is_clockwise_and_bounded():
+    ring = ring_sharding.Ring(shards=4, epsilon=0.05)
     nodes = ring_sharding.nodes_of(ring)
     alone = ring_sharding.walk({0: 1000}, nodes, ring)  # one hot key is split, in order, none above its bound
     assert alone[0][1] == 0 and [a[2] for a in alone[:-1]] == [b[1] for b in alone[1:]] and alone[-1][2] == 1000
     assert max(collections.Counter({s: 0 for s in range(4)} | {s: sum(b - a for _, a, b, t in alone if t == s) for s in range(4)}).values()) <= 263
+    # round by round, each node's rest to the shard of the node that many steps on, while there is room
+    totals = {k: int(x) for k, x in enumerate(rng().integers(0, 500, len(nodes)))}
+    room, rest, want = {s: -(-1.05 * sum(totals.values()) // 4) for s in range(4)}, dict(totals), collections.Counter()
+    for step in range(len(nodes)):
+        for k in sorted(rest):
+            shard = nodes[(k + step) % len(nodes)][1]
+            took = min(rest[k], room[shard])
+            want[k, shard] += took
+            room[shard] -= took
+            rest[k] -= took
+    got = collections.Counter()
+    for k, a, b, shard in ring_sharding.walk(totals, nodes, ring):
+        got[k, shard] += b - a
+    assert +got == +want and not any(rest.values())
+
+
+def test_one_more_shard_moves_few_bytes(spark):
+    rows = [(i, f"{i} " * (1 + i % 50)) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    at = [{x.doc_id: (x.shard, x.size) for x in ring_sharding.shard_documents(frame, ring_sharding.Ring(shards=n, epsilon=0.1)).collect()} for n in (7, 8)]
+    moved = sum(at[0][i][1] for i in at[0] if at[0][i][0] != at[1][i][0])
+    assert moved < 0.35 * sum(x[1] for x in at[0].values())  # an eighth has to move; a hash modulo moves seven eighths
 
 
 # 4
