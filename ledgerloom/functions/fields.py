@@ -59,6 +59,19 @@ def span_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.coalesce(F.try_divide(both, (a1 - a0) + (b1 - b0) - both), F.lit(0.0))
 
 
+def box_iou(a: Column, b: Column) -> Column:
+    """Overlap of two boxes (x0, y0, x1, y1) over their union."""
+    side = lambda low, high: F.greatest(F.least(a[high], b[high]) - F.greatest(a[low], b[low]), F.lit(0))
+    both = side("x0", "x1") * side("y0", "y1")
+    area = lambda c: (c["x1"] - c["x0"]) * (c["y1"] - c["y0"])
+    return F.coalesce(F.try_divide(both, area(a) + area(b) - both), F.lit(0.0))
+
+
+def snake_case(name: Column) -> Column:
+    """The API's label of an enum's name: MathMismatch as math_mismatch."""
+    return F.lower(F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])", "_"))
+
+
 def page_offset(page: int, size: int, most: int = 1000) -> tuple[int, int]:
     """(limit, offset) of a page, counted from 1."""
     size = max(1, min(size, most))

@@ -20,44 +20,41 @@ def issue(kind: str, severity: str, a: Column, b: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), a.cast("string").alias("invoice_value"), b.cast("string").alias("contract_value"))
 
 
-def with_issues(df: DataFrame, at: Callable[[str], Column | None], pairs: Sequence[tuple[str, str]], tolerance: float = 0.0) -> DataFrame:
-    """df with an array of issues. Nulls on either side raise none."""
+Side = Callable[[str], Column | None]
 
-    def need(name: str) -> Column:
-        if (c := at(name)) is None:
+
+def with_issues(df: DataFrame, invoice: Side, contract: Side, pairs: Sequence[tuple[str, str]], tolerance: float = 0.0) -> DataFrame:
+    """df with an array of issues. Nulls on either side raise none.
+
+    invoice, contract: the column of a name on that side of the pair, or on the other one where it has none.
+    """
+
+    def need(side: Side, name: str) -> Column:
+        if (c := side(name)) is None:
             raise Unsupported(f"CROSS_VALIDATE needs {name}")
         return c
 
-    def side(name: str, contract: bool) -> Column:
-        """A column that both tables may have, of the side meant."""
-        hits = [c for c in df.columns if c == name or c.endswith(f"_{name}")]
-        own = [c for c in hits if c.startswith(("con_", "contracts_", "c_")) == contract]
-        return F.col((own or hits or [name])[0])
-
     found = []
     for pair in pairs:
         if pair in _AMOUNT:
-            a, b = need("total_amount"), need("total_value")
+            a, b = need(invoice, "total_amount"), need(contract, "total_value")
             found.append(F.when(a > b * F.lit(1 + tolerance), issue("AmountExceedsContract", "High", a, b)))
         elif pair in _VENDOR:
-            a, b = need("vendor_name"), need("party_name")
+            a, b = need(invoice, "vendor_name"), need(contract, "party_name")
             found.append(F.when(a != b, issue("VendorMismatch", "High", a, b)))
-        elif pair == ("currency", "currency"):
-            a, b = side("currency", False), side("currency", True)
-            found.append(F.when(a != b, issue("CurrencyMismatch", "Medium", a, b)))
         elif pair == ("invoice_date", "contract_period"):
-            a, low, high = need("invoice_date"), need("effective_date"), need("expiration_date")
+            a, low, high = need(invoice, "invoice_date"), need(contract, "effective_date"), need(contract, "expiration_date")
             found.append(F.when(~a.between(low, high), issue("DateOutsideContractPeriod", "Medium", a, high)))
         else:
-            a, b = side(pair[0], False), side(pair[1], True)
-            found.append(F.when(a != b, issue("FieldMismatch", "Medium", a, b)))
+            a, b = need(invoice, pair[0]), need(contract, pair[1])
+            found.append(F.when(a != b, issue("CurrencyMismatch" if pair == ("currency", "currency") else "FieldMismatch", "Medium", a, b)))
     return df.withColumn("issues", F.array_compact(F.array(*found)) if found else F.array().cast(ISSUE))
 
 
-def explode_issues(df: DataFrame, at: Callable[[str], Column | None]) -> DataFrame:
+def explode_issues(df: DataFrame) -> DataFrame:
     return df.select(F.explode("issues").alias("issue")).groupBy("issue.type", "issue.severity").agg(F.count("*").alias("n"))
 
 
-def named_checks(df: DataFrame, at: Callable[[str], Column | None], checks: Sequence[str]) -> DataFrame:
+def named_checks(df: DataFrame, invoice: Side, contract: Side, checks: Sequence[str]) -> DataFrame:
     """The library call: checks by name, without tolerance."""
-    return with_issues(df, at, [CHECKS[c] for c in checks])
+    return with_issues(df, invoice, contract, [CHECKS[c] for c in checks])

@@ -15,6 +15,11 @@ def rollup(df: DataFrame, unit: str, by: list[str], at: str = "ts", value: str =
     return df.groupBy(F.date_trunc(unit, at).alias("bucket"), *by).agg(*aggregates)
 
 
+def anomaly_rollup(df: DataFrame, unit: str = "hour", by: tuple[str, ...] = ("anomaly_type", "severity"), at: str = "detected_at") -> DataFrame:
+    """Count, mean confidence and resolved ones of each `unit` of time and group."""
+    return df.groupBy(F.date_trunc(unit, at).alias("bucket"), *by).agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), F.count_if(F.col("status") == "Resolved").alias("n_resolved"))
+
+
 def daily(df: DataFrame, by: list[str], at: str = "ts", value: str = "value", success: Column | None = None) -> DataFrame:
     done = F.lit(True) if success is None else success
     return df.groupBy(F.to_date(at).alias("day"), *by).agg(F.count("*").alias("n"), F.count_if(done).alias("n_success"), F.avg(value).alias("mean"), F.sum(value).alias("total"))
@@ -34,9 +39,13 @@ def tenant_summary(df: DataFrame, tenant: str, error: Column, value: str = "valu
 
 
 def rate_limited(df: DataFrame, by: list[str], seconds: int, limit: int, at: str = "ts") -> DataFrame:
-    """Each event with the number of its group's events in the window that ends with it, and whether it is over the limit."""
-    w = Window.partitionBy(*by).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return df.withColumn("in_window", F.count("*").over(w)).withColumn("rejected", F.col("in_window") > limit)
+    """Each event with the number of its group's events in the window that ends with it, whether it is over the limit, and then in how
+    many seconds the window's oldest event has left it."""
+    time = F.unix_micros(F.col(at).cast("timestamp"))
+    w = Window.partitionBy(*by).orderBy(time).rangeBetween(-seconds * 1_000_000 + 1, 0)
+    out = df.withColumn("in_window", F.count("*").over(w)).withColumn("__oldest", F.min(time).over(w)).withColumn("rejected", F.col("in_window") > limit)
+    wait = F.ceil((F.col("__oldest") + seconds * 1_000_000 - time) / 1_000_000)
+    return out.withColumn("retry_after", F.when(F.col("rejected"), wait)).drop("__oldest")
 
 
 def quota(df: DataFrame, by: list[str], order: list[str], amount: str, most: float) -> DataFrame:
@@ -46,6 +55,6 @@ def quota(df: DataFrame, by: list[str], order: list[str], amount: str, most: flo
 
 
 def digest(df: DataFrame, by: str, interval: str, at: str = "ts", text: str = "message") -> DataFrame:
-    """Notifications of each group and interval, as one text."""
+    """Notifications of each group and interval, as one text; a digest is one message, so its interval bounds its size."""
     items = F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda x: x[text])
     return df.groupBy(by, F.window(at, interval).alias("w")).agg(F.count("*").alias("n"), F.array_join(items, "\n").alias("body")).select(by, F.col("w.start").alias("from"), "n", "body")

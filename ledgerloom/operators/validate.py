@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.lang.errors import Unsupported
@@ -71,16 +72,21 @@ def _rules(at: Callable[[str], Column | None]) -> dict[str, list[tuple[Column, C
 STRUCTURAL = ("line_sum", "total", "date_check", "positive_total", "invoice_number", "vendor", "confidence")
 
 
-def findings(at: Callable[[str], Column | None], rules: Sequence[str], fail_fast: bool = False) -> Column:
-    """The findings of the rules, in order; with fail_fast those of each row's first failing rule only."""
-    known = _rules(at)
-    all_rules = {"math_check", "date_check", "required_fields", *STRUCTURAL, "line_items"}
+ALL_RULES = ("math_check", "date_check", "required_fields", *STRUCTURAL, "line_items")
+
+
+def findings(at: Callable[[str], Column | None], rules: Sequence[str], fail_fast: bool = False, own: Mapping[str, Rule] | None = None) -> Column:
+    """The findings of the rules, in order; with fail_fast those of each row's first failing rule only; own: rules that were registered."""
+    known, own = _rules(at), own or {}
+    all_rules = {*ALL_RULES, *own}
     if unknown := [r for r in rules if r not in all_rules]:
         raise Unsupported(f"no rule {unknown[0]!r}")
     per_rule = []
     for rule in rules:
         if rule == "line_items" and at("line_items") is not None:
             per_rule.append(line_findings(at("line_items")))
+        elif rule in own:
+            per_rule.append(F.array_compact(F.array(fired(own[rule]))))
         elif rule in known:
             per_rule.append(F.array_compact(F.array(*[F.when(c, f) for c, f in known[rule]])))
     if not per_rule:
@@ -103,8 +109,8 @@ def line_findings(items: Column) -> Column:
     return F.array_compact(F.transform(items, of))
 
 
-def with_findings(df: DataFrame, at: Callable[[str], Column | None], rules: Sequence[str], fail_fast: bool = False) -> DataFrame:
-    out = df.withColumn("anomalies", findings(at, rules, fail_fast))
+def with_findings(df: DataFrame, at: Callable[[str], Column | None], rules: Sequence[str], fail_fast: bool = False, own: Mapping[str, Rule] | None = None) -> DataFrame:
+    out = df.withColumn("anomalies", findings(at, rules, fail_fast, own))
     return out.withColumn("is_valid", F.size("anomalies") == 0)
 
 
@@ -134,14 +140,31 @@ class Rule:
     field: str = ""
 
 
+def fired(rule: Rule) -> Column:
+    """The finding of a rule where its condition holds, else null."""
+    level = {"critical": "High", "high": "High", "low": "Low", "warning": "Low"}
+    return F.when(_holds(F.expr(rule.condition)), finding(rule.name, "ValidationFailure", level.get(rule.severity.lower(), "Medium"), rule.field))
+
+
 def decision_table(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """df with the findings of all rules that fire."""
-    level = {"critical": "High", "high": "High", "low": "Low", "warning": "Low"}
-    fired = [F.when(_holds(F.expr(r.condition)), finding(r.name, "ValidationFailure", level.get(r.severity.lower(), "Medium"), r.field)) for r in rules]
-    out = df.withColumn("anomalies", F.array_compact(F.array(*fired)) if fired else F.array().cast(FINDING))
+    out = df.withColumn("anomalies", F.array_compact(F.array(*map(fired, rules))) if rules else F.array().cast(FINDING))
     return out.withColumn("is_valid", F.size("anomalies") == 0)
 
 
+def rule_names(own: Mapping[str, Rule] | None = None) -> list[str]:
+    """All rules by name, those that were registered behind the built-in ones."""
+    return [*ALL_RULES, *(own or {})]
+
+
+def evaluate_rule(spark: SparkSession, rule: str | Rule, row: Mapping[str, Any]) -> DataFrame:
+    """The findings of one rule, built-in or not, on one input row."""
+    df = spark.createDataFrame([dict(row)])
+    at = lambda n: F.col(n) if n in df.columns else None
+    found = findings(at, [rule]) if isinstance(rule, str) else F.array_compact(F.array(fired(rule)))
+    return df.select(F.explode(found).alias("f")).select("f.*")
+
+
 def possible_duplicates(df: DataFrame) -> DataFrame:
     """(vendor_name, invoice_number, total_amount) that more than one invoice has, with their ids."""
     return df.groupBy("vendor_name", "invoice_number", "total_amount").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")

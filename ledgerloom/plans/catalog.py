@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.engine import Wide
+
 #: The views in SQL that Spark and DuckDB both read; {table} stands for a table.
 VIEWS = """
 li AS (SELECT l_orderkey, count(*) AS line_item_count,
@@ -55,11 +57,11 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(item)).alias("line_items"))
 
 
-def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their vectors, as far as there are any."""
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return read(spark, sf_dir, "documents").join(vectors, "doc_id", "left").withColumnRenamed("doc_id", "id")
+def searchable(spark: SparkSession, sf_dir: str) -> Wide:
+    """Documents, with their vectors where these are named."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return Wide(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), vectors, "id")
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame | Wide]:
     return {"invoices": view(spark, sf_dir, "invoices"), "contracts": view(spark, sf_dir, "contracts"), "documents": searchable(spark, sf_dir)}

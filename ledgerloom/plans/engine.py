@@ -19,6 +19,7 @@ from ledgerloom.lang.json_form import parse_json
 from ledgerloom.lang.parser import parse
 from ledgerloom.operators import aggregate as agg
 from ledgerloom.operators import analyze, baseline, cross_validate, graph, validate
+from ledgerloom.sources import formats
 
 #: Names that stand for others, where a table has no column of its own by that name.
 SYNONYMS = {"contract_value": "total_value", "amount": "total_amount", "vendor": "vendor_name", "value": "total_value"}
@@ -38,6 +39,18 @@ class Scope:
 
     tables: dict[str, tuple[DataFrame, str]]
     extra: frozenset[str] = frozenset()
+    #: The name of each alias's table.
+    names: dict[str, str] = field(default_factory=dict)
+
+    def side(self, table: str, name: str) -> str | None:
+        """The column called `name` of the side that `table` is on, or of the other one where that has none."""
+        order = sorted(self.tables, key=lambda alias: self.names.get(alias) != table)
+        for alias in order:
+            df, prefix = self.tables[alias]
+            own = {c.lower(): c for c in df.columns}
+            if column := own.get(name.lower()) or own.get(SYNONYMS.get(name.lower(), "")):
+                return prefix + column
+        return None
 
     def find(self, name: A.Name) -> str:
         low = name.name.lower()
@@ -60,19 +73,42 @@ class Scope:
         return hits[0]
 
 
+@dataclass
+class Wide:
+    """A table and another one that holds more of its columns, by the same key; joined only where these are named."""
+
+    base: DataFrame
+    more: DataFrame
+    key: str
+
+    def frame(self, columns: frozenset[str] | None = None) -> DataFrame:
+        costly = {c.lower() for c in self.more.columns} - {self.key.lower()}
+        return self.base if columns is not None and not costly & columns else self.base.join(self.more, self.key, "left")
+
+
 @dataclass
 class Engine:
     """Runs queries over named tables.
 
     link_mode "inferred" lets a ZIP link by contract_id and contract number before ON; default_limit and max_limit are
-    those of a service, and off here.
+    those of a service, and off here. Products of two tables without a condition are refused unless `products` allows them.
+    bm25_corpus "composite" takes BM25's statistics from the composite texts of invoices and contracts. With
+    `empty_sums` a sum or mean of no rows is 0. A table may also be a Wide one, whose costly columns join when named.
     """
 
-    tables: dict[str, DataFrame]
+    tables: dict[str, DataFrame | Wide]
     link_mode: str = "on"
     default_limit: int | None = None
     max_limit: int | None = None
+    products: bool = False
+    bm25_corpus: str = "column"
+    empty_sums: bool = False
     functions: dict[str, Any] = field(default_factory=dict)
+    rules: dict[str, validate.Rule] = field(default_factory=dict)
+
+    def register_rule(self, rule: validate.Rule) -> None:
+        """VALIDATE WITH ('its name') then reports rows that its condition marks."""
+        self.rules[rule.name] = rule
 
     def register_function(self, name: str, build) -> None:
         """build(*columns) -> Column."""
@@ -88,16 +124,19 @@ class Engine:
     def run(self, query: A.Query, params: dict[str, Any] | None = None) -> Result:
         return _Run(self, params or {}).query(query)
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, columns: frozenset[str] | None = None) -> DataFrame:
+        """The table, with the costly columns among `columns`, or with all of them."""
         if name not in self.tables:
             raise UnknownTable(f"no table {name!r}")
-        return self.tables[name]
+        found = self.tables[name]
+        return found.frame(columns) if isinstance(found, Wide) else found
 
 
 class _Run:
     def __init__(self, engine: Engine, params: dict[str, Any]):
         self.engine, self.params = engine, params
         self.scores: dict[tuple, str] = {}  # BM25 calls that have a column
+        self.found: dict[int, str] = {}  # EXISTS that have one
 
     # rows
     def query(self, q: A.Query) -> Result:
@@ -105,11 +144,8 @@ class _Run:
         df = self.scored(df, scope, q)
         if q.where is not None:
             df = self.where(df, scope, q.where)
-        aggregates = [i for i in q.select if agg.is_aggregate(i.expr)]
-        if aggregates and not q.pipeline:
-            if len(aggregates) != len(q.select):
-                raise QueryError("columns beside aggregates need AGGREGATE BY")
-            return Result(df.agg(*[self.aggregate(i.expr.function.lower(), i.expr.args[0] if i.expr.args else A.Star(), i.alias or i.expr.function.lower(), scope) for i in q.select]))
+        if any(agg.is_aggregate(node) for i in q.select for node in A.walk(i.expr)):
+            return self.summarised(q, df, scope)
         aliases = {i.alias.lower(): i.expr for i in q.select if i.alias}
         if q.order:
             df = df.orderBy(*[self.order(o, scope, aliases) for o in q.order])
@@ -121,6 +157,24 @@ class _Run:
             return result
         return Result(result.rows.select(*self.projection(q, scope)), result.reports)
 
+    def summarised(self, q: A.Query, df: DataFrame, scope: Scope) -> Result:
+        """A SELECT list of aggregates and expressions of them: one row, which ORDER, LIMIT and the pipeline then see."""
+        names, values = [], []
+        for item in q.select:
+            plain = [n for n in _outside_aggregates(item.expr) if isinstance(n, (A.Name, A.Star))]
+            if plain:
+                raise QueryError("columns beside aggregates need AGGREGATE BY")
+            names.append(item.alias or (item.expr.function.lower() if isinstance(item.expr, A.Call) else f"column{len(names) + 1}"))
+            values.append(self.column(item.expr, scope).alias(names[-1]))
+        out = df.agg(*values)
+        own = Scope({"result": (out, "")})
+        if q.order:
+            out = out.orderBy(*[self.order(o, own, {}) for o in q.order])
+        result, replaced = Result(self.limited(out, q.limit if q.limit is not None else self.engine.default_limit, q.offset)), True
+        for step in q.pipeline:
+            result, own, replaced = self.step(result, own, step, replaced)
+        return result
+
     def limited(self, df: DataFrame, limit: int | None, offset: int) -> DataFrame:
         if self.engine.max_limit is not None and limit is not None:
             limit = min(limit, self.engine.max_limit)
@@ -128,39 +182,64 @@ class _Run:
         return df if limit is None else df.limit(limit)
 
     def source(self, q: A.Query) -> tuple[DataFrame, Scope]:
-        left = self.engine.table(q.table)
+        every = any(isinstance(i.expr, A.Star) for i in q.select)
+        columns = None if every else frozenset(n.name.lower() for n in A.walk((q.select, q.where, q.order, q.pipeline, q.zip)) if isinstance(n, A.Name))
+        left = self.engine.table(q.table, columns)
         if q.zip is None:
-            return left, Scope({q.alias or q.table: (left, "")})
-        right = self.engine.table(q.zip.table)
+            return left, Scope({q.alias or q.table: (left, "")}, names={q.alias or q.table: q.table})
+        right = self.engine.table(q.zip.table, columns)
         a, b = q.alias or q.table, q.zip.alias or q.zip.table
         if a == b:
             raise QueryError(f"both tables are called {a!r}")
         pre = {a: f"{a}_", b: f"{b}_"}
-        scope = Scope({a: (left, pre[a]), b: (right, pre[b])})
+        scope = Scope({a: (left, pre[a]), b: (right, pre[b])}, names={a: q.table, b: q.zip.table})
         sides = [df.select(*[F.col(c).alias(pre[n] + c) for c in df.columns]) for n, df in ((a, left), (b, right))]
         on = None if q.zip.on is None else self.column(q.zip.on, scope)
-        if self.engine.link_mode == "inferred" and q.zip.kind in ("inner", "left"):
-            on = self.inferred(on, q, scope)
         kind = q.zip.kind
-        if kind == "cartesian":
+        if kind == "cartesian" or (kind == "cross" and on is None):
+            if not self.engine.products:
+                raise QueryError("a ZIP of all pairs needs an engine with products=True, or a condition")
             return sides[0].crossJoin(sides[1]), scope
-        if kind == "cross":
-            joined = sides[0].crossJoin(sides[1])
-            return (joined if on is None else joined.where(on)), scope
         if on is None:
             raise QueryError("this ZIP needs ON")
+        if self.engine.link_mode == "inferred" and kind in ("inner", "left"):
+            return self.inferred(*sides, on, kind, q, scope), scope
         return sides[0].join(sides[1], on, "left" if kind == "left" else "inner"), scope
 
-    def inferred(self, on: Column | None, q: A.Query, scope: Scope) -> Column:
-        """By contract_id where the invoice has one; else an equal contract number or ON."""
-        sides = {q.table: q.alias or q.table, q.zip.table: q.zip.alias or q.zip.table}
-        inv, con = sides["invoices"], sides["contracts"]
-        has = lambda side, c: c in scope.tables[side][0].columns
-        out = F.coalesce(on, F.lit(False))
+    def inferred(self, left: DataFrame, right: DataFrame, on: Column, kind: str, q: A.Query, scope: Scope) -> DataFrame:
+        """By contract_id where the invoice has one; else by an equal contract number; else ON. Each is a join of its own.
+
+        A pair that two of the ways find is in the first one's join only.
+        """
+        aliases = {t: alias for alias, t in scope.names.items()}
+        if "invoices" not in aliases or "contracts" not in aliases:
+            raise QueryError("inferred links are between invoices and contracts")
+        inv, con = aliases["invoices"], aliases["contracts"]
+        has = lambda alias, c: c in scope.tables[alias][0].columns
+        link = F.col(f"{inv}_contract_id")
+        ways = [(link.isNotNull(), [link == F.col(f"{con}_id")])]
+        ways.append((link.isNull(), [on]))
         if has(inv, "contract_number") and has(con, "contract_number"):
-            out = F.coalesce(F.col(f"{inv}_contract_number") == F.col(f"{con}_contract_number"), F.lit(False)) | out
-        link, own = F.col(f"{inv}_contract_id"), F.col(f"{con}_id")
-        return (link == own) | (link.isNull() & out)
+            number = F.col(f"{inv}_contract_number") == F.col(f"{con}_contract_number")
+            ways[1] = (link.isNull(), [number, on & ~F.coalesce(number, F.lit(False))])
+        invoices_left = inv == (q.alias or q.table)
+        parts, rest = [], []
+        for condition, joins in ways:
+            rows, other = (left.where(condition), right) if invoices_left else (left, right.where(condition))
+            parts += [rows.join(other, join) for join in joins]
+            if kind == "left" and invoices_left:
+                alone = rows
+                for join in joins:
+                    alone = alone.join(other, join, "left_anti")
+                rest.append(alone)
+        out = reduce(DataFrame.unionByName, parts)
+        if kind == "left" and not invoices_left:
+            alone = left
+            for condition, joins in ways:
+                for join in joins:
+                    alone = alone.join(right.where(condition), join, "left_anti")
+            rest = [alone]
+        return reduce(lambda df, alone: df.unionByName(alone, allowMissingColumns=True), rest, out)
 
     def scored(self, df: DataFrame, scope: Scope, q: A.Query) -> DataFrame:
         """Columns for the BM25 calls: their statistics are of the whole table, before WHERE."""
@@ -170,18 +249,36 @@ class _Run:
                 key = (scope.find(column), self.plain(query))
                 if key not in self.scores:
                     self.scores[key] = f"__bm25_{len(self.scores)}"
-                    df = text_functions.with_bm25(df, F.col(key[0]), key[1], self.scores[key])
+                    df = text_functions.with_bm25(df, F.col(key[0]), key[1], self.scores[key], self.corpus())
         return df
 
+    def corpus(self) -> DataFrame | None:
+        """The rows `text` whose statistics BM25 takes; None: the column that is scored."""
+        if self.engine.bm25_corpus == "column":
+            return None
+        tables = [(self.engine.table(t), columns) for t, columns in formats.COMPOSITE.items() if t in self.engine.tables]
+        return reduce(DataFrame.union, [df.select(formats.composite(df, columns).alias("text")) for df, columns in tables])
+
     def where(self, df: DataFrame, scope: Scope, condition: Any) -> DataFrame:
-        """EXISTS among the conjuncts become semi and anti joins."""
+        """EXISTS among the conjuncts become semi and anti joins; elsewhere, a column that a join with the rows that exist gives."""
         plain = []
         for part in _conjuncts(condition):
             if isinstance(part, A.Exists):
                 df = self.exists(df, scope, part)
-            else:
-                plain.append(self.column(part, scope))
-        return df.where(reduce(lambda a, b: a & b, plain)) if plain else df
+                continue
+            for node in [n for n in A.walk(part) if isinstance(n, A.Exists)]:
+                self.found[id(node)] = f"__exists_{len(self.found)}"
+                df = self.marked(df, scope, node, self.found[id(node)])
+            plain.append(self.column(part, scope))
+        out = df.where(reduce(lambda a, b: a & b, plain)) if plain else df
+        return out.drop(*self.found.values())
+
+    def marked(self, df: DataFrame, scope: Scope, node: A.Exists, name: str) -> DataFrame:
+        """df with a column that says whether the subquery has a row: each row is numbered, and the numbers that exist are joined."""
+        numbered = df.withColumn(f"{name}_row", F.struct(*df.columns))
+        hits = self.exists(numbered, scope, A.Exists(node.query, False)).select(F.col(f"{name}_row").alias(f"{name}_hit")).distinct()
+        joined = numbered.join(hits, F.col(f"{name}_row").eqNullSafe(F.col(f"{name}_hit")), "left")
+        return joined.select(*df.columns, (F.col(f"{name}_hit").isNull() if node.negated else F.col(f"{name}_hit").isNotNull()).alias(name))
 
     def exists(self, df: DataFrame, scope: Scope, node: A.Exists) -> DataFrame:
         q = node.query
@@ -230,7 +327,7 @@ class _Run:
     # pipeline
     def step(self, r: Result, scope: Scope, step: Any, replaced: bool) -> tuple[Result, Scope, bool]:
         df, reports = r.rows, dict(r.reports)
-        more = lambda *names: Scope(scope.tables, scope.extra | set(names))
+        more = lambda *names: Scope(scope.tables, scope.extra | set(names), scope.names)
         if isinstance(step, A.Filter):
             return Result(self.where(df, scope, step.condition), reports), scope, replaced
         if isinstance(step, A.Sort):
@@ -242,11 +339,11 @@ class _Run:
                 out = df.select(*[self.column(e, scope).alias(k) for k, e in step.mappings])
             else:
                 keys = [self.column(k, scope).alias(k.name if isinstance(k, A.Name) else f"key{i + 1}") for i, k in enumerate(step.by)]
-                out = df.groupBy(*keys).agg(*[self.aggregate(f, x, name, scope) for f, x, name in step.into])
+                out = df.groupBy(*keys).agg(*[self.aggregate(f, x, scope).alias(name) for f, x, name in step.into])
             return Result(out, reports), Scope({"result": (out, "")}), True
         at = lambda name: self.optional(scope, name)
         if isinstance(step, A.Validate):
-            out = validate.with_findings(df, at, step.rules, step.fail_fast)
+            out = validate.with_findings(df, at, step.rules, step.fail_fast, self.engine.rules)
             reports["validation"] = validate.summary(out)
             return Result(out, reports), more("anomalies", "is_valid"), replaced
         if isinstance(step, A.Analyze):
@@ -256,8 +353,9 @@ class _Run:
             out, names = baseline.analyze(df, at, step)
             return Result(out, reports), more(*names), replaced
         if isinstance(step, A.CrossValidate):
-            out = cross_validate.with_issues(df, at, step.pairs, step.tolerance)
-            reports["issues"] = cross_validate.explode_issues(out, at)
+            side = lambda table: lambda name: F.col(c) if (c := scope.side(table, name)) else None
+            out = cross_validate.with_issues(df, side("invoices"), side("contracts"), step.pairs, step.tolerance)
+            reports["issues"] = cross_validate.explode_issues(out)
             return Result(out, reports), more("issues"), replaced
         if isinstance(step, A.GraphTraverse):
             out, names = graph.traverse(df, at(step.field), self.engine.table("invoices"), self.engine.tables.get("contracts"), step.depth)
@@ -277,10 +375,9 @@ class _Run:
             hits = [p + c for _, (df, p) in scope.tables.items() for c in df.columns if c.lower() == name.lower()]
             return F.col(hits[0])
 
-    def aggregate(self, function: str, arg: Any, name: str, scope: Scope) -> Column:
+    def aggregate(self, function: str, arg: Any, scope: Scope) -> Column:
         value = None if isinstance(arg, A.Star) else self.column(arg, scope)
-        key = self.optional(scope, "id")
-        return agg.build(function, value, key).alias(name)
+        return agg.build(function, value, self.optional(scope, "id"), self.engine.empty_sums)
 
     # expressions
     def plain(self, node: Any) -> Any:
@@ -349,12 +446,18 @@ class _Run:
                 return text_functions.fused(go(distance), go(score))
             case A.Call("DATE_TRUNC", (unit, value)):
                 return F.date_trunc(self.plain(unit), go(value))
+            case A.Call(function, args) if agg.is_aggregate(node):
+                return self.aggregate(function.lower(), args[0] if args else A.Star(), scope)
+            case A.Call("PAIR_SCORE", (left, right)):
+                return text_functions.pair_score(go(left), go(right))
             case A.Call(function, args) if function in self.engine.functions:
                 return self.engine.functions[function](*map(go, args))
             case A.Call(function, _):
                 raise Unsupported(f"no function {function}")
+            case A.Exists() if id(node) in self.found:
+                return F.col(self.found[id(node)])
             case A.Exists():
-                raise Unsupported("EXISTS stands only among the conditions that AND joins")
+                raise Unsupported("EXISTS stands only in WHERE and FILTER")
         raise Unsupported(f"{node!r} can't stand in an expression")
 
     def coerced(self, scope: Scope, go, left: Any, right: Any) -> tuple[Column, Column]:
@@ -383,6 +486,12 @@ def _iso(value: str) -> bool:
     return True
 
 
+def _outside_aggregates(node: Any) -> list[Any]:
+    """The nodes of an expression that no aggregate holds."""
+    held = {id(x) for n in A.walk(node) if agg.is_aggregate(n) for x in A.walk(n)}
+    return [n for n in A.walk(node) if id(n) not in held]
+
+
 def _conjuncts(node: Any) -> list[Any]:
     return _conjuncts(node.left) + _conjuncts(node.right) if isinstance(node, A.Binary) and node.op == "and" else [node]
 

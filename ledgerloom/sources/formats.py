@@ -1,9 +1,11 @@
-"""Files in and out: postings of a full-text index, N-Triples, JSON lines, tables as Markdown and CSV, topics."""
+"""Files in and out: postings of a full-text index, N-Triples, JSON lines, tables as Markdown and CSV, Kafka."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +13,17 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as text_functions
 
 _TERM = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[\w-]+)?)'
+_TRIPLE = rf"^\s*{_TERM}\s+{_TERM}\s+{_TERM}\s*\.\s*(?:#.*)?$"
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
+#: Fixed: the columns whose texts make up the searchable text of a document.
+COMPOSITE = {
+    "invoices": ("invoice_number", "vendor_name", "bill_to_name", "po_number", "vendor_tax_id", "item_descriptions", "extracted_text"),
+    "contracts": ("contract_number", "title", "party_name", "party_names", "clause_titles", "clause_texts", "extracted_text"),
+}
+
+
 def composite(df: DataFrame, columns: Sequence[str]) -> Column:
     """The searchable text of a row: its columns joined by spaces, nulls left out, arrays joined too."""
     kinds = dict(df.dtypes)
@@ -26,30 +36,146 @@ def postings(df: DataFrame, text: str, key: str = "id") -> DataFrame:
     return each.select(key, F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
-def search(index: DataFrame, query: str, limit: int, n: int, average: float, key: str = "id") -> DataFrame:
-    """The best rows of the index by BM25; any term of the query may match."""
-    wanted = text_functions.query_terms(query)
-    times = F.create_map(*[F.lit(x) for t in sorted(set(wanted)) for x in (t, wanted.count(t))]) if wanted else F.create_map(F.lit(""), F.lit(0))
-    hits = index.where(F.col("term").isin(*wanted))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+@dataclass(frozen=True)
+class Index:
+    """A full-text index as tables: postings (term, field, key, tf, length) and documents (key, type, length)."""
+
+    postings: DataFrame
+    documents: DataFrame
+
+    def union(self, other: Index) -> Index:
+        return Index(self.postings.unionByName(other.postings), self.documents.unionByName(other.documents))
+
+    def delete(self, keys: DataFrame) -> Index:
+        """The index without the documents (key, type) of `keys`; statistics follow, as they are counted when searching."""
+        gone = keys.select("key", "type").distinct()
+        return Index(self.postings.join(gone, ["key", "type"], "left_anti"), self.documents.join(gone, ["key", "type"], "left_anti"))
+
+
+def index(df: DataFrame, kind: str, columns: Sequence[str] | None = None, fields: Sequence[str] = (), key: str = "id") -> Index:
+    """Indexes the composite text of each row (field "text"), and single columns beside it."""
+    texts = F.array(*[F.struct(F.lit(name).alias("field"), x.alias("value")) for name, x in [("text", composite(df, columns or COMPOSITE[kind])), *((f, F.col(f).cast("string")) for f in fields)]])
+    each = df.select(F.col(key).alias("key"), F.inline(texts)).select("key", "field", text_functions.terms(F.coalesce("value", F.lit(""))).alias("t"))
+    sized = each.select("key", F.lit(kind).alias("type"), "field", F.size("t").alias("length"), "t")
+    counted = sized.select("key", "type", "field", "length", F.explode("t").alias("term")).groupBy("term", "field", "key", "type", "length").agg(F.count("*").alias("tf"))
+    return Index(counted, sized.where("field = 'text'").select("key", "type", "length"))
+
+
+_CLAUSE = re.compile(r"""([+-]|(?:AND|OR|NOT)\s+)?(?:(\w+):)?(?:"([^"]*)"|(\S+))""")
+
+
+def clauses(query: str) -> list[tuple[str, str, list[str]]]:
+    """(must, should or not; field; terms) of each clause of a query: words, +word, -word, NOT word, AND, OR, field:word and "several words".
+
+    AND makes both sides must. A clause of several terms, quoted or not, holds where all of them do.
+    """
+    out: list[tuple[str, str, list[str]]] = []
+    for sign, name, quoted, word in _CLAUSE.findall(query):
+        sign = sign.strip()
+        terms = text_functions.query_terms(quoted or word)
+        if not terms or (not sign and not name and word in ("AND", "OR", "NOT")):
+            continue
+        if sign == "AND" and out and out[-1][0] == "should":
+            out[-1] = ("must", *out[-1][1:])
+        out.append(({"+": "must", "AND": "must", "-": "not", "NOT": "not"}.get(sign, "should"), name or "text", terms))
+    return out
+
+
+def search(found: Index, query: str, limit: int, kind: str | None = None) -> DataFrame:
+    """key, type and score of the best documents by BM25; ties by type and key. Statistics are those of the whole index.
+
+    A document matches if all `must` clauses and no `not` clause hold, and, without a `must`, some `should` clause does.
+    """
+    said = clauses(query)
+    statistics = found.documents.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))
+    wanted: dict[tuple[str, str], int] = {}
+    for role, name, terms in said:
+        for t in terms:
+            wanted[name, t] = wanted.get((name, t), 0) + (role != "not")
+    if not any(role != "not" for role, _, _ in said):
+        return found.documents.select("key", "type", F.lit(0.0).alias("score")).limit(0)
+    is_one = reduce(lambda a, b: a | b, [(F.col("field") == name) & (F.col("term") == t) for name, t in wanted])
+    hits = found.postings.where(is_one)
+    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     k1, b = text_functions.K1, text_functions.B
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = times[F.col("term")] * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (average or 1.0)))
-    return hits.join(df, "term").groupBy(key).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), key).limit(limit)
-
-
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """subject, predicate, object, datatype of each triple; IRIs without brackets, literals unescaped."""
-    line = F.trim("value")
-    raw = spark.read.text(path).where((line != "") & ~line.startswith("#"))
-    pattern = rf"^\s*{_TERM}\s+{_TERM}\s+{_TERM}\s*\.\s*(?:#.*)?$"
-    at = lambda k: F.regexp_extract("value", pattern, k)
+    times = F.coalesce(*[F.when((F.col("field") == name) & (F.col("term") == t), n) for (name, t), n in wanted.items()])
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    mean = F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean"))
+    part = times * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+    has = {k: F.max(F.when((F.col("field") == k[0]) & (F.col("term") == k[1]), 1).otherwise(0)) for k in wanted}
+    # the index's terms of one query are few rows: their counts and the statistics are broadcast
+    scored = hits.join(F.broadcast(df), ["field", "term"]).crossJoin(F.broadcast(statistics)).groupBy("key", "type").agg(F.sum(part).alias("score"), *[c.alias(f"has{i}") for i, c in enumerate(has.values())])
+    at = {k: F.col(f"has{i}") == 1 for i, k in enumerate(has)}
+    holds = [(role, reduce(lambda a, b: a & b, [at[name, t] for t in terms])) for role, name, terms in said]
+    must = [c for role, c in holds if role == "must"]
+    passed = reduce(lambda a, b: a & b, must) if must else reduce(lambda a, b: a | b, [c for role, c in holds if role == "should"])
+    for role, c in holds:
+        passed = passed & ~c if role == "not" else passed
+    out = scored.where(passed & (F.lit(True) if kind is None else F.col("type") == kind))
+    return out.select("key", "type", "score").orderBy(F.desc("score"), "type", "key").limit(limit)
+
+
+def fetch(hits: DataFrame, hot: DataFrame, warm: DataFrame, key: str = "id") -> DataFrame:
+    """The documents of search hits: the hot store's row, or the warm one's where that has none; hits that no store has are left out."""
+    columns = [c for c in hot.columns if c in warm.columns]
+    first = hits.join(hot.select(*columns), hits["key"] == hot[key])
+    missing = hits.join(hot, hits["key"] == hot[key], "left_anti")
+    return first.unionByName(missing.join(warm.select(*columns), missing["key"] == warm[key]))
+
+
+def _unescaped(text: Column) -> Column:
+    """The text with its escapes undone, each once: cut behind every escape, and each piece's one at its end replaced."""
+    pieces = F.split(F.regexp_replace(text, r"(\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.))", "$1\x00"), "\x00")
+
+    def of(piece: Column) -> Column:
+        code = F.regexp_extract(piece, r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)$", 1)
+        number = F.conv(F.substring(code, F.lit(2), F.length(code) - 1), 16, 10).cast("int")
+        high = F.lpad(F.hex(F.when(number < 0x110000, number)), 8, "0")
+        char = F.when(F.length(code) > 1, F.decode(F.unhex(high), "UTF-32"))
+        for said, meant in (("n", "\n"), ("t", "\t"), ("r", "\r"), ("b", "\b"), ("f", "\f")):
+            char = F.when(code == said, F.lit(meant)).otherwise(char)
+        return F.when(code == "", piece).otherwise(F.concat(F.substring(piece, F.lit(1), F.length(piece) - F.length(code) - 1), F.coalesce(char, code)))
+
+    return F.array_join(F.transform(pieces, of), "")
+
+
+def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """subject, predicate, object, is_literal of each triple; IRIs without brackets, literals unescaped.
+
+    A line that is no triple is an error, or, if not strict, left out; `rejected_ntriples` has those lines.
+    """
+    at = lambda k: F.regexp_extract("value", _TRIPLE, k)
     bare = lambda c: F.regexp_replace(c, r"^<|>$", "")
-    literal = F.regexp_extract(at(3), r'^"((?:[^"\\]|\\.)*)"', 1)
-    for code, char in (('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\\\", "\\")):
-        literal = F.replace(literal, F.lit(code), F.lit(char))
+    raw = _triple_lines(spark, path)
+    if not strict:
+        raw = raw.where(F.col("value").rlike(_TRIPLE))
     is_literal = at(3).startswith('"')
-    return raw.select(bare(at(1)).alias("subject"), bare(at(2)).alias("predicate"), F.when(is_literal, literal).otherwise(bare(at(3))).alias("object"), is_literal.alias("is_literal"))
+    literal = _unescaped(F.regexp_extract(at(3), r'^"((?:[^"\\]|\\.)*)"', 1))
+    subject = F.when(F.col("value").rlike(_TRIPLE), bare(at(1))).otherwise(F.raise_error(F.concat(F.lit("not a triple: "), F.col("value"))))
+    return raw.select(subject.alias("subject"), bare(at(2)).alias("predicate"), F.when(is_literal, literal).otherwise(bare(at(3))).alias("object"), is_literal.alias("is_literal"))
+
+
+def _triple_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
+
+
+def rejected_ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that are no triple."""
+    return _triple_lines(spark, path).where(~F.col("value").rlike(_TRIPLE))
+
+
+#: Fixed: classes whose named nodes are nodes of the vendor graph, and the property that is their name.
+RDF_LABELS = {"Person": "party", "Organization": "vendor"}
+RDF_NAME = "name"
+
+
+def mapped_nodes(triples: DataFrame, labels: dict[str, str] = RDF_LABELS, name: str = RDF_NAME) -> DataFrame:
+    """label, key and name of the nodes of mapped classes; classes and properties go by the last part of their IRI."""
+    last = lambda c: F.regexp_extract(c, r"([^/#]+)[/#]?$", 1)
+    names = triples.where(F.col("is_literal") & (last(F.col("predicate")) == name)).groupBy("subject").agg(F.min("object").alias("name"))
+    label = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[last(F.col("type"))]
+    found = nodes_by_type(triples).withColumn("label", label).where("label is not null").join(names, F.col("node") == F.col("subject"))
+    return found.select("label", F.concat("label", F.lit(":"), F.replace(F.lower(F.trim("name")), F.lit(" "), F.lit("_"))).alias("key"), "name").distinct()
 
 
 def nodes_by_type(triples: DataFrame) -> DataFrame:
@@ -86,24 +212,6 @@ def csv_line(df: DataFrame) -> Column:
     return F.concat_ws(",", *map(field, df.columns))
 
 
-@dataclass(frozen=True)
-class Topic:
-    name: str
-    partitions: int = 32
-    retention_days: int = 7
-    compacted: bool = False
-
-
-#: The streams between the stages of document processing.
-TOPICS = {
-    t.name: t
-    for t in (
-        Topic("document.ingestion"), Topic("document.processed"), Topic("document.failed"), Topic("document.dead-letter"), Topic("validation.requests"), Topic("validation.results"),
-        Topic("anomaly.events"), Topic("baseline.updates", compacted=True), Topic("metrics"), Topic("alerts"), Topic("notifications"),
-    )
-}
-
-
 def kafka_source(spark: SparkSession, servers: str, topic: str, most: int = 10_000) -> DataFrame:
     """A stream of a topic: key, value, topic, partition, offset, timestamp, headers."""
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("includeHeaders", "true").option("maxOffsetsPerTrigger", most).load()

@@ -23,19 +23,29 @@ def point(df: DataFrame, key: str | int) -> DataFrame:
     return df.where(F.col("id") == key)
 
 
-def upsert(df: DataFrame, changes: DataFrame) -> DataFrame:
-    """The last write of a key wins: rows of `changes` take the place of those with their id."""
-    return df.join(changes.select("id"), "id", "left_anti").select(*df.columns).unionByName(changes)
+def upsert(df: DataFrame, changes: DataFrame, version: str | None = None) -> DataFrame:
+    """The last write of a key wins: rows of `changes` take the place of those with their id.
+
+    Of several changes of a key the one of the greatest `version` is the last, then the greatest by all columns in order.
+    """
+    last = latest(changes, version)
+    return df.join(last.select("id"), "id", "left_anti").select(*df.columns).unionByName(last)
 
 
 def delete(df: DataFrame, keys: DataFrame) -> DataFrame:
     return df.join(keys.select("id"), "id", "left_anti").select(*df.columns)
 
 
-def latest(df: DataFrame, version: str) -> DataFrame:
-    """Of an append-only table, each key's row of the greatest version."""
-    w = Window.partitionBy("id").orderBy(F.col(version).desc())
-    return df.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+def latest(df: DataFrame, version: str | None = None) -> DataFrame:
+    """Of an append-only table, each key's row of the greatest version; ties, and all rows without one, go by the other columns in order.
+
+    An aggregate, so a key's many rows are reduced before they are shuffled.
+    """
+    order = [c for c in ([version] if version else []) + [c for c in df.columns if c not in ("id", version)]]
+    if not order:
+        return df.distinct()
+    last = df.groupBy("id").agg(F.max(F.struct(*order)).alias("__last"))
+    return last.select("id", "__last.*").select(*df.columns)
 
 
 @dataclass(frozen=True)
@@ -67,14 +77,54 @@ def vector_search(df: DataFrame, query: Sequence[float], limit: int, condition:
     return scored.orderBy("distance", key).limit(limit)
 
 
-def cell_index(df: DataFrame, planes: int = 8, seed: int = 7) -> DataFrame:
-    """df with `cell`, the signs of its vectors against random planes: an index to probe, every row in one cell."""
-    import numpy as np
+@dataclass(frozen=True)
+class Cells:
+    """A vector index: signs against random planes, `planes` in each of `tables` independent ones; every row is in one cell of each."""
+
+    planes: int = 8
+    tables: int = 8
+    seed: int = 7
+
+    def normals(self, dim: int):
+        import numpy as np
+
+        return np.random.default_rng(self.seed).standard_normal((self.tables, self.planes, dim))
+
+    def index(self, df: DataFrame, dim: int) -> DataFrame:
+        """df with `cells`, one number a table."""
+        return df.withColumn("cells", F.array(*[self._cell(F.col("embedding"), planes) for planes in self.normals(dim)]))
+
+    def _cell(self, v: Column, planes) -> Column:
+        bits = [F.when(vector.dot(v, vector.literal(p.tolist())) > 0, 1 << i).otherwise(0) for i, p in enumerate(planes)]
+        return reduce(lambda a, b: a + b, bits)
 
-    dim = df.select(F.max(F.size("embedding"))).first()[0] or 0
-    random = np.random.default_rng(seed).standard_normal((planes, dim))
-    bits = [F.when(vector.dot(F.col("embedding"), vector.literal(p.tolist())) > 0, 1 << i).otherwise(0) for i, p in enumerate(random)]
-    return df.withColumn("cell", reduce(lambda a, b: a + b, bits))
+    def probes(self, cells: Column, flips: int = 1) -> Column:
+        """(table, cell) of a query's cells and of those that differ in at most `flips` planes."""
+        from itertools import combinations
+
+        masks = [sum(1 << i for i in c) for k in range(flips + 1) for c in combinations(range(self.planes), k)]
+        return F.flatten(F.transform(cells, lambda c, t: F.array(*[F.struct(t.alias("table"), c.bitwiseXOR(F.lit(m)).alias("cell")) for m in masks])))
+
+
+def probe_search(queries: DataFrame, indexed: DataFrame, cells: Cells, limit: int, flips: int = 1) -> DataFrame:
+    """query, id, distance, rank: the nearest rows of the probed cells for every row of `queries` (id, embedding, cells).
+
+    A probed row is compared once a query. Exact distances of what the cells give; `vector_search` is the exact search.
+    """
+    asked = queries.select(F.col("id").alias("query"), F.col("embedding").alias("wanted"), F.explode(cells.probes(F.col("cells"), flips)).alias("p")).select("query", "wanted", "p.*")
+    rows = indexed.select("id", "embedding", F.posexplode("cells").alias("table", "cell"))
+    pairs = asked.select("query", "table", "cell").join(rows.select("id", "table", "cell"), ["table", "cell"]).select("query", "id").distinct()
+    both = pairs.join(queries.select(F.col("id").alias("query"), F.col("embedding").alias("wanted")), "query").join(indexed.select("id", "embedding"), "id")
+    scored = both.select("query", "id", vector.cosine_distance(F.col("embedding"), F.col("wanted")).alias("distance")).where("distance is not null")
+    w = Window.partitionBy("query").orderBy("distance", "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def hybrid_search(df: DataFrame, query: Sequence[float] | None, condition: InvoiceFilter, limit: int) -> DataFrame:
+    """The rows that pass the filter: the nearest to a vector where there is one, else the first by id."""
+    if query is None:
+        return scan(df.where(condition.condition()), limit)
+    return vector_search(df, query, limit, condition.condition())
 
 
 # tiers
@@ -111,9 +161,22 @@ class Retention:
 
 def sweep(df: DataFrame, policy: Retention, as_of: date, at: str = "invoice_date") -> DataFrame:
     """df with what the policy does to each row: its tier by age (strictly less), or a delete."""
+    return df.withColumn("action", _action(policy, as_of, at))
+
+
+def _action(policy: Retention, as_of: date, at: str) -> Column:
     age = F.datediff(F.lit(as_of), F.col(at))
     last = "hard_delete" if policy.hard_delete else "soft_delete"
-    return df.withColumn("action", F.when(age < policy.hot_days, "hot").when(age < policy.warm_days, "warm").when(age < policy.cold_days, "cold").otherwise(last))
+    return F.when(age < policy.hot_days, "hot").when(age < policy.warm_days, "warm").when(age < policy.cold_days, "cold").otherwise(last)
+
+
+def sweep_by_type(df: DataFrame, policies: dict[str, Retention], as_of: date, kind: str = "resource_type", at: str = "invoice_date") -> DataFrame:
+    """As `sweep`, each row by the policy of its resource type; rows of a type without one are kept hot."""
+    names = F.col(kind)
+    action = F.lit("hot")
+    for name, policy in policies.items():
+        action = F.when(names == name, _action(policy, as_of, at)).otherwise(action)
+    return df.withColumn("action", action)
 
 
 def sweep_statistics(swept: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -157,6 +220,51 @@ def anomaly_statistics(df: DataFrame) -> DataFrame:
     return one("severity").union(one("status")).union(one("anomaly_type")).union(total)
 
 
+def update_anomalies(df: DataFrame, changes: DataFrame) -> DataFrame:
+    """df with the status, resolver, time and notes of `changes` (id, status, resolved_by, resolved_at, resolution_notes) in place."""
+    names = ("status", "resolved_by", "resolved_at", "resolution_notes")
+    new = latest(changes.select("id", *names), "resolved_at").select(F.col("id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in names])
+    joined = df.join(new, F.col("id") == F.col("__id"), "left")
+    known = F.col("__id").isNotNull()
+    return joined.select(*[F.when(known, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+def clean_anomalies(df: DataFrame, before, closed: Sequence[str] = ("Resolved", "Dismissed")) -> DataFrame:
+    """df without the closed anomalies that were found before a time."""
+    return df.where(~(F.col("status").isin(*closed) & (F.col("detected_at") < F.lit(before))))
+
+
+def store_baselines(df: DataFrame, computed: DataFrame) -> DataFrame:
+    """The baseline table with newly computed rows (id, ..., computed_at): the newest of an id stays."""
+    return upsert(df, computed, "computed_at")
+
+
+def computed_baselines(statistics: DataFrame, vendor: str, metric: str, now, days: int = 1, period: str = "r90") -> DataFrame:
+    """Rows for the baseline table from `baseline.statistics`: with id, metric, period, computed_at and expires_at."""
+    at = F.lit(now).cast("timestamp")
+    key = baseline_key(F.col(vendor), F.lit(metric), period)
+    return statistics.select(key.alias("id"), "*", F.lit(metric).alias("metric_name"), F.lit(period).alias("period"), at.alias("computed_at"), (at + F.make_dt_interval(F.lit(days))).alias("expires_at"))
+
+
+def list_documents(df: DataFrame, kind: str | None = None, vendor: str | None = None, status: str | None = None, since: date | None = None, until: date | None = None, page: int | None = None, page_size: int = 50, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A page of documents, newest first: by type, vendor, status and date where they are given."""
+    parts = [(kind, lambda v: F.col("type") == v), (vendor, lambda v: F.contains("vendor_name", F.lit(v))), (status, lambda v: F.col("status") == v), (since, lambda v: F.col("date") >= F.lit(v)), (until, lambda v: F.col("date") <= F.lit(v))]
+    found = df.where(reduce(lambda a, b: a & b, [f(v) for v, f in parts if v is not None], F.lit(True)))
+    if page is not None:
+        limit, offset = fields.page_offset(page, page_size)
+    return found.orderBy(F.desc("date"), "id").offset(offset).limit(min(page_size if limit is None else limit, 1000))
+
+
+def system_statistics(invoices: DataFrame, contracts: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """One row: documents, invoices, contracts, the sum of all amounts, anomalies, and the share of open ones in percent."""
+    a = invoices.agg(F.count("*").alias("invoices"), F.sum("total_amount").alias("total_amount"))
+    b = contracts.agg(F.count("*").alias("contracts"))
+    c = anomalies.agg(F.count("*").alias("anomalies"), F.count_if(F.col("status") == "Open").alias("open"))
+    one = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))  # one row each
+    rate = F.coalesce(F.try_divide(100.0 * F.col("open"), F.col("anomalies")), F.lit(0.0))
+    return one.select((F.col("invoices") + F.col("contracts")).alias("documents"), "invoices", "contracts", "total_amount", "anomalies", rate.alias("open_anomaly_rate"))
+
+
 def live_baselines(df: DataFrame, now) -> DataFrame:
     return df.where(F.col("expires_at") >= F.lit(now))
 

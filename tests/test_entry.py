@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["top_k", "zip_left_orphans", "agg_first_last", "validate_all", "baseline_percentiles", "graph_related_contracts", "rollup_hourly", "vector_top_k", "bm25_top_k"]
+NAMES = ["top_k", "zip_left_orphans", "agg_first_last", "validate_all", "baseline_percentiles", "graph_related_contracts", "rollup_hourly", "vector_top_k", "bm25_top_k", "zip_inferred_left", "json_exists_or", "agg_expression", "fulltext_search", "fulltext_search_filtered", "anomaly_update", "system_stats", "baseline_rolling_90d"]
 
 
 def test_entry(spark):
@@ -29,6 +29,6 @@ def test_against_duckdb(spark, name):
 
 
 def test_traverse_sees_all_invoices(spark):
-    got = entry.queries()["graph_traverse_all"](spark, SF)
+    got = entry.queries()["graph_traverse_depth2"](spark, SF)
     assert got.count() == entry.queries()["count_rows"](spark, SF).first().n
-    test_against_duckdb(spark, "graph_traverse_all")
+    test_against_duckdb(spark, "graph_traverse_depth2")

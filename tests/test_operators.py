@@ -107,7 +107,8 @@ def test_formats(spark, tmp_path):
     df = spark.createDataFrame([('a "q"', "x,y", 1)], "a string, b string, c int")
     assert df.select(formats.csv_line(df).alias("l")).first().l == 'a "q","x,y",1'.replace('a "q"', '"a ""q"""')
     docs = spark.createDataFrame([(1, "quick fox"), (2, "lazy dog lazy")], "id long, text string")
-    assert [r.id for r in formats.search(formats.postings(docs, "text"), "lazy cat", 5, 2, 2.5).collect()] == [2]
+    found = formats.index(docs, "invoices", ["text"])
+    assert [r.key for r in formats.search(found, "lazy cat", 5).collect()] == [2]
 
 
 def test_streams_equal_batch(spark, tmp_path):
