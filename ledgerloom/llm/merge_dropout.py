@@ -119,25 +119,27 @@ def skipped(key: np.ndarray, borders: np.ndarray, rate: float) -> np.ndarray:
     return mix(key ^ borders) < U(int(rate * 2**64))
 
 
-def _borders(ids: np.ndarray, pieces: Pieces) -> np.ndarray:
+def _borders(ids: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
     """row, low, middle, high of all candidates that equally long segments can have, by row."""
     n, width = ids.shape
-    span = np.full((n, width + 1, width + 1), -1, np.int32)
+    span = np.full((n, width + 1, width + 1), -1, np.int32)  # the piece from low to high, -1 where there is none
     at = np.arange(width)
     span[:, at, at + 1] = ids
     found = []
     for size in range(2, width + 1):
-        for low in range(width - size + 1):
-            high = low + size
-            for middle in range(low + 1, high):
-                r = np.flatnonzero((span[:, low, middle] >= 0) & (span[:, middle, high] >= 0))
-                if len(r):
-                    piece = pieces.join(span[r, low, middle], span[r, middle, high])
-                    r, piece = r[piece >= 0], piece[piece >= 0]
-                    span[r, low, high] = piece
-                    found.append(np.stack([r, np.full(len(r), low), np.full(len(r), middle), np.full(len(r), high)]))
-    all_ = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
-    return all_[:, np.lexsort(all_[::-1])]
+        low = np.arange(width - size + 1)
+        for left in range(1, size):
+            a, b = span[:, low, low + left], span[:, low + left, low + size]
+            r, k = np.nonzero((a >= 0) & (b >= 0))
+            if len(r):
+                piece = pieces.join(a[r, k], b[r, k])
+                known = piece >= 0
+                r, k = r[known], k[known]
+                span[r, k, k + size] = piece[known]
+                found.append((r, k, k + left, k + size))
+    out = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
+    order = np.argsort(out[0], kind="stable")
+    return [x[order] for x in out]
 
 
 def _agendas(ids: np.ndarray, skips: np.ndarray, pieces: Pieces) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -363,7 +365,7 @@ def encode_documents(documents: DataFrame, path: str = MODEL, dropout: Dropout =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces.value
         for batch in batches:
-            for block in blocks(batch, most=1 << 21):
+            for block in blocks(batch, most=1 << 22):
                 text = block.column("text")
                 ids, first = encode(text, np.asarray(block.column("number"), np.int64), known, dropout)
                 data, offsets = raw(text)
