@@ -1,4 +1,4 @@
-"""Rows of packed arrays, and whole groups of sorted Arrow rows."""
+"""Rows of packed arrays, whole groups of sorted Arrow rows, and spans that find their documents."""
 
 from __future__ import annotations
 
@@ -7,7 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from ledgerloom.llm._text import pack, unpack
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerloom.llm._shared import cut
+from ledgerloom.llm._text import pack, part_of, unpack
+
+#: doc_id, number of the text where a doc_id has several, first byte or word, and how many.
+SPAN = (("doc", np.int64), ("text", np.int64), ("low", np.int32), ("size", np.int32))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -66,3 +73,79 @@ def covered(n: int, low: np.ndarray, size: np.ndarray) -> np.ndarray:
 def pieces(total: int, each: int) -> int:
     """How many buckets or parts `total` bytes make: of `each` at most, and of less where that would keep few tasks busy."""
     return max(1, -(-total // each), min(64, total >> 20))
+
+
+def packed_types(kinds: tuple) -> dict[str, pa.DataType]:
+    return {name: pa.binary() for name, _ in kinds}
+
+
+def packed_sql(kinds: tuple) -> str:
+    return ", ".join(f"{name} binary" for name, _ in kinds)
+
+
+def filled(batch: pa.RecordBatch, schema: dict[str, pa.DataType], **same) -> pa.RecordBatch:
+    """The batch with all columns of the schema: its own, those in `same`, or null."""
+    n = batch.num_rows
+    return pa.record_batch([batch.column(k) if k in batch.schema.names else pa.array([same.get(k)] * n, t) for k, t in schema.items()], names=list(schema))
+
+
+def deal(spans: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of spans by the part of their document."""
+    yield from packed_rows(part_of(spans[0].astype(np.int64) ^ spans[1].astype(np.int64), parts), spans, SPAN)
+
+
+def by_document(more: tuple[str, ...] = ()):
+    """Of whole parts: a row for each document, its spans packed; merged, unless rows have more columns, numbers that hold for all their spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ("key",)):
+            for table in by_key(table):
+                doc, text, low, size = unpacked(table, SPAN)
+                counts = [len(x) // 8 for x in table.column("doc").to_pylist()]
+                others = [np.repeat(np.array(table.column(k).to_pylist(), np.int64), counts) for k in more]
+                order = np.lexsort((low, text, doc))
+                doc, text, low, size, *others = (x[order] for x in (doc, text, low, size, *others))
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+                if not more and len(doc):
+                    # spans that touch or overlap are one
+                    number = np.cumsum(new)
+                    reach = np.maximum.accumulate((low + size).astype(np.int64) + number * (1 << 32)) - number * (1 << 32)
+                    apart = new.copy()
+                    apart[1:] |= low[1:] > reach[:-1]
+                    first = np.flatnonzero(apart)
+                    size = (reach[np.append(first[1:], len(doc)) - 1] - low[first]).astype(np.int32)
+                    doc, text, low, new = doc[first], text[first], low[first], new[first]
+                edges = np.append(np.flatnonzero(new), len(doc)).tolist()
+                packed = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in (low, size, *others)]
+                yield pa.record_batch({"doc": doc[edges[:-1]], "hash": text[edges[:-1]]} | {k: pa.array(v, pa.binary()) for k, v in zip(("low", "size", *more), packed, strict=True)})
+
+    return run
+
+
+def grouped(rows: DataFrame, pieces: int, most_tasks: int) -> DataFrame:
+    """Rows of each key together, one key after the other; tasks sort them on disk, so their number needn't be that of the keys."""
+    return rows.repartition(min(pieces, most_tasks), "key").sortWithinPartitions("key")
+
+
+def spans_of(rows: DataFrame, pieces: int, most_tasks: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc, hash, low, size (and more), packed, of each document that rows of spans name."""
+    return grouped(rows, pieces, most_tasks).mapInArrow(by_document(more), "doc long, hash long, " + packed_sql((("low", 0), ("size", 0), *((k, 0) for k in more))))
+
+
+def identified(documents: DataFrame) -> DataFrame:
+    """documents with __id and __hash, which tell their texts apart: by hash where a doc_id has several, else the number is 0 and weighs nothing."""
+    own = documents.withColumn("__id", F.col("doc_id").cast("long"))
+    texts = own.where("__id is not null").groupBy("__id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    several = cut(texts.where("a <> b").select(F.col("__id").alias("__several")))
+    if not several.head(1):
+        return own.withColumn("__hash", F.lit(0).cast("long"))
+    joined = own.join(several, F.col("__id") == F.col("__several"), "left")
+    return joined.withColumn("__hash", F.when(F.col("__several").isNull(), 0).otherwise(F.xxhash64("text"))).drop("__several")
+
+
+def with_spans(own: DataFrame, found: DataFrame) -> DataFrame:
+    """Identified documents with __low and __size, the packed spans of each row; rows without a doc_id have none."""
+    spans = found.select(F.col("doc").alias("__id"), F.col("hash").alias("__hash"), F.col("low").alias("__low"), F.col("size").alias("__size"))
+    joined = own.where("__id is not null").join(spans, ["__id", "__hash"], "left")
+    return joined.unionByName(own.where("__id is null"), allowMissingColumns=True).drop("__id", "__hash")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import json
 import re
 import shutil
@@ -42,18 +41,29 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder."""
+    """Cuts the lineage with a checkpoint in the shared folder; the shuffle files of its plan are removed with the job's end."""
     spark = df.sparkSession
     at = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
-    out = df.checkpoint()
-    # the driver's collector frees the shuffle files of plans that nothing refers to any more, this one's too
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def drop(df: DataFrame) -> None:
+    """Removes the files of a DataFrame that `cut` gave and nothing reads any more."""
+    found = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if found.isDefined():
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(found.get())
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def rows_of_literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import cut
+from ledgerloom.llm._shared import cut, drop
 
 
 def _unsettled(edges: DataFrame) -> bool:
@@ -32,5 +32,6 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours are linked to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u")
-        edges = cut(small.select("u", F.col("low").alias("v")).union(small.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))).distinct())
+        before, edges = edges, cut(small.select("u", F.col("low").alias("v")).union(small.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))).distinct())
+        drop(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())

@@ -49,15 +49,16 @@ def _first_ranks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return order, new, length
 
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """All suffixes in order.
+def suffix_array(data: np.ndarray, repeated: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order, and which of them may have their first `repeated` bytes in common with another.
 
     Ranks start from a few bytes. Each round doubles the sorted length, and only groups of more than one suffix are
-    sorted again, by the rank of the suffix that much further on.
+    sorted again, by the rank of the suffix that much further on; those that are open at a length up to `repeated` may.
     """
     n = len(data)
+    shared = np.ones(n, bool)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), shared
     order, new, length = _first_ranks(data)
     rank = np.zeros(n + 1, np.int64)  # the empty suffix is the least
     start = np.flatnonzero(new)
@@ -66,6 +67,9 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     rank[order] = np.repeat(start + size, size)
     open_at = np.flatnonzero(np.repeat(size > 1, size))
     while len(open_at):
+        if length <= repeated:
+            shared[:] = False
+            shared[order[open_at]] = True
         members = order[open_at]
         again, new = _sorted_places(rank[members], rank[np.minimum(members + length, n)], n)
         members = members[again]
@@ -75,7 +79,9 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         rank[members] = np.repeat(open_at[start + size - 1] + 1, size)
         open_at = open_at[np.repeat(size > 1, size)]
         length *= 2
-    return order
+    if length <= repeated:
+        shared[:] = False
+    return order, shared
 
 
 def _lanes(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,17 +92,24 @@ def _lanes(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[text] + k * LANE, np.minimum(sizes[text] - k * LANE, LANE)
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int, asked: np.ndarray | None = None) -> np.ndarray:
     """For each place in `order`, the common prefix with the suffix before it, at most `most`.
 
     Kasai's bound: from a suffix to the one a byte on, the prefix shrinks by one at most, so it is only extended from
-    there. The texts (starts, sizes) are cut into lanes that take their steps together, one place a step.
+    there. The texts (starts, sizes) are cut into lanes that take their steps together, one place a step. Lanes in which no
+    place is asked for stay 0.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    # the eight bytes from each place on, the first one lowest, so that the lowest bit that differs counts the equal bytes
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8).view("<u8").reshape(-1).copy()
     out = np.zeros(n, np.int64)  # by place in the data
     starts, sizes = _lanes(starts, sizes)
+    if asked is not None:
+        upto = np.append(0, np.cumsum(asked))
+        some = upto[starts + sizes] > upto[starts]
+        starts, sizes = starts[some], sizes[some]
     longest_first = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[longest_first], sizes[longest_first]
     have = np.zeros(len(starts), np.int64)
@@ -104,17 +117,23 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, siz
         live = int(np.searchsorted(-sizes, -step, "left"))  # lanes longer than step
         at = starts[:live] + step
         other = before[at]
-        room = np.where(other >= 0, np.minimum(n - np.maximum(at, other), most), 0)
-        h = np.minimum(np.maximum(have[:live] - 1, 0), room)
-        todo = np.flatnonzero(h < room)
-        a, b, left = at[todo] + h[todo], other[todo] + h[todo], room[todo] - h[todo]
-        length = np.zeros(len(todo), np.int64)
-        k = np.arange(len(todo))
+        h = have[:live]
+        h -= 1
+        np.maximum(h, 0, out=h)
+        room = np.minimum(n - np.maximum(at, other), most)
+        if other.min() < 0:  # the least suffix has none before it
+            room[other < 0] = 0
+        np.minimum(h, room, out=h)
+        k = np.flatnonzero(h < room)
+        a, b = at[k], other[k]
         while len(k):
-            k = k[data[a[k] + length[k]] == data[b[k] + length[k]]]
-            length[k] += 1
-            k = k[length[k] < left[k]]
-        h[todo] += length
+            done = h[k]
+            differ = eight[a + done] ^ eight[b + done]
+            same = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3
+            done += same
+            h[k] = np.minimum(done, room[k])
+            more = np.flatnonzero(same == 8)
+            more = more[done[more] < room[k[more]]]
+            k, a, b = k[more], a[more], b[more]
         out[at] = h
-        have[:live] = h
     return out[order]

@@ -8,7 +8,7 @@ A byte goes if a `width`-byte string that covers it also starts in a document of
 2. Only the smallest document's places of a string go on, to be merged across shards. Not all of them must: every string
    picks an anchor, a `gram`-byte string in it, by its content alone, so equal strings of different shards have equal
    anchors at equal places, and a string whose anchor no other shard has is settled. Each anchor's hash goes, with a hash of
-   its context (the bytes of all the undecided strings that picked it), as packed and sorted lists to buckets of anchors.
+   its context (the bytes of all the strings that picked it, some of them undecided), as packed and sorted lists to buckets of anchors.
    There contexts equal to one of a smaller doc_id are decided; contexts that differ but share an anchor stay open.
 3. Open contexts fetch their bytes and are suffix-sorted again, in shards of whole anchor groups. A group larger than a
    shard is split, and what its shards leave undecided, one entry a shard and string, is merged by binary search among
@@ -39,9 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._anchors import anchors
-from ledgerloom.llm._groups import by_key, covered, packed_rows, pieces, unpacked, whole_groups
+from ledgerloom.llm._groups import SPAN, by_key, covered, deal, filled, grouped, identified, packed_rows, packed_sql, packed_types, pieces, spans_of, unpacked, whole_groups, with_spans
 from ledgerloom.llm._shared import cut
-from ledgerloom.llm._text import U, blocks, mix, pack, part_of, raw, run_hashes, unpack, window_hashes
+from ledgerloom.llm._text import U, blocks, mix, pack, raw, run_hashes, window_hashes
 from ledgerloom.llm.suffix_arrays import common_prefixes, suffix_array
 
 
@@ -49,40 +49,23 @@ from ledgerloom.llm.suffix_arrays import common_prefixes, suffix_array
 class Repeats:
     width: int = 50
     gram: int = 20
-    shard_bytes: int = 2_000_000
+    shard_bytes: int = 1_000_000
     #: Bytes of text for each bucket of anchors and for each part of the documents.
     bucket_bytes: int = 12 << 20
     part_bytes: int = 16 << 20
     most_tasks: int = 20_000
 
 
-_SPAN = (("doc", np.int64), ("text", np.int64), ("low", np.int32), ("size", np.int32))
-_OCCURRENCE = (("doc", np.int64), ("text", np.int64), ("low", np.int32), ("size", np.int32), ("fp", U), ("context", U))
-_ASK = (*_SPAN, ("fp", U))
+#: A context has less than 2 * width - gram bytes.
+_OCCURRENCE = (*SPAN[:3], ("size", np.uint16), ("fp", U), ("context", U))
 
 
-def _packed(kinds: tuple) -> dict[str, pa.DataType]:
-    return {name: pa.binary() for name, _ in kinds}
-
-
-def _sql(kinds: tuple) -> str:
-    return ", ".join(f"{name} binary" for name, _ in kinds)
-
-
-def _deal(spans: list[np.ndarray], parts: int, kinds: tuple = _SPAN) -> Iterator[pa.RecordBatch]:
-    """Rows of spans by the part of their document."""
-    yield from packed_rows(part_of(spans[0].astype(np.int64) ^ spans[1].astype(np.int64), parts), spans, kinds)
-
-
-def _first_copies(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, text: np.ndarray) -> np.ndarray:
+def _first_copies(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each row the row of the smallest doc that holds the same bytes."""
-    size = np.diff(offsets)
-    order = np.lexsort((doc, size, text))
+    joined, at, seen = data.tobytes(), offsets.tolist(), {}
     out = np.arange(len(doc))
-    for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
-        first = out[a]
-        if text[a] == text[b] and size[a] == size[b] and (data[offsets[first] : offsets[first + 1]] == data[offsets[b] : offsets[b + 1]]).all():
-            out[b] = first
+    for i in np.argsort(doc, kind="stable").tolist():
+        out[i] = seen.setdefault(joined[at[i] : at[i + 1]], i)
     return out
 
 
@@ -97,21 +80,26 @@ def _scan(repeats: Repeats, buckets: int, parts: int):
 
     def shard(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, text: np.ndarray) -> Iterator[pa.RecordBatch]:
         size = np.diff(offsets)
-        first = _first_copies(data, offsets, doc, text)
+        first = _first_copies(data, offsets, doc)
         copy = np.flatnonzero((doc > doc[first]) & (size >= width))
         own = np.flatnonzero((first == np.arange(len(doc))) & (size >= width))
         spans = [[doc[copy], text[copy], np.zeros(len(copy)), size[copy]]]
         data = np.concatenate([data[a:b] for a, b in zip(offsets[own].tolist(), offsets[own + 1].tolist(), strict=True)] or [data[:0]])
         doc, text, size = doc[own], text[own], size[own]
         starts = np.cumsum(size) - size
-        of, offset, _, least = repeated_strings(data, size, doc, width)
-        gone = ~least
-        spans.append(_runs(of[gone], offset[gone], doc, text, np.zeros(len(doc), np.int64), width))
-        yield from _scanned(_deal([np.concatenate(x) for x in zip(*spans, strict=True)], parts), decided=True)
-        open_ = np.zeros(max(0, len(data) - width + 1), bool)
-        open_[starts[of[least]] + offset[least]] = True
-        at, low, high = anchors(window_hashes(data, repeats.gram), width - repeats.gram + 1, open_)
-        fp = window_hashes(data, repeats.gram)[at]
+        place, gone = repeated_strings(data, size, doc, width)
+        spans.append(_runs(place[gone], starts, doc, text, np.zeros(len(doc), np.int64), width))
+        yield from _scanned(deal([np.concatenate(x) for x in zip(*spans, strict=True)], parts), decided=True)
+        valid, undecided = np.zeros((2, max(0, len(data) - width + 1)), bool)
+        valid[place] = True
+        undecided[place[~gone]] = True
+        h = window_hashes(data, repeats.gram)
+        at, low, high = anchors(h, width - repeats.gram + 1, valid)
+        # whole contexts, as they are alike in all shards, but for those whose strings are all decided
+        upto = np.append(0, np.cumsum(undecided, dtype=np.int64))
+        some = upto[high + 1] > upto[low]
+        at, low, high = at[some], low[some], high[some]
+        fp = h[at]
         context = run_hashes(data, low, high + width) ^ mix((at - low).astype(U))
         row = np.searchsorted(starts, low, "right") - 1
         # sorted lists, and of equal contexts of one document one record: the others are decided with it or not at all
@@ -136,8 +124,8 @@ def _decide(repeats: Repeats, parts: int):
         for table in whole_groups(batches, ("key",)):
             for table in by_key(table):
                 if int(table.column("key")[0].as_py()) < 0:
-                    for b in _deal(unpacked(table, _SPAN), parts):
-                        yield _as(b, kind=0, shard=None, split=None)
+                    for b in deal(unpacked(table, SPAN), parts):
+                        yield filled(b, _DECIDED, kind=0)
                 else:
                     yield from bucket(int(table.column("key")[0].as_py()), *unpacked(table, _OCCURRENCE))
 
@@ -162,8 +150,8 @@ def _decide(repeats: Repeats, parts: int):
         np.minimum.at(least, group[new], first[new])
         np.maximum.at(most, group[new], first[new])
         k = k[~decided & ((contexts > 1) & (least < most))[group]]
-        for b in _deal([x[gone] for x in (doc, text, low, size)], parts):
-            yield _as(b, kind=0, shard=None, split=None)
+        for b in deal([x[gone] for x in (doc, text, low, size)], parts):
+            yield filled(b, _DECIDED, kind=0)
         # open contexts go to shards in the order of their anchors
         upto = np.cumsum(size[k].astype(np.int64))
         new_fp = np.ones(len(k), bool)
@@ -177,50 +165,14 @@ def _decide(repeats: Repeats, parts: int):
         for shard in np.unique(where).tolist():
             for split in (False, True):
                 j = k[(where == shard) & (large[group] == split)]
-                for b in _deal([x[j] for x in (doc, text, low, size, fp)], parts, _ASK):
-                    yield _as(b, kind=1, shard=(key << 24) + shard, split=split)
+                for b in deal([x[j] for x in (doc, text, low, size)], parts):
+                    yield filled(b, _DECIDED, kind=1, shard=(key << 24) + shard, split=split)
 
     return run
 
 
-_DECIDED = {"key": pa.int32(), "kind": pa.int32(), "shard": pa.int64(), "split": pa.bool_()} | _packed(_ASK)
-_DECIDED_SQL = "key int, kind int, shard long, split boolean, " + _sql(_ASK)
-
-
-def _as(batch: pa.RecordBatch, **same) -> pa.RecordBatch:
-    n = batch.num_rows
-    return pa.record_batch([batch.column(k) if k in batch.schema.names else pa.array([same.get(k)] * n, kind) for k, kind in _DECIDED.items()], names=list(_DECIDED))
-
-
-def _by_document(kinds: tuple, asks: bool):
-    """Of whole parts: a row for each document, its spans or asks packed, those of spans merged."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ("key",)):
-            for table in by_key(table):
-                doc, text, low, size, *more = unpacked(table, kinds)
-                if asks:
-                    counts = [len(x) // 8 for x in table.column("doc").to_pylist()]
-                    more += [np.repeat(np.array(table.column(k).to_pylist(), np.int64), counts) for k in ("shard", "split")]
-                order = np.lexsort((low, text, doc))
-                doc, text, low, size, *more = (x[order] for x in (doc, text, low, size, *more))
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
-                if not asks and len(doc):
-                    # spans that touch or overlap are one
-                    number = np.cumsum(new)
-                    reach = np.maximum.accumulate((low + size).astype(np.int64) + number * (1 << 32)) - number * (1 << 32)
-                    apart = new.copy()
-                    apart[1:] |= low[1:] > reach[:-1]
-                    first = np.flatnonzero(apart)
-                    size = (reach[np.append(first[1:], len(doc)) - 1] - low[first]).astype(np.int32)
-                    doc, text, low, new = doc[first], text[first], low[first], new[first]
-                edges = np.append(np.flatnonzero(new), len(doc)).tolist()
-                packed = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in (low, size, *more)]
-                names = ["low", "size", *(("fp", "shard", "split") if asks else ())]
-                yield pa.record_batch({"doc": doc[edges[:-1]], "hash": text[edges[:-1]]} | {k: pa.array(v, pa.binary()) for k, v in zip(names, packed, strict=True)})
-
-    return run
+_DECIDED = {"key": pa.int32(), "kind": pa.int32(), "shard": pa.int64(), "split": pa.bool_()} | packed_types(SPAN)
+_DECIDED_SQL = "key int, kind int, shard long, split boolean, " + packed_sql(SPAN)
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,10 +180,10 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch):
             data, offsets = raw(block.column("text"))
-            low, size, fp, shard, split = (np.concatenate([np.frombuffer(x, kind) for x in block.column(k).to_pylist()]) for k, kind in _FETCH)
+            low, size, shard, split = (np.concatenate([np.frombuffer(x, kind) for x in block.column(k).to_pylist()]) for k, kind in _FETCH)
             row = np.repeat(np.arange(block.num_rows), [len(x) // 4 for x in block.column("low").to_pylist()])
             doc, text = (np.asarray(block.column(k), np.int64)[row] for k in ("doc", "hash"))
-            order = np.lexsort((fp, split, shard))
+            order = np.lexsort((split, shard))
             start = offsets[row] + low
             new = np.ones(len(order), bool)
             new[1:] = (shard[order][1:] != shard[order][:-1]) | (split[order][1:] != split[order][:-1])
@@ -240,52 +192,48 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(([shard[k[0]]], [bool(split[k[0]])], *([pack(x[k])] for x in (doc, text, low, size)), [joined]), _FETCHED.values(), strict=True)], names=list(_FETCHED))
 
 
-_FETCH = (("low", np.int32), ("size", np.int32), ("fp", U), ("shard", np.int64), ("split", np.int64))
-_FETCHED = {"key": pa.int64(), "split": pa.bool_()} | _packed(_SPAN) | {"bytes": pa.binary()}
+_FETCH = (("low", np.int32), ("size", np.int32), ("shard", np.int64), ("split", np.int64))
+_FETCHED = {"key": pa.int64(), "split": pa.bool_()} | packed_types(SPAN) | {"bytes": pa.binary()}
 
 
-def repeated_strings(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, offset, string, is of the smallest doc) of every `width`-byte string of the texts in data, by string in order."""
+def repeated_strings(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in data, whether a smaller doc has it) of every `width`-byte string of the texts in data, in the order of strings."""
     starts = np.cumsum(sizes) - sizes
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    order = suffix_array(data)
-    prefix = common_prefixes(data, order, starts, sizes, width)
-    whole = (np.arange(len(data)) - starts[text] + width <= sizes[text])[order]
-    place = np.flatnonzero(whole)
-    string = np.cumsum(_first_of_string(prefix, place, width)) - 1
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    whole = np.zeros(len(data), bool)
+    whole[: max(0, len(data) - width + 1)] = text[: len(data) - width + 1] == text[width - 1 :] if len(data) >= width else False
+    order, shared = suffix_array(data, width)
+    prefix = common_prefixes(data, order, starts, sizes, width, shared)
+    place = np.flatnonzero(whole[order])
     at = order[place]
-    owner = doc[text[at]]
+    # a string begins where the least prefix since the place before is below width
+    below = np.cumsum(prefix < width, dtype=np.int32)[place]
+    new = np.ones(len(place) + 1, bool)
+    new[1:-1] = below[1:] != below[:-1]
+    gone = np.zeros(len(place), bool)
+    several = np.flatnonzero(~(new[:-1] & new[1:]))
+    string = np.cumsum(new[several]) - 1
+    owner = doc[text[at[several]]]
     least = np.full(int(string[-1]) + 1 if len(string) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, string, owner)
-    return text[at], at - starts[text[at]], string, owner == least[string]
+    gone[several] = owner > least[string]
+    return at, gone
 
 
-def _first_of_string(prefix: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
-    """Whether each place begins a new string: the least prefix since the place before is below width."""
-    below = np.cumsum(prefix < width)
-    out = np.ones(len(place), bool)
-    out[1:] = below[place[1:]] != below[place[:-1]]
-    return out
-
-
-def _runs(of: np.ndarray, offset: np.ndarray, doc: np.ndarray, text: np.ndarray, low: np.ndarray, width: int) -> list[np.ndarray]:
-    """Spans of strings at consecutive offsets of the texts `of`."""
-    order = np.lexsort((offset, of))
-    of, offset = of[order], offset[order]
-    new = np.ones(len(of), bool)
-    new[1:] = (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)
+def _runs(at: np.ndarray, starts: np.ndarray, doc: np.ndarray, text: np.ndarray, low: np.ndarray, width: int) -> list[np.ndarray]:
+    """Spans of strings at consecutive places of the data; starts: where its texts begin."""
+    at = np.sort(at)
+    of = np.searchsorted(starts, at, "right") - 1
+    new = np.ones(len(at), bool)
+    new[1:] = (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(of)) - 1
-    return [doc[of[first]], text[of[first]], low[of[first]] + offset[first], offset[last] - offset[first] + width] if len(of) else [np.zeros(0, k) for _, k in _SPAN]
-
+    last = np.append(first[1:], len(at)) - 1
+    of, at, size = of[first], at[first], at[last] - at[first] + width if len(at) else at
+    return [doc[of], text[of], low[of] + at - starts[of], size]
 
-_SHARDED = {"key": pa.int32(), "kind": pa.int32()} | _packed(_SPAN) | {"strings": pa.binary()}
-_SHARDED_SQL = f"key int, kind int, {_sql(_SPAN)}, strings binary"
 
-
-def _of_shards(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
-    n = batch.num_rows
-    return pa.record_batch([batch.column(k) if k in batch.schema.names else pa.array([kind] * n if k == "kind" else [None] * n, t) for k, t in _SHARDED.items()], names=list(_SHARDED))
+_SHARDED = {"key": pa.int32(), "kind": pa.int32()} | packed_types(SPAN) | {"strings": pa.binary()}
+_SHARDED_SQL = f"key int, kind int, {packed_sql(SPAN)}, strings binary"
 
 
 def _sort_shards(repeats: Repeats, parts: int, merges: int):
@@ -295,25 +243,27 @@ def _sort_shards(repeats: Repeats, parts: int, merges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ("key",)):
             for table in by_key(table):
-                doc, text, low, size = unpacked(table, _SPAN)
+                doc, text, low, size = unpacked(table, SPAN)
                 data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
                 counts = [len(x) // 8 for x in table.column("doc").to_pylist()]
                 split = np.repeat(np.array(table.column("split").to_pylist(), bool), counts)
-                of, offset, _, least = repeated_strings(data, size.astype(np.int64), doc, width)
-                for b in _deal(_runs(of[~least], offset[~least], doc, text, low, width), parts):
-                    yield _of_shards(b, 0)
+                starts = np.cumsum(size, dtype=np.int64) - size
+                place, gone = repeated_strings(data, size.astype(np.int64), doc, width)
+                for b in deal(_runs(place[gone], starts, doc, text, low, width), parts):
+                    yield filled(b, _SHARDED, kind=0)
                 # undecided: for each string one entry a place of the smallest doc, in the order of strings
-                k = np.flatnonzero(least & split[of])
-                if len(k):
-                    start = (np.cumsum(size) - size)[of[k]] + offset[k]
+                start = place[~gone] if split.any() else place[:0]
+                of = np.searchsorted(starts, start, "right") - 1
+                start, of = start[split[of]], of[split[of]]
+                if len(start):
                     strings = data[start[:, None] + np.arange(width)[None, :]]
                     to = (window_hashes(strings.reshape(-1), width)[::width] % U(merges)).astype(np.int64)
                     order = np.argsort(to, kind="stable")
-                    k, to, strings = k[order], to[order], strings[order]
+                    start, of, to, strings = start[order], of[order], to[order], strings[order]
                     edges = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
                     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                        own = of[k[a:b]]
-                        packed = [pack(x) for x in (doc[own], text[own], (low[own] + offset[k[a:b]]).astype(np.int32))]
+                        own = of[a:b]
+                        packed = [pack(x) for x in (doc[own], text[own], (low[own] + start[a:b] - starts[own]).astype(np.int32))]
                         yield pa.record_batch([pa.array([x], t) for x, t in zip((int(to[a]), 1, *packed, None, strings[a:b].tobytes()), _SHARDED.values(), strict=True)], names=list(_SHARDED))
 
     return run
@@ -326,14 +276,14 @@ def _merge(repeats: Repeats, parts: int):
         for table in whole_groups(batches, ("key",)):
             for table in by_key(table):
                 strings = np.frombuffer(b"".join(table.column("strings").to_pylist()), f"S{repeats.width}")
-                doc, text, low = unpacked(table, _SPAN[:3])
+                doc, text, low = unpacked(table, SPAN[:3])
                 known = np.unique(strings)
                 at = np.searchsorted(known, strings)
                 least = np.full(len(known), np.iinfo(np.int64).max)
                 np.minimum.at(least, at, doc)
                 gone = doc > least[at]
-                for b in _deal([doc[gone], text[gone], low[gone], np.full(int(gone.sum()), repeats.width)], parts):
-                    yield _of_shards(b, 0)
+                for b in deal([doc[gone], text[gone], low[gone], np.full(int(gone.sum()), repeats.width)], parts):
+                    yield filled(b, _SHARDED, kind=0)
 
     return run
 
@@ -365,26 +315,21 @@ def _with_spans(documents: DataFrame, repeats: Repeats) -> DataFrame:
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, parts = pieces(total, repeats.bucket_bytes), pieces(total, repeats.part_bytes)
 
-    def grouped(rows: DataFrame, pieces: int) -> DataFrame:
-        return rows.repartition(min(pieces, repeats.most_tasks), "key").sortWithinPartitions("key")
-
-    own = documents.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
+    most = repeats.most_tasks
+    own = identified(documents)
     docs = own.where("__id is not null").select(F.col("__id").alias("doc_id"), F.col("__hash").alias("hash"), F.col("text").cast("string").alias("text"))
-    sent = docs.mapInArrow(_scan(repeats, buckets, parts), f"key int, {_sql(_OCCURRENCE)}")
-    decided = cut(grouped(sent, buckets).mapInArrow(_decide(repeats, parts), _DECIDED_SQL))
+    sent = docs.mapInArrow(_scan(repeats, buckets, parts), f"key int, {packed_sql(_OCCURRENCE)}")
+    decided = cut(grouped(sent, buckets, most).mapInArrow(_decide(repeats, parts), _DECIDED_SQL))
 
-    asks = grouped(decided.where("kind = 1").drop("kind"), parts).mapInArrow(_by_document(_ASK, True), "doc long, hash long, low binary, size binary, fp binary, shard binary, split binary")
+    asks = spans_of(decided.where("kind = 1").drop("kind"), parts, most, ("shard", "split"))
     texts = docs.withColumnRenamed("doc_id", "doc").dropDuplicates(["doc", "hash"])
-    fetched = texts.join(asks, ["doc", "hash"]).mapInArrow(_fetch, f"key long, split boolean, {_sql(_SPAN)}, bytes binary")
-    sharded = cut(grouped(fetched, buckets).mapInArrow(_sort_shards(repeats, parts, buckets), _SHARDED_SQL))
-    merged = grouped(sharded.where("kind = 1"), buckets).mapInArrow(_merge(repeats, parts), _SHARDED_SQL)
+    fetched = texts.join(asks, ["doc", "hash"]).mapInArrow(_fetch, f"key long, split boolean, {packed_sql(SPAN)}, bytes binary")
+    sharded = cut(grouped(fetched, buckets, most).mapInArrow(_sort_shards(repeats, parts, buckets), _SHARDED_SQL))
+    merged = grouped(sharded.where("kind = 1"), buckets, most).mapInArrow(_merge(repeats, parts), _SHARDED_SQL)
 
-    names = ["key", *[k for k, _ in _SPAN]]
+    names = ["key", *[k for k, _ in SPAN]]
     spans = decided.where("kind = 0").select(*names).union(sharded.where("kind = 0").select(*names)).union(merged.select(*names))
-    found = grouped(spans, parts).mapInArrow(_by_document(_SPAN, False), "doc long, hash long, low binary, size binary")
-    found = found.select(F.col("doc").alias("__id"), F.col("hash").alias("__hash"), F.col("low").alias("__low"), F.col("size").alias("__size"))
-    joined = own.where("__id is not null").join(found, ["__id", "__hash"], "left")
-    return joined.unionByName(own.where("__id is null"), allowMissingColumns=True).drop("__id", "__hash")
+    return with_spans(own, spans_of(spans, parts, most))
 
 
 def remove_repeats(documents: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
