@@ -55,7 +55,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recompression.remove_passages(table(spark, sf_dir, "documents"))
+    return recompression.remove_passages(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

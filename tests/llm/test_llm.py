@@ -337,15 +337,18 @@ def test_warc(spark, tmp_path):
 # 6
 def test_suffix_arrays():
     r = rng()
-    for n in (0, 1, 7, 300):
+    for n in (0, 1, 7, 300, 3000):
         for letters in (1, 2, 200):
             data = r.integers(0, letters, n).astype(np.uint8)
-            order, b = suffix_arrays.suffix_array(data), data.tobytes()
+            (order, shared), b = suffix_arrays.suffix_array(data, 20), data.tobytes()
             assert order.tolist() == sorted(range(n), key=lambda i: b[i:])
             prefix = suffix_arrays.common_prefixes(data, order, np.array([0]), np.array([n]), 50)
+            some = suffix_arrays.common_prefixes(data, order, np.array([0]), np.array([n]), 50, shared)
             for k in range(1, n):
                 x, y = b[order[k] :], b[order[k - 1] :]
                 assert prefix[k] == next((i for i in range(min(len(x), len(y), 50)) if x[i] != y[i]), min(len(x), len(y), 50))
+                assert prefix[k] < 20 or (shared[order[k]] and shared[order[k - 1]] and some[k] == prefix[k])
+            assert (some <= prefix).all()
 
 
 def brute_bytes(rows, width=50):
@@ -475,18 +478,38 @@ def brute_words(rows, width=35):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("passages", [recompression.Passages(), recompression.Passages(bucket_bytes=4000, part_bytes=3000)])
+@pytest.mark.parametrize("passages", [recompression.Passages(), recompression.Passages(bucket_bytes=4000, part_bytes=3000, most_tasks=3)])
 def test_recompression(spark, docs, none, passages):
     r = rng()
     some = lambda k, n: " ".join(r.choice(list("abcdefgh")[:k], n))
-    shared = some(8, 60)
+    shared, long = some(8, 60), " ".join(f"p{x}" for x in r.integers(0, 400, 600))
+    part = lambda low, high: " ".join(long.split()[low:high])
     rows = [(i, some(int(r.integers(1, 3)), int(r.integers(0, 100))) + " " + shared * (i % 3 == 0) + "\n" + some(8, 40)) for i in range(100)]
     rows += [(200, None), (201, ""), (202, "x " * 34), (203, "x " * 35), (204, "y " * 36), (205, "z " * 300), (None, shared)]
+    # long passages, whole, in part, side by side, twice in a text; texts of one doc_id
+    rows += [(300, long), (301, some(8, 20) + " " + long), (302, part(0, 40)), (303, part(150, 190)), (304, "q " + part(100, 300) + " r " + part(290, 500)), (305, part(500, 600) + " " + part(0, 100)), (306, part(200, 234)), (307, part(0, 300) + " s " + part(0, 300))]
+    rows += [(310, part(20, 80) + " one"), (310, "two " + some(8, 90)), (310, part(20, 80) + " one"), (311, long + " " + some(2, 50))]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, recompression.remove_passages(frame, passages).collect()), key=str) == brute_words(rows)
+    got = recompression.remove_passages(frame, passages).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got), key=str) == brute_words(rows)
+    assert all(hashlib.sha256(x.kept_text.encode()).hexdigest() == x.kept_sha256 for x in got)
     assert recompression.remove_passages(none, passages).count() == 0
     own = [(x.doc_id, x.text) for x in docs.collect()]
-    assert sorted(map(tuple, recompression.remove_passages(docs, recompression.Passages()).collect()), key=str) == brute_words(own)
+    assert sorted(map(tuple, recompression.remove_passages(docs, recompression.Passages()).drop("kept_text").collect()), key=str) == brute_words(own)
+
+
+def test_long_symbols_are_shared():
+    r = rng()
+    long = [f"w{x}" for x in r.integers(0, 1000, 500)]
+    texts = [" ".join([f"{k}x{i}" for i in range(int(r.integers(0, 99)))] + long) for k in range(4)]
+    block = pa.record_batch({"text": pa.array(texts)})
+    row, low, size, name, context = recompression.long_symbols(block, recompression.Passages())
+    assert size.min() >= 35 and size.max() <= 128
+    for n in set(name.tolist()):
+        k = np.flatnonzero(name == n)
+        assert len({" ".join(texts[row[i]].split()[low[i] : low[i] + size[i]]) for i in k}) == 1 == len(set(context[k].tolist()))
+    common = [n for n in set(name.tolist()) if (name == n).sum() == 4]
+    assert sum(size[np.flatnonzero(name == n)[0]] for n in common) > 200  # the interior of the common 500 words
 
 
 def test_equal_windows_have_equal_symbols():
