@@ -699,5 +699,43 @@ def test_pipeline(spark):
     assert {r.doc_id for r in seen[2].collect()} == {min(d for d, _ in x) for x in brute_classes(rows)}
     want = {i: b.decode("utf-8", "ignore") for i, _, n, _, b in brute_bytes([(r.doc_id, r.text) for r in seen[2].collect()]) if not n or b.strip()}
     assert {r.doc_id: r.text for r in seen[3].collect()} == want
+    terms = lambda t: re.findall(r"\w+", t.lower())
+    items = [terms(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    grams = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in items]
+    held = set()
+    for r in seen[3].collect():
+        own = terms(r.text)
+        have = {tuple(own[k : k + 5]) for k in range(len(own) - 4)}
+        for item, g in zip(items, grams, strict=True):
+            if len(g & have) * 5 >= 0.5 * len(item) and sum(k for k, _, _ in brute_tiles(own, item, 5)) >= 0.5 * len(item):
+                held.add(r.doc_id)
+    assert held and {r.doc_id for r in seen[4].collect()} == {r.doc_id for r in seen[3].collect()} - held
     assert all(r.lossless for r in seen[5].collect())
     assert corpus_pipeline.run(spark, SF).count() == counts[-1]
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Nulls, repeats, texts of one doc_id, a very long text and columns whose names clash, through every stage."""
+    import corpus_pipeline
+
+    text = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    item, passage = text("bench", 30), text("passage", 40)
+    rows = [(1, text("a")), (2, text("a")), (3, text("a") + " more"), (1, text("b")), (1, text("a")), (None, text("c")), (None, text("c")), (None, None), (4, None), (5, ""), (6, "few words"), (7, text("d") + " " + passage), (8, passage + " " + text("e")), (9, text("f") + " " + item), (10, text("g", 30_000))]
+    at = str(tmp_path / "sf")
+    frame = spark.createDataFrame([(i, t, "en", "h", len(t or ""), k, "x", "y") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row int, kept string, __low string".replace("__low", "lines"))
+    frame.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    seen = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        seen.append(stage(spark, seen[-1], at).cache())
+    kept = [sorted(((r.doc_id, r.row) for r in df.collect()), key=str) for df in seen[1:-1]]
+    assert {k for _, k in kept[0]} == {0, 1, 2, 3, 4, 5, 6, 11, 12, 13, 14} and all(df.columns == docs.columns for df in seen[1:-1])
+    assert len(kept[1]) == 7 and [d for d, _ in kept[1]].count(1) == 2 and {k for _, k in kept[1]} >= {3, 11, 12, 13, 14}
+    assert {r.row: r.text for r in seen[3].collect()}[12].strip() == text("e") and len(kept[2]) == 7
+    assert {k for _, k in kept[2]} - {k for _, k in kept[3]} == {13}
+    assert seen[5].count() == 6 and all(r.lossless for r in seen[5].collect())
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, at)
+        assert empty.count() == 0
