@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import fields
 
 #: Fixed patterns of the labels, tried in order.
-NUMBER = (r"(?i)invoice\s*(?:#|no\.?|number)\s*:?\s*([A-Z0-9][A-Z0-9-]*)", r"(?i)inv\s*[#:]\s*([A-Z0-9][A-Z0-9-]*)", r"\b(INV-[A-Z0-9-]+)", r"#\s*([0-9]{3,}[A-Z0-9-]*)")
+NUMBER = (r"(?i)invoice\s*(?:#|no\.?|number)\s*:?\s*([A-Z0-9][A-Z0-9-]*)", r"(?i)inv\s*[#:]\s*([A-Z0-9][A-Z0-9-]*)", r"\b(INV-[A-Z0-9-]+)", r"(?i)\bbill\s*(?:#|no\.?|number)\s*:?\s*([A-Z0-9][A-Z0-9-]*)", r"#\s*([0-9]{3,}[A-Z0-9-]*)")
 DATE = r"\b(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2}, \d{4}|\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{4})\b"
 AMOUNT = r"\$\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
-VENDOR = r"(?im)^\s*(?:from|vendor|seller|bill from)\s*:\s*(.+)$"
+VENDOR = r"(?im)^\s*(?:(?:from|vendor|seller|bill from|supplier|billed by)\s*:|billed\s+by\s)\s*(.+)$"
 ORDER = r"(?i)(?:p\.?o\.?|purchase order)\s*(?:#|no\.?|number)?\s*:?\s*([A-Z0-9][A-Z0-9-]+)"
 LINE = r"(?m)^\s*([^\n$]*[A-Za-z][^\n$]*?)\s+\$\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)\s*$"
-CONTRACT_NUMBER = r"(?i)(?:contract|agreement)\s*(?:#|no\.?|number)\s*:?\s*([A-Z0-9][A-Z0-9-]*)|\b((?:MSA|SOW|NDA)-[A-Z0-9-]+)"
+#: A contract's number: behind these labels, tried in order, or one that says its kind.
+_MARK = r"\s*(?:#|no\.?|number)\s*:?\s*([A-Z0-9][A-Z0-9/-]+)"
+CONTRACT_NUMBER = (*(rf"(?i)\b{label}{_MARK}" for label in ("contract", "agreement", r"(?:p\.?o\.?|purchase\s+order)", r"ref(?:erence|\.)?")), r"\b((?:MSA|SOW|NDA)-[A-Z0-9-]+)")
+#: A line in capitals that names its kind, and who the parties are where "between ... and ..." doesn't say.
+CONTRACT_TITLE = r"(?m)^\s*([A-Z][A-Z ]{4,80}?(?:AGREEMENT|CONTRACT|ORDER|AMENDMENT|STATEMENT)[A-Z ]*)\s*$"
+PARTY_LABELS = (r"client|buyer|customer", r"vendor|provider|contractor|seller|supplier", r"party\s*(?:a|1)", r"party\s*(?:b|2)")
+UNKNOWN_PARTY = "Unknown"
 CONTRACT_TYPES = (("MasterServiceAgreement", r"(?i)master\s+services?\s+agreement"), ("StatementOfWork", r"(?i)statement\s+of\s+work"), ("Amendment", r"(?i)\bamendment\b"), ("PurchaseOrder", r"(?i)purchase\s+order"), ("ServiceAgreement", r"(?i)services?\s+agreement"))
 CLAUSES = (
     ("Payment", r"(?i)\bpayment"), ("Termination", r"(?i)\bterminat"), ("Confidentiality", r"(?i)\bconfidential"), ("Liability", r"(?i)\bliab"), ("Indemnification", r"(?i)\bindemni"),
@@ -68,12 +74,17 @@ def contract(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
         kind = F.when(t.rlike(pattern), name).otherwise(kind)
     labelled = lambda word: F.try_element_at(dates(F.regexp_extract(t, rf"(?is){word}[^\n]*", 0)), F.lit(1))
     found = dates(t)
-    value = F.coalesce(fields.parse_amount(_first(t, r"(?i)(?:total|contract)\s+value\s*:?\s*\$?\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)")), F.array_max(amounts(t)))
-    parties = F.array_compact(F.array(_first(t, r"(?i)between\s+(.+?)\s+(?:and|\()"), _first(t, r"(?i)between\s+.+?\s+and\s+(.+?)(?:[.,(\n]|$)")))
+    value = F.coalesce(fields.parse_amount(_first(t, r"(?i)(?:total\s+|contract\s+)+value\s*:?\s*\$?\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)")), F.array_max(amounts(t)))
+    value = F.coalesce(fields.parse_amount(_first(t, r"(?i)(?:not\s+to\s+exceed|maximum\s+(?:contract\s+)?(?:value|amount))\s*:?\s*\$?\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)")), value)
+    between = F.array_compact(F.array(_first(t, r"(?i)between\s*:?\s+(.+?)\s+(?:and\s|\()"), _first(t, r"(?is)between\s*:?\s+.+?\sand\s+(.+?)(?:[.,(\n]|$)")))
+    named = F.array_compact(F.array(*[_first(t, rf"(?im)^\s*(?:{label})\s*:\s*(.+)$") for label in PARTY_LABELS]))
+    parties = F.when(F.size(between) > 0, between).when(F.size(named) > 0, named).otherwise(F.array(F.lit(UNKNOWN_PARTY)))
+    parties = F.transform(parties, lambda x: F.btrim(x, F.lit(' "“”\t')))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
     return df.select(
         key,
-        F.coalesce(_first(t, CONTRACT_NUMBER, 1), _first(t, CONTRACT_NUMBER, 2)).alias("contract_number"),
-        F.trim(F.try_element_at(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""), F.lit(1))).alias("title"),
+        F.coalesce(*[_first(t, p) for p in CONTRACT_NUMBER]).alias("contract_number"),
+        F.coalesce(_first(t, CONTRACT_TITLE), F.trim(F.try_element_at(lines, F.lit(1)))).alias("title"),
         kind.alias("contract_type"),
         parties.alias("parties"),
         F.coalesce(labelled("effective"), F.try_element_at(found, F.lit(1))).alias("effective_date"),

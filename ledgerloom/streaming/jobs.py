@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ast
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,10 +21,14 @@ def file_source(spark: SparkSession, path: str, like: DataFrame, files: int = 1)
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def rollup(events: DataFrame, interval: str, by: list[str], lateness: str, at: str = "ts", value: str = "value") -> DataFrame:
-    """Tumbling windows that close `lateness` behind the newest event."""
+def rollup(events: DataFrame, interval: str, by: list[str], lateness: str, at: str = "ts", value: str = "value", error: Column | None = None) -> DataFrame:
+    """Tumbling windows that close `lateness` behind the newest event: count, mean, p50, p95, p99 and errors.
+
+    Percentiles are approximate to 1 / 10,000 of the rank, so a window's state is a sketch; the batch rollup has exact ones.
+    """
     w = events.withWatermark(at, lateness).groupBy(F.window(at, interval).alias("w"), *by)
-    return w.agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("w.start").alias("bucket"), *by, "n", "mean")
+    out = w.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile_approx(value, [0.5, 0.95, 0.99], 10_000).alias("p"), F.count_if(F.lit(False) if error is None else error).alias("n_errors"))
+    return out.select(F.col("w.start").alias("bucket"), *by, "n", "mean", *[F.col("p")[i].alias(f"p{k}") for i, k in enumerate((50, 95, 99))], "n_errors")
 
 
 def validated(invoices: DataFrame, baselines: DataFrame | None = None, threshold: float = 2.0) -> DataFrame:
@@ -39,6 +45,15 @@ def validated(invoices: DataFrame, baselines: DataFrame | None = None, threshold
     return validate.completion(out)
 
 
+def validate_fresh(invoices: DataFrame, baselines: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, threshold: float = 2.0) -> StreamingQuery:
+    """As `validated`, with the baselines read again for every batch, so that updates of their table reach a running query."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        sink(validated(batch, baselines(), threshold), number)
+
+    return invoices.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 STATE = "n long, mean double, m2 double, low double, high double"
 EMITTED = "n long, mean double, stddev double, low double, high double"
 
@@ -87,9 +102,34 @@ def idempotent(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def lag(query: StreamingQuery) -> dict[str, Any]:
-    """Rows behind and rates of the last progress."""
+    """Of the last progress: rates, and how far each source is behind its newest offset (None where the source doesn't say)."""
     p = query.lastProgress
-    return {} if not p else {"input_rows_per_second": p["inputRowsPerSecond"], "processed_rows_per_second": p["processedRowsPerSecond"], "sources": [s["endOffset"] for s in p["sources"]]}
+    if not p:
+        return {}
+    behind = [_behind(s["latestOffset"], s["endOffset"]) for s in p["sources"]]
+    return {"input_rows_per_second": p["inputRowsPerSecond"], "processed_rows_per_second": p["processedRowsPerSecond"], "behind": behind}
+
+
+def _offset(x: Any) -> Any:
+    """An offset as numbers by topic and partition, where its text says them."""
+    for read in (json.loads, ast.literal_eval):
+        try:
+            return read(x) if isinstance(x, str) else x
+        except (ValueError, SyntaxError):
+            continue
+    return x
+
+
+def _behind(latest: Any, end: Any) -> int | None:
+    """The sum over topics and partitions of newest less read offsets."""
+    latest, end = (_offset(x) for x in (latest, end))
+    if isinstance(latest, dict) and isinstance(end, dict):
+        parts = [_behind(v, end.get(k, 0)) for k, v in latest.items()]
+        return None if any(x is None for x in parts) else sum(parts)
+    try:
+        return max(0, int(latest) - int(end))
+    except (TypeError, ValueError):
+        return None
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

@@ -250,3 +250,52 @@ def test_views_by_hand(spark):
     contracts = {r.id: r for r in view(spark, SF, "contracts").collect()}
     assert set(contracts) == {k for k in customers.c_custkey if k % 3} and all(contracts[k].party_name == names[k] for k in contracts)
     assert set(catalog(spark, SF)) == {"invoices", "contracts", "documents"}
+
+
+# extraction and streams
+def test_forms_of_invoices_and_contracts(spark):
+    from ledgerloom.operators import extract
+
+    invoices = spark.createDataFrame([(1, "Bill # B-77\nSupplier: Acme Ltd\nTotal $12.00"), (2, "Billed by Widget Co\nInvoice No. 9-A"), (3, "nothing")], "id int, text string")
+    got = {r.id: r for r in extract.invoice(invoices).collect()}
+    assert (got[1].invoice_number, got[1].vendor_name) == ("B-77", "Acme Ltd") and (got[2].invoice_number, got[2].vendor_name) == ("9-A", "Widget Co")
+    assert got[3].invoice_number.startswith("UNKNOWN-") and got[3].vendor_name == "Unknown Vendor"
+    contracts = spark.createDataFrame(
+        [
+            (1, "intro\nMASTER SERVICE AGREEMENT\nRef. No: X/12\nThis is made between \"Alpha Inc\" (the first) and Beta LLC, for work"),
+            (2, "CONSULTING CONTRACT\nClient: Gamma\nProvider: Delta\nContract # C-1\nNot to exceed: $5,000"),
+            (3, "Some title\nParty A: One\nParty B: Two\nPurchase Order No. 44\nTotal contract value: $10.50 of $99.00"),
+            (4, "plain"),
+        ],
+        "id int, text string",
+    )
+    got = {r.id: r for r in extract.contract(contracts).collect()}
+    assert (got[1].title, got[1].contract_number, got[1].parties) == ("MASTER SERVICE AGREEMENT", "X/12", ["Alpha Inc", "Beta LLC"])
+    assert (got[2].title, got[2].contract_number, got[2].parties, got[2].total_value) == ("CONSULTING CONTRACT", "C-1", ["Gamma", "Delta"], D("5000"))
+    assert (got[3].title, got[3].contract_number, got[3].parties, got[3].total_value) == ("Some title", "44", ["One", "Two"], D("10.50"))
+    assert (got[4].title, got[4].contract_number, got[4].parties) == ("plain", None, ["Unknown"])
+
+
+def test_streamed_rollups_have_percentiles(spark, tmp_path):
+    from ledgerloom.streaming import jobs
+
+    events = spark.createDataFrame([(datetime.datetime(2024, 1, 1, 0, i % 60), float(i)) for i in range(100)] + [(datetime.datetime(2024, 1, 2), 0.0)], "ts timestamp, value double").withColumn("k", F.lit("a"))
+    events.write.parquet(str(tmp_path / "in"))
+    out = jobs.rollup(jobs.file_source(spark, str(tmp_path / "in"), events, 100), "1 hour", ["k"], "1 minute", error=F.col("value") >= 90)
+    jobs.run_available(out, str(tmp_path / "out"), str(tmp_path / "cp"))
+    row = spark.read.parquet(str(tmp_path / "out")).orderBy("bucket").first()
+    assert (row.n, row["mean"], row.n_errors) == (100, 49.5, 10) and abs(row.p50 - 49.5) <= 1 and abs(row.p99 - 98) <= 1
+
+
+def test_running_queries_see_new_baselines(spark, tmp_path):
+    from ledgerloom.streaming import jobs
+
+    base = spark.createDataFrame([(1, "INV-1", "V", 100.0)], "id long, invoice_number string, vendor_name string, total_amount double")
+    for i in (1, 2):
+        base.withColumn("id", F.lit(i).cast("long")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    means, seen = iter((1000.0, *[100.0] * 9)), []
+    fresh = lambda: spark.createDataFrame([("V", 9, next(means), 10.0)], "vendor_name string, n long, mean double, stddev double")
+    q = jobs.validate_fresh(jobs.file_source(spark, str(tmp_path / "in"), base), fresh, lambda df, n: seen.extend(r.anomaly_count for r in df.collect()), str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert sorted(seen) == [0, 1] and isinstance(jobs.lag(q)["behind"], list)
+    assert jobs._behind('{"t": {"0": 10, "1": 7}}', {"t": {"0": 4, "1": 7}}) == 6 and jobs._behind(None, 3) is None
