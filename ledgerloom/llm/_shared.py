@@ -59,12 +59,17 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop(df: DataFrame) -> None:
     """Removes the files of a DataFrame that `cut` gave and nothing reads any more."""
     found = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
     if found.isDefined():
-        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(found.get())
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        remove(df.sparkSession, found.get())
 
 
 def rows_of_literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
