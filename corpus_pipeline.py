@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import dart_minhash, merge_dropout, quality_rules, string_tiling, suffix_dedup
-from ledgerloom.llm._shared import new_folder, share_code, table
+from ledgerloom.llm._shared import new_folder, remove, share_code, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline")
+    """All stages, each written and read again; what a stage has read is removed once its own output is whole."""
+    docs, folder, before = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
         at = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            remove(spark, before)
+        before = at
     return docs
