@@ -169,16 +169,56 @@ def confidence(df: DataFrame, expected: int) -> DataFrame:
 
 
 def best_spans(df: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Spans (doc_id, label, start, end, score): of overlapping ones of a label the best stays, greedily."""
+    """Spans (doc_id, label, start, end, score): of those of a label that overlap by `threshold` and more the best stays, greedily."""
 
     def keep(group: pd.DataFrame) -> pd.DataFrame:
         chosen: list[tuple[int, int]] = []
         rows = []
         for i, r in group.sort_values(["score", "start", "end"], ascending=[False, True, True], kind="stable").iterrows():
             over = [max(0, min(r["end"], e) - max(r["start"], s)) / max(1, max(r["end"], e) - min(r["start"], s)) for s, e in chosen]
-            if all(x <= threshold for x in over):
+            if all(x < threshold for x in over):
                 chosen.append((r["start"], r["end"]))
                 rows.append(i)
         return group.loc[sorted(rows)]
 
     return df.select("doc_id", "label", "start", "end", "score").groupBy("doc_id", "label").applyInPandas(keep, df.select("doc_id", "label", "start", "end", "score").schema)
+
+
+def words(text: Column) -> Column:
+    """The words of a text (runs of anything but white space) with their place in characters."""
+    pieces = F.regexp_extract_all(text, F.lit(r"\s*\S+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
+
+    def add(state: Column, piece: Column) -> Column:
+        end, word = state["at"] + F.length(piece), F.regexp_extract(piece, r"\S+", 0)
+        one = F.struct(word.alias("text"), (end - F.length(word)).alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.array_append(state["out"], one).alias("out"))
+
+    return F.aggregate(pieces, start, add)["out"]
+
+
+def candidate_spans(n: Column, width: int) -> Column:
+    """(start, end) of all runs of at most `width` of n words, by start and length; the end is not in the run."""
+    ends = lambda s: F.sequence(s + 1, F.least(s + width, n))
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(ends(s), lambda e: F.struct(s.alias("start"), e.alias("end"))))))
+
+
+def decode_entities(df: DataFrame, labels: list[str], threshold: float = 0.5, width: int = 12, overlap: float = 0.3) -> DataFrame:
+    """A recogniser's output (doc_id, text, logits) to entities: doc_id, label, score, start and end in words, and value with its place.
+
+    logits: for each candidate span, in order, one number a label. Spans of a score of `threshold` and more are candidates.
+    """
+    split = df.select("doc_id", "text", "logits", words(F.col("text")).alias("words"))
+    each = split.select("doc_id", "text", "words", "logits", F.posexplode(candidate_spans(F.size("words"), width)).alias("k", "span"))
+    scored = F.array(*[F.struct(F.lit(name).alias("label"), fields.sigmoid(F.get("logits", F.col("k") * len(labels) + j)).alias("score")) for j, name in enumerate(labels)])
+    found = each.select("doc_id", "text", "words", "span.start", "span.end", F.inline(scored)).where(F.col("score") >= threshold)
+    first, last = F.get("words", F.col("start"))["start"], F.get("words", F.col("end") - 1)["end"]
+    placed = found.select("doc_id", "label", "start", "end", "score", first.alias("char_start"), last.alias("char_end"), F.substring("text", first + 1, last - first).alias("value"))
+    return best_spans(placed, overlap).join(placed, ["doc_id", "label", "start", "end", "score"])
+
+
+def best_entities(entities: DataFrame) -> DataFrame:
+    """Of each document and label the entity of the best score; of equal ones the last."""
+    rest = [c for c in entities.columns if c not in ("doc_id", "label")]
+    best = entities.groupBy("doc_id", "label").agg(F.max_by(F.struct(*rest), F.struct("score", "start", "end")).alias("best"))
+    return best.select("doc_id", "label", "best.*")

@@ -299,3 +299,17 @@ def test_running_queries_see_new_baselines(spark, tmp_path):
     q.awaitTermination()
     assert sorted(seen) == [0, 1] and isinstance(jobs.lag(q)["behind"], list)
     assert jobs._behind('{"t": {"0": 10, "1": 7}}', {"t": {"0": 4, "1": 7}}) == 6 and jobs._behind(None, 3) is None
+
+
+def test_entities_are_decoded(spark):
+    from ledgerloom.operators import extract
+
+    text, labels, width = "  Acme Ltd\tbilled é  $5 ", ["vendor", "amount"], 2
+    spans = [(s, e) for s in range(5) for e in range(s + 1, min(s + width, 5) + 1)]
+    score = {(0, 2, "vendor"): 3.0, (0, 1, "vendor"): 2.0, (2, 3, "vendor"): 3.0, (4, 5, "amount"): 0.0, (3, 5, "amount"): -0.5}
+    logits = [score.get((s, e, x), -9.0) for s, e in spans for x in labels]
+    df = spark.createDataFrame([(1, text, logits), (2, "", []), (3, None, None)], "doc_id int, text string, logits array<double>")
+    got = extract.decode_entities(df, labels, 0.5, width)
+    assert sorted((r.label, r.start, r.end, r.value, r.char_start) for r in got.collect()) == [("amount", 4, 5, "$5", 21), ("vendor", 0, 2, "Acme Ltd", 2), ("vendor", 2, 3, "billed", 11)]
+    assert sorted((r.label, r.value) for r in extract.best_entities(got).collect()) == [("amount", "$5"), ("vendor", "billed")]
+    assert [text[r.char_start : r.char_end] for r in got.where("label = 'vendor'").orderBy("start").collect()] == ["Acme Ltd", "billed"]
