@@ -36,6 +36,8 @@ from ledgerloom.llm._text import U, blocks, mix, raw
 
 MARK = 0x2581
 NEVER = np.int32(2**31 - 1)
+#: Candidates that are hashed at once.
+CANDIDATES = 1 << 18
 
 
 #: A public model; any SentencePiece BPE model with byte pieces will do.
@@ -47,7 +49,7 @@ class Dropout:
     rate: float = 0.1
     seed: int = 1
     #: Longer segments use a heap.
-    together: int = 24
+    together: int = 40
 
 
 class Pieces:
@@ -77,12 +79,19 @@ class Pieces:
                     merges[of[t[:k]] << 32 | of[t[k:]]] = i
                 self.together[self.classes[ord(t[k - 1])], self.classes[ord(t[k])]] = True
         self.together[0] = self.together[:, 0] = False
-        self.pairs = np.array(sorted(merges), np.int64)
-        self.joined = np.array([merges[p] for p in self.pairs.tolist()], np.int32)
         self.rank = rank
-        # a filter before the search: most pairs are no candidates
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self._slot(self.pairs)] = True
+        # a hash table with open addressing: -1 where a slot is free; each free slot takes one of the pairs that ask for it
+        pairs = np.array(sorted(merges), np.int64)
+        joined = np.array([merges[p] for p in pairs.tolist()], np.int32)
+        self.bits = max(10, int(8 * len(pairs)).bit_length())
+        self.slot_pair, self.slot_joined = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        left, slot = np.arange(len(pairs)), self._slot(pairs)
+        while len(left):
+            one = np.unique(slot[left], return_index=True)[1]
+            take = left[one[self.slot_pair[slot[left[one]]] < 0]]
+            self.slot_pair[slot[take]], self.slot_joined[slot[take]] = pairs[take], joined[take]
+            left = np.setdiff1d(left, take)
+            slot[left] = (slot[left] + 1) & (1 << self.bits) - 1
         out = [b""] * n
         for i, t in text.items():
             out[i] = t.replace(chr(MARK), " ").encode()
@@ -92,17 +101,22 @@ class Pieces:
         self.size = np.array([len(x) for x in out])
         self.at = np.cumsum(self.size) - self.size
 
-    @staticmethod
-    def _slot(pairs: np.ndarray) -> np.ndarray:
-        return ((pairs >> 32) * 40503 + (pairs & 0xFFFFFFFF) * 9176) & ((1 << 22) - 1)
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
 
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece of each pair's joined text, -1 where there is none."""
         pairs = left.astype(np.int64) << 32 | right.astype(np.int64)
-        out = np.full(len(pairs), -1, np.int32)
-        near = np.flatnonzero(self.maybe[self._slot(pairs)])
-        at = np.minimum(np.searchsorted(self.pairs, pairs[near]), len(self.pairs) - 1)
-        out[near] = np.where(self.pairs[at] == pairs[near], self.joined[at], -1)
+        slot = self._slot(pairs)
+        held = self.slot_pair[slot]
+        out = np.where(held == pairs, self.slot_joined[slot], np.int32(-1))
+        k = np.flatnonzero((held != pairs) & (held >= 0))
+        while len(k):  # another pair is there: look one further on
+            slot[k] = (slot[k] + 1) & (1 << self.bits) - 1
+            held = self.slot_pair[slot[k]]
+            same = held == pairs[k]
+            out[k[same]] = self.slot_joined[slot[k[same]]]
+            k = k[~same & (held >= 0)]
         return out
 
 
@@ -149,6 +163,8 @@ def _agendas(ids: np.ndarray, skips: np.ndarray, pieces: Pieces) -> list[tuple[n
     """
     n, width = ids.shape
     row, full = np.arange(n), width
+    maybe = np.zeros(1 << 20, bool)  # a filter before the search: most candidates are not skipped
+    maybe[skips & (1 << 20) - 1] = True
     border = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1)).copy()
     out = []
 
@@ -158,6 +174,8 @@ def _agendas(ids: np.ndarray, skips: np.ndarray, pieces: Pieces) -> list[tuple[n
         if len(skips):
             k = np.flatnonzero(piece >= 0)
             number = _number(row[r[k]], border[r[k], j[k]], border[r[k], j[k] + 1], border[r[k], j[k] + 2], full)
+            near = np.flatnonzero(maybe[number & (1 << 20) - 1])
+            k, number = k[near], number[near]
             rank[k[skips[np.minimum(np.searchsorted(skips, number), len(skips) - 1)] == number]] = NEVER
         return rank, piece
 
@@ -206,14 +224,22 @@ def _segments(ids: np.ndarray, of: np.ndarray, key: np.ndarray, pieces: Pieces,
     width = ids.shape[1]
     row, *border = _borders(ids, pieces)
     first = np.searchsorted(row, np.arange(len(ids) + 1))
-    n = np.diff(first)[of]
-    occurrence = np.repeat(np.arange(len(of)), n)
-    at = np.arange(len(occurrence)) + np.repeat(first[:-1][of] - (np.cumsum(n) - n), n)
-    drop = np.flatnonzero(skipped(key[occurrence], border_hash(*border)[at], rate))
+    n, hashes = np.diff(first)[of], border_hash(*border)
+    upto = np.append(0, np.cumsum(n))
+    drops = []  # (occurrence, candidate) of those that are skipped, a few candidates at a time
+    low = 0
+    while low < len(of):
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] + CANDIDATES, "right")) - 1)
+        occurrence = np.repeat(np.arange(low, high), n[low:high])
+        at = np.arange(len(occurrence)) + np.repeat(first[:-1][of[low:high]] - (upto[low:high] - upto[low]), n[low:high])
+        k = np.flatnonzero(skipped(key[occurrence], hashes[at], rate))
+        drops.append((occurrence[k], at[k]))
+        low = high
+    occurrence, at = (np.concatenate(x) for x in zip(*drops, strict=True))
     # a set of skips is named by a sum over its members, which a second sum confirms
     one, two = np.zeros(len(of), U), np.zeros(len(of), U)
-    np.add.at(one, occurrence[drop], mix(at[drop].astype(U) + U(1)))
-    np.add.at(two, occurrence[drop], mix(at[drop].astype(U) ^ U(0x5851F42D4C957F2D)))
+    np.add.at(one, occurrence, mix(at.astype(U) + U(1)))
+    np.add.at(two, occurrence, mix(at.astype(U) ^ U(0x5851F42D4C957F2D)))
     order = np.lexsort((two, one, of))
     new = np.ones(len(of), bool)
     new[1:] = (of[order][1:] != of[order][:-1]) | (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
@@ -222,7 +248,7 @@ def _segments(ids: np.ndarray, of: np.ndarray, key: np.ndarray, pieces: Pieces,
     speaks = order[new]
     member = np.full(len(of), -1)
     member[speaks] = np.arange(len(speaks))
-    told = drop[member[occurrence[drop]] >= 0]
+    told = member[occurrence] >= 0
     skips = np.sort(_number(member[occurrence[told]], *(x[at[told]] for x in border), width))
     return own, _agendas(ids[of[speaks]], skips, pieces)
 
