@@ -2,12 +2,13 @@
 
 A byte goes if a `width`-byte string that covers it also starts in a document of a smaller doc_id.
 
-1. Documents are read once, in shards of about `shard_bytes`. Each shard sorts all its suffixes (Larsson-Sadakane) and
-   takes common prefixes (Kasai): suffixes in a row with a common prefix of `width` are one string, and all its places but
-   those of the smallest doc_id are decided. Equal texts of a shard enter it once.
-2. Only the smallest document's places of a string go on, to be merged across shards. Not all of them must: every string
-   picks an anchor, a `gram`-byte string in it, by its content alone, so equal strings of different shards have equal
-   anchors at equal places, and a string whose anchor no other shard has is settled. Each anchor's hash goes, with a hash of
+1. Documents are read once, in shards of about `shard_bytes`. Every string picks an anchor, a `gram`-byte string in it, by
+   its content alone, so equal strings have equal anchors at equal places. Each shard sorts the suffixes of its passages
+   whose anchors it has twice (Larsson-Sadakane) and takes common prefixes (Kasai): suffixes in a row with a common prefix
+   of `width` are one string, and all its places but those of the smallest doc_id are decided. The other strings of the
+   shard occur there once. Equal texts of a shard enter it once.
+2. Only the smallest document's places of a string go on, to be merged across shards. Not all of them must: a string whose
+   anchor no other shard has is settled. Each anchor's hash goes, with a hash of
    its context (the bytes of all the strings that picked it, some of them undecided), as packed and sorted lists to buckets of anchors.
    There contexts equal to one of a smaller doc_id are decided; contexts that differ but share an anchor stay open.
 3. Open contexts fetch their bytes and are suffix-sorted again, in shards of whole anchor groups. A group larger than a
@@ -87,14 +88,30 @@ def _scan(repeats: Repeats, buckets: int, parts: int):
         data = np.concatenate([data[a:b] for a, b in zip(offsets[own].tolist(), offsets[own + 1].tolist(), strict=True)] or [data[:0]])
         doc, text, size = doc[own], text[own], size[own]
         starts = np.cumsum(size) - size
-        place, gone = repeated_strings(data, size, doc, width)
-        spans.append(_runs(place[gone], starts, doc, text, np.zeros(len(doc), np.int64), width))
-        yield from _scanned(deal([np.concatenate(x) for x in zip(*spans, strict=True)], parts), decided=True)
-        valid, undecided = np.zeros((2, max(0, len(data) - width + 1)), bool)
-        valid[place] = True
-        undecided[place[~gone]] = True
+        row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        valid = row[: max(0, len(data) - width + 1)] == row[width - 1 :]
         h = window_hashes(data, repeats.gram)
         at, low, high = anchors(h, width - repeats.gram + 1, valid)
+        # a string whose anchor occurs once in the shard is alone there: passages of the others are suffix-sorted
+        order = np.argsort(h[at])
+        again = h[at[order[1:]]] == h[at[order[:-1]]]
+        twice = np.zeros(len(at), bool)
+        twice[order[1:][again]] = twice[order[:-1][again]] = True
+        begin, end = low[twice], high[twice] + width
+        new = np.ones(len(begin), bool)
+        new[1:] = (begin[1:] > end[:-1]) | (row[begin[1:]] != row[begin[:-1]])
+        first_of = np.flatnonzero(new)
+        last_of = np.append(first_of, len(begin))[1:] - 1
+        begin, length = begin[first_of], end[last_of] - begin[first_of]
+        passages = np.concatenate([data[a : a + n] for a, n in zip(begin.tolist(), length.tolist(), strict=True)] or [data[:0]])
+        place, gone = repeated_strings(passages, length, doc[row[begin]], width)
+        inside = np.cumsum(length) - length
+        of = np.searchsorted(inside, place, "right") - 1
+        place = begin[of] + place - inside[of]
+        spans.append(_runs(place[gone], starts, doc, text, np.zeros(len(doc), np.int64), width))
+        yield from _scanned(deal([np.concatenate(x) for x in zip(*spans, strict=True)], parts), decided=True)
+        undecided = valid.copy()
+        undecided[place[gone]] = False
         # whole contexts, as they are alike in all shards, but for those whose strings are all decided
         upto = np.append(0, np.cumsum(undecided, dtype=np.int64))
         some = upto[high + 1] > upto[low]
