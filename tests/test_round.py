@@ -4,17 +4,19 @@ import datetime
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import fields
+from ledgerloom.functions import fields, vector
 from ledgerloom.functions import statistics as st
 from ledgerloom.functions import text as text_functions
 from ledgerloom.lang.errors import QueryError
 from ledgerloom.operators import baseline, graph, rollups, validate
 from ledgerloom.plans.catalog import catalog, view
 from ledgerloom.plans.engine import Engine, Wide
-from ledgerloom.sources import formats, stores
+from ledgerloom.sources import formats, probing, stores
 
 SF = "/root/testdata/sf0.001"
 D, day = Decimal, datetime.date
@@ -166,6 +168,75 @@ def test_recall_on_the_given_vectors(spark):
     assert want and len(got & want) >= 0.9 * len(want)
 
 
+def plain_cells(v, normals):
+    """The cells of a vector by Spark's own sums."""
+    bits = lambda planes: [F.when(vector.dot(v, vector.literal(p.tolist())) > 0, 1 << i).otherwise(0) for i, p in enumerate(planes)]
+    return F.array(*[sum(bits(planes)[1:], bits(planes)[0]) for planes in normals])
+
+
+def odd_vectors():
+    r = np.random.default_rng(11)
+    inf, nan = float("inf"), float("nan")
+    base = [[float(x) for x in r.integers(-2, 3, 4)] for _ in range(60)] + [[float(x) for x in r.standard_normal(4)] for _ in range(60)]
+    odd = [None, [], [0.0] * 4, [-0.0] * 4, [1.0, None, 2.0, 3.0], [None] * 4, [1.0, 2.0], [0.0, 0.0], [1.0, 2.0, None], [1.0] * 7, [nan, 1.0, 1.0, 1.0], [inf, 1.0, 0.0, 1.0], [-inf, inf, 0.0, 1.0]]
+    odd += [[1e200, -1e200, 1.0, 0.0], [1e-200, 1e-190, 0.0, 0.0], [1e-60, 2e-60, 0.0, 1e-61], [1e60, 2e60, 0.0, 1e59], [5.0, 5.0, 5.0, 5.0]]
+    vectors = base + odd * 2 + [[1.0, 1.0, 1.0, 1.0]] * 12 + [[3.0, 3.0, 3.0, 3.0000001]] * 3
+    return [vectors[i] for i in r.permutation(len(vectors))]
+
+
+@pytest.mark.parametrize("planes, tables, flips, limit, names", [(5, 3, 1, 5, "long"), (2, 1, 2, 200, "string"), (20, 2, 1, 3, "long"), (4, 2, 0, 1, "string")])
+def test_probed_rows_are_those_of_all_pairs(spark, planes, tables, flips, limit, names):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(odd_vectors())] + [(None, [1.0] * 4)], "id long, embedding array<double>").select(F.col("id").cast(names), "embedding")
+    cells = stores.Cells(planes=planes, tables=tables)
+    indexed = cells.index(df, 4).localCheckpoint()
+    assert pairs(indexed.select("id", "cells")) == pairs(df.select("id", plain_cells(F.col("embedding"), cells.normals(4)).alias("cells")))
+    both = indexed.select(F.col("id").alias("query"), F.col("embedding").alias("wanted"), F.col("cells").alias("own")).crossJoin(indexed.where("id is not null"))
+    met = both.where("query is not null").where(F.exists(F.zip_with("own", "cells", lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= flips), lambda x: x))
+    scored = met.select("query", "id", vector.cosine_distance(F.col("embedding"), F.col("wanted")).alias("distance")).where("distance is not null")
+    want = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= limit)
+    got = stores.probe_search(indexed, indexed, cells, limit, flips)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert [str(x) for x in pairs(got)] == [str(x) for x in pairs(want)]
+    assert got.count() > 100 and stores.probe_search(indexed.limit(0), indexed, cells, limit, flips).count() == 0 and stores.probe_search(indexed, indexed.limit(0), cells, limit, flips).count() == 0
+
+
+@pytest.mark.parametrize("planes, flips", [(6, 2), (14, 1)])
+def test_tiles_over_many_batches(planes, flips):
+    r = np.random.default_rng(4)
+    v = r.standard_normal((4000, 8)).round(1)
+    v[::3] = v[0]
+    ids, cells = r.permutation(4000), (v @ r.standard_normal((8, planes)) > 0) @ (1 << np.arange(planes))
+    whole = probing.Vectors.of(pa.table({"id": ids, "embedding": pa.array(v.tolist()), "cells": pa.array(cells[:, None].tolist())}))
+    tile = probing.Tile(whole.take(np.arange(50)), planes, flips, 5)
+    for i in range(0, 4000, 130):
+        tile.meet(whole.take(np.arange(i, min(i + 130, 4000))).without_copies(5))
+    for q in range(50):
+        at = np.flatnonzero(np.bitwise_count(cells ^ cells[q]) <= flips)
+        d, _ = probing.distances(whole, np.full(len(at), q), whole, at)
+        best = np.lexsort((ids[at], d))[:5]
+        assert tile.ids[tile.q == q].tolist() == ids[at][best].tolist() and tile.d[tile.q == q].tolist() == d[best].tolist()
+
+
+def shuffled(plan):
+    """Records that the exchanges of a plan that has run wrote."""
+    kind = plan.getClass().getSimpleName()
+    own = plan.metrics().get("shuffleRecordsWritten")
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    inner += [plan.children().apply(i) for i in range(plan.children().size())]
+    return (own.get().value() if own.isDefined() else 0) + sum(map(shuffled, inner))
+
+
+def test_probed_pairs_are_not_shuffled(spark):
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, [float(x) for x in r.standard_normal(16)]) for i in range(3000)], "id long, embedding array<double>").localCheckpoint()
+    cells = stores.Cells()
+    indexed = cells.index(df, 16)
+    got = stores.probe_search(indexed.where("id % 100 = 0"), indexed, cells, 5, 2)
+    assert len(got.collect()) == 150
+    # 30 queries meet most of 3,000 rows; a task gives five a query
+    assert shuffled(got._jdf.queryExecution().executedPlan()) < 3000
+
+
 # baselines
 @pytest.mark.parametrize("values", [[1.0], [5.0] * 40, [-3.0, -2.5, 0.0, 0.1, 7.0, 1e9, -1e9], list(range(100)), [0.001 * i * (-1) ** i for i in range(333)]])
 def test_nearest_ranks(spark, values):
